@@ -106,10 +106,8 @@ def merge_site_network(
     merged = own.unionByName(others)
     if max_calls is None:
         return merged
-    window_order = [F.col("secondary"), F.col("capture_id"), F.col("pos")]
-    # primary rows are never dropped for being many; they only leave less room for the rest
-    ranked = first_rows(merged, ["site"], window_order, n=max_calls, rank_name="_place")
-    return ranked.drop("_place")
+    # a primary capture holds at most max_calls itself; the rest fill the room it leaves
+    return first_rows(merged, ["site"], order, n=max_calls)
 
 
 def scrub_headers(headers: Column, limits: Limits = WHOLE) -> Column:
@@ -209,14 +207,12 @@ _JSON_TYPES = {
 
 def call_schemas(calls: DataFrame, body: str = "body", keep: tuple[str, ...] = ("capture_id", "pos")) -> DataFrame:
     """Top-level keys and types of JSON object bodies, one row per key."""
-    parsed = calls.select(*keep, F.try_parse_json(F.col(body)).alias("_v")).filter(
+    parsed = calls.select(F.struct(*keep).alias("_row"), F.try_parse_json(F.col(body)).alias("_v")).filter(
         F.schema_of_variant("_v").startswith("OBJECT")
     )
-    parsed.createOrReplaceTempView("_weblode_bodies")
-    kept = ", ".join(keep)
-    rows = calls.sparkSession.sql(
-        f"SELECT {kept}, e.key AS key, schema_of_variant(e.value) AS raw_type "
-        "FROM _weblode_bodies, LATERAL variant_explode(_v) AS e"
+    exploded = calls.sparkSession.tvf.variant_explode(F.col("_v").outer())
+    rows = parsed.lateralJoin(exploded).select(
+        "_row.*", "key", F.schema_of_variant("value").alias("raw_type")
     )
     head = F.regexp_extract("raw_type", "^[A-Z]+", 0)
     named = F.when(F.lit(False), "")

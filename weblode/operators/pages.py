@@ -7,6 +7,7 @@ columns and the optimizer drops the rest.  Html itself never leaves the scan sta
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -367,10 +368,15 @@ _NEEDS = {
 
 
 def page_facts(captures: DataFrame, *wanted: str, limits: Limits = WHOLE) -> DataFrame:
-    """Captures plus the wanted mined parts as columns (see the module note)."""
+    """Captures plus the wanted mined parts as columns (see the module note).
+
+    Parts that are already columns are used as they are, so jobs also run on ``mine``'s output.
+    """
     done: list[str] = []
 
     def add(name: str) -> None:
+        if name in captures.columns:
+            return
         for need in _NEEDS[name]:
             add(need)
         if name not in done:
@@ -384,6 +390,21 @@ def page_facts(captures: DataFrame, *wanted: str, limits: Limits = WHOLE) -> Dat
     return out
 
 
+def mine(captures: DataFrame, path: str | None = None, limits: Limits = WHOLE) -> DataFrame:
+    """Every mined part without the html, to be shared by several jobs.
+
+    With ``path`` the parts are written there once and read back, the way to go for a corpus;
+    without it they are kept by Spark's block storage.
+    """
+    parts = page_facts(
+        captures, "site", "linked_data", "sample", "forms", "links", "buttons", limits=limits
+    ).drop("html", "markup", "network")
+    if path is None:
+        return parts.persist(StorageLevel.MEMORY_AND_DISK)
+    parts.write.mode("overwrite").parquet(path)
+    return captures.sparkSession.read.parquet(path)
+
+
 @built_once
 def _canonical_href() -> Column:
     tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)<link\b([^>]*)>"), F.lit(1))
