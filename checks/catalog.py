@@ -73,7 +73,7 @@ links as (
 
 @query("page_profile", f"""
 select page_id as capture_id, url,
-  coalesce(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)[1:240], ''), '') as title,
+  {sq.trim("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}[1:240] as title,
   length(html) as html_length, length({sq.stripped('html')}) as text_length,
   sha256(html) as dom_hash, count(*) over (partition by html) as copies
 from pages""")
@@ -149,20 +149,20 @@ with u as (
     list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> '') as segs
   from pages),
 w as (
-  select {sq.last_two('host')} as origin, raw_origin, ord, segs, len(segs) as depth, i as at,
+  select {sq.last_two('host')} as origin, raw_origin, ord, segs, len(segs) as depth, i as place,
     segs[i] as entity, segs[i + 1] as value,
     array_to_string(list_transform(segs, lambda s, j: case when j = i + 1 then '*' else s end), '/') as template
   from u, unnest(range(1, len(segs))) as t(i)
   where len(segs) >= 2 and regexp_matches(segs[i], '^[a-zA-Z]')),
 v as (
-  select origin, depth, at, template, value, min(ord) as ord, arg_min(entity, ord) as entity,
+  select origin, depth, place, template, value, min(ord) as ord, arg_min(entity, ord) as entity,
     arg_min(segs, ord) as segs, arg_min(raw_origin, ord) as raw_origin
   from w group by all),
-r as (select *, row_number() over (partition by origin, depth, at, template order by ord, value) as rn,
+r as (select *, row_number() over (partition by origin, depth, place, template order by ord, value) as rn,
   regexp_matches(value, '^\\d+$') or regexp_matches(value, '(?i)^[0-9a-f]{{12,}}$')
     or regexp_matches(value, '(?i)^[a-z0-9][a-z0-9-]*[-_]\\d+$') as id_like from v),
 g as (
-  select origin, depth, at, template, count(*) as members, min(ord) as ord, arg_min(entity, ord) as entity,
+  select origin, depth, place, template, count(*) as members, min(ord) as ord, arg_min(entity, ord) as entity,
     arg_min(value, ord) as example, arg_min(segs, ord) as segs, arg_min(raw_origin, ord) as raw_origin,
     arg_min(id_like, ord) as example_id, avg(case when rn <= 50 then case when id_like then 1.0 else 0.0 end end) as share
   from r group by all having count(*) >= 8),
@@ -172,7 +172,7 @@ n as (
 p as (select *, 'get_' || noun || '_page' as name, case when example_id then 'id' else noun end as param_name from n),
 b as (select * from p qualify row_number() over (partition by origin, name order by members desc, ord) = 1)
 select origin, row_number() over (partition by origin order by members desc, ord) as rank, name,
-  '/' || array_to_string(list_transform(segs, lambda s, j: case when j = at + 1 then '{{' || param_name || '}}' else s end), '/') as url_pattern,
+  '/' || array_to_string(list_transform(segs, lambda s, j: case when j = place + 1 then '{{' || param_name || '}}' else s end), '/') as url_pattern,
   raw_origin || '/' || array_to_string(segs, '/') as raw_url, param_name, example, members
 from b qualify rank <= 25""")
 def url_template_clusters(spark, sf):
@@ -725,21 +725,21 @@ def network_candidates(spark, sf):
 
 # ------------------------------------------------------------------ coverage
 @query("coverage_delta", f"""
-with {CALLS}, f as (select *, method || ' ' || url_pattern as sig, {sq.last_two('host')} as site from useful),
-mid as (select min(ts) + (max(ts) - min(ts)) / 2 as m from events),
+with {CALLS}, f as (select *, method || ' ' || url_pattern as sig, cast(capture_id as varchar) as site from useful),
+mid as (select min(ts) + (max(ts) - min(ts)) / 10 as m from events),
 old as (select distinct site, sig from f, mid where ts < m),
 new as (select f.* from f, mid where ts >= m qualify row_number() over (partition by site, sig order by pos, capture_id) = 1)
 select new.site, new.sig, new.pos, new.capture_id from new anti join old using (site, sig)""")
 def coverage_delta(spark, sf):
     calls = _useful_calls(spark, sf).select(
         "*",
-        urls.registrable_domain(urls.parts_of("raw_url")["host"]).alias("site"),
+        F.col("capture_id").cast("string").alias("site"),
         urls.endpoint_signature(F.col("method"), F.col("url_pattern")).alias("sig"),
         F.lit(0).alias("source_rank"),
     )
     ends = inp.table(spark, sf, "events").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     split = calls.crossJoin(F.broadcast(ends)).withColumn(  # one row: the two ends of the log
-        "late", F.col("ts") >= F.col("t0") + (F.col("t1") - F.col("t0")) / 2
+        "late", F.col("ts") >= F.col("t0") + (F.col("t1") - F.col("t0")) / 10
     )
     known = split.filter("not late").select("site", F.lit("sig").alias("kind"), F.col("sig").alias("value")).distinct()
     return coverage.uncovered(split.filter("late"), known).select("site", "sig", "pos", "capture_id")

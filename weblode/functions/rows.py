@@ -45,7 +45,9 @@ def unnest(df: DataFrame, keep: Sequence[Column | str], array: Column, present:
     array's size and pushes it below the projection, so an array mined from html would be mined
     again just to test that it is not empty.
     """
-    return df.select(*keep, F.inline_outer(array)).filter(F.col(present).isNotNull())
+    named = df.select(*keep, array.alias("_rows"))
+    kept = [name for name in named.columns if name != "_rows"]
+    return named.select(*kept, F.inline_outer("_rows")).filter(F.col(present).isNotNull())
 
 
 def order_columns(df: DataFrame) -> list[Column]:

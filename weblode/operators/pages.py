@@ -7,7 +7,6 @@ columns and the optimizer drops the rest.  Html itself never leaves the scan sta
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from ..functions.expr import built_once, cut, head, keep_first, let
 from ..functions.json_help import read_linked_data
 from ..functions.rows import unnest
 from ..schema import WHOLE, Limits
+from ..session import staged
 
 _ANCHOR = r"(?is)<a\b[^>]*>.*?</a>"
 _FORM = r"(?is)<form\b[^>]*>.*?</form>"
@@ -390,19 +390,12 @@ def page_facts(captures: DataFrame, *wanted: str, limits: Limits = WHOLE) -> Dat
     return out
 
 
-def mine(captures: DataFrame, path: str | None = None, limits: Limits = WHOLE) -> DataFrame:
-    """Every mined part without the html, to be shared by several jobs.
-
-    With ``path`` the parts are written there once and read back, the way to go for a corpus;
-    without it they are kept by Spark's block storage.
-    """
+def mine(captures: DataFrame, workdir: str | None = None, limits: Limits = WHOLE) -> DataFrame:
+    """Every mined part without the html, materialised once to be shared by several jobs."""
     parts = page_facts(
         captures, "site", "linked_data", "sample", "forms", "links", "buttons", limits=limits
     ).drop("html", "markup", "network")
-    if path is None:
-        return parts.persist(StorageLevel.MEMORY_AND_DISK)
-    parts.write.mode("overwrite").parquet(path)
-    return captures.sparkSession.read.parquet(path)
+    return staged(parts, workdir, "mined")
 
 
 @built_once

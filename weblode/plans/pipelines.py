@@ -1,12 +1,11 @@
 """The three entry points, end to end over a corpus.
 
-Stages that several later steps read are written to ``workdir`` once (or kept by Spark when
-no folder is given), so html is parsed once and lost executors cost a stage, not the run.
+Stages that several later steps read are written to ``workdir`` once (or checkpointed when no
+folder is given), so html is parsed once and a lost executor costs a re-read, not the run.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +18,12 @@ from ..operators.frontier import public_targets
 from ..operators.pages import mine
 from ..operators.registry import registry_status
 from ..operators.verify import annotated_confidence, keep_live, verify_tools
+from ..session import staged
 from ..schema import CANDIDATE_COLUMNS, WHOLE, Limits
 from ..sources.robots import robots_gate
 from ..sources.sinks import payload_table
 
 
-def staged(df: DataFrame, workdir: str | None, name: str) -> DataFrame:
-    if workdir is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{workdir}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def admit(captures: DataFrame, robots: DataFrame | None, policy: str = "respect") -> DataFrame:
     """Captures with a public address that the site's robots rules allow."""
     public = public_targets(captures, "url")
@@ -46,7 +38,7 @@ def prepare_payloads(
 ) -> DataFrame:
     """Captures to the per-page input of a proposer."""
     admitted = admit(captures, robots)
-    facts = mine(admitted, f"{workdir}/mined" if workdir else None, limits)
+    facts = mine(admitted, workdir, limits)
     return payload_table(admitted, facts)
 
 
@@ -59,7 +51,7 @@ def infer_tools(
     limits: Limits = WHOLE,
 ) -> tuple[DataFrame, DataFrame]:
     """Captures (and their calls) to (clean tools, dropped-candidate counts)."""
-    mined = mine(captures, f"{workdir}/mined" if workdir else None, limits)
+    mined = mine(captures, workdir, limits)
     if calls is not None:
         calls = dedupe_calls(calls)
     found = cand.all_candidates(mined, calls, recipes, limits)

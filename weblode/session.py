@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="weblode-ckpt-", dir=os.environ.get("TMPDIR")))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def staged(df: DataFrame, workdir: str | None, name: str) -> DataFrame:
+    """Materialise a stage that several later steps read, and cut its lineage.
+
+    With ``workdir`` the stage is a table there; otherwise it is a reliable checkpoint in the
+    shared folder, so a lost executor costs a re-read and never a recomputation.
+    """
+    if workdir is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint()
+    path = f"{workdir}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
