@@ -27,9 +27,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def indexed(array: Column, build: Callable[[Column, Column], Column]) -> Column:
-    """``transform`` with the 0-based position."""
-    return F.transform(array, build)
+def sql_text(value: str) -> str:
+    """A Python string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """SQL form of ``let``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+@lru_cache(maxsize=None)
+def _lambda(body: str) -> Column:
+    return F.expr(f"v -> {body}")
+
+
+def apply_sql(body: str, value: Column) -> Column:
+    """Evaluate SQL text over the variable ``v`` bound to ``value``.
+
+    For expressions used all over the library: the text is parsed once per process, where the
+    same expression put together call by call would be rebuilt for every use.
+    """
+    return F.call_function("transform", F.array(value), _lambda(body))[0]
 
 
 def keep_first(array: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .expr import cut, let
+from .expr import apply_sql, cut, let, sql_let, sql_text
 
 _ATTRIBUTE = (
     r"""[a-zA-Z_:][-a-zA-Z0-9_:.]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
@@ -37,33 +37,33 @@ def rendered_markup(html: Column) -> Column:
     return F.regexp_replace(no_comments, fv.NON_RENDERED, " ")
 
 
-def decode_entities(text: Column, skip: tuple[str, ...] = ()) -> Column:
-    def decoded(t: Column) -> Column:
-        out = t
-        for entity, char in fv.ENTITIES:
-            if entity not in skip:
-                out = F.regexp_replace(out, f"(?i){entity}", char)
-        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+def _decoded(text: str, skip: tuple[str, ...] = ()) -> str:
+    """SQL: entities replaced one after the other, so ``&amp;lt;`` decodes twice."""
+    out = "t"
+    for entity, char in fv.ENTITIES:
+        if entity not in skip:
+            out = f"regexp_replace({out}, {sql_text('(?i)' + entity)}, {sql_text(char)})"
+    return sql_let(text, "t", f"if(contains(t, '&'), {out}, t)")
+
 
-    return let(text, decoded)
+def decode_entities(text: Column, skip: tuple[str, ...] = ()) -> Column:
+    return apply_sql(_decoded("v", skip), text)
 
 
 def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", " ")
 
 
-def shorten(text: Column, limit: int | None) -> Column:
-    """Cut to ``limit`` characters, the last three being dots."""
-    if limit is None:
-        return text
-    return F.when(
-        F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))
-    ).otherwise(text)
-
-
 def clean_text(text: Column, limit: int | None) -> Column:
-    decoded = decode_entities(trim_ws(collapse_ws(strip_tags(text))))
-    return decoded if limit is None else let(decoded, lambda t: shorten(t, limit))
+    """Visible text of a fragment: tags out, spaces collapsed, trimmed, then decoded and cut."""
+    bare = "regexp_replace(v, '<[^>]+>', ' ')"
+    single = f"regexp_replace({bare}, {sql_text(fv.WS + '+')}, ' ')"
+    trimmed = f"regexp_replace({single}, {sql_text(f'^{fv.WS}+|{fv.WS}+$')}, '')"
+    body = _decoded(trimmed)
+    if limit is not None:
+        cut_off = f"if(length(d) > {limit}, concat(substring(d, 1, {limit - 3}), '...'), d)"
+        body = sql_let(body, "d", cut_off)
+    return apply_sql(body, text)
 
 
 def attribute_tokens(tag: Column) -> Column:
@@ -77,13 +77,11 @@ def has_attribute(tokens: Column, name: str) -> Column:
 
 def attribute(tokens: Column, name: str) -> Column:
     """Value of the last attribute called ``name``: '' when it has none, NULL when absent."""
-    found = F.filter(tokens, lambda t: t.rlike(rf"(?i)^{name}(?:\s*=|$)"))
-
-    def value(t: Column) -> Column:
-        raw = F.when(F.contains(t, F.lit("=")), F.regexp_replace(t, _NAME_AND_QUOTES, "")).otherwise("")
-        return F.when(t.isNotNull(), decode_entities(raw))
-
-    return let(F.try_element_at(found, F.lit(-1)), value)
+    named = sql_text(rf"(?i)^{name}(?:\s*=|$)")
+    raw = f"if(contains(k, '='), regexp_replace(k, {sql_text(_NAME_AND_QUOTES)}, ''), '')"
+    value = f"case when k is not null then {_decoded(raw)} end"
+    last = f"try_element_at(filter(v, x -> x rlike {named}), -1)"
+    return apply_sql(sql_let(last, "k", value), tokens)
 
 
 def title_of(html: Column, limit: int | None = 160) -> Column:

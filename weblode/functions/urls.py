@@ -11,9 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .expr import built_once, let
+from .expr import apply_sql, built_once, let, sql_let, sql_text
 
 _SEP = chr(1)
+_CUT = _SEP.join(["$1", "$2", "$3", "$4", "$5"])
+_EDGE_SPACE = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]+"
 _HTTP = r"(?is)^(https?):[/\\]+([^/\\?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 _BAD_PATH = r'[^\x21\x24-\x3b\x3d\x40-\x5d\x5f\x61-\x7a\x7c\x7e]'
 _BAD_QUERY = r"""[^\x21\x24-\x26\x28-\x3b\x3d\x3f-\x7e]"""
@@ -24,90 +26,76 @@ _ONE_DOT = r"(?i)^(?:\.|%2e)$"
 _TWO_DOTS = r"(?i)^(?:\.|%2e){2}$"
 
 
-def _escape(text: Column, unsafe: str) -> Column:
-    """Percent-encode the characters that match ``unsafe``; untouched text costs one test."""
+def _escape(text: str, unsafe: str) -> str:
+    """SQL: percent-encode what matches ``unsafe``; untouched text costs one test."""
+    pattern = sql_text(unsafe)
+    one = f"if(c rlike {pattern}, regexp_replace(hex(encode(c, 'UTF-8')), '(..)', '%$1'), c)"
+    whole = f"if(t rlike {pattern}, array_join(transform(split(t, ''), c -> {one}), ''), t)"
+    return sql_let(text, "t", whole)
 
-    def one(c: Column) -> Column:
-        return F.when(
-            c.rlike(unsafe),
-            F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"),
-        ).otherwise(c)
 
-    def whole(t: Column) -> Column:
-        escaped = F.array_join(F.transform(F.split(t, ""), one), "")
-        return F.when(t.rlike(unsafe), escaped).otherwise(t)
+def _without_dots(path: str) -> str:
+    """SQL: resolve ``.`` and ``..`` segments."""
+    two, one, either = (sql_text(x) for x in (_TWO_DOTS, _ONE_DOT, _DOT_SEGMENT))
+    step = f"""(done, seg) -> case
+        when seg rlike {two} then slice(done, 1, greatest(size(done) - 1, 0))
+        when seg rlike {one} then done
+        else concat(done, array(seg)) end"""
+    ends_open = f"element_at(segs, -1) rlike {one} or element_at(segs, -1) rlike {two}"
+    folded = f"""concat('/', array_join(concat(
+        aggregate(segs, cast(array() as array<string>), {step}),
+        if({ends_open}, array(''), cast(array() as array<string>))), '/'))"""
+    resolved = sql_let("split(substring(p, 2), '/', -1)", "segs", folded)
+    return sql_let(path, "p", f"if(p rlike {either}, {resolved}, p)")
 
-    return let(text, whole)
 
-
-def _without_dots(path: Column) -> Column:
-    def segments(p: Column) -> Column:
-        return F.split(F.substring(p, 2, 2147483647), "/", -1)
-
-    def step(done: Column, seg: Column) -> Column:
-        return (
-            F.when(
-                seg.rlike(_TWO_DOTS),
-                F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-            )
-            .when(seg.rlike(_ONE_DOT), done)
-            .otherwise(F.concat(done, F.array(seg)))
-        )
-
-    def resolved(segs: Column) -> Column:
-        folded = F.aggregate(segs, F.array().cast("array<string>"), step)
-        last = F.element_at(segs, -1)
-        closed = F.when(
-            last.rlike(r"(?i)^(?:\.|%2e){1,2}$"), F.concat(folded, F.array(F.lit("")))
-        ).otherwise(folded)
-        return F.concat(F.lit("/"), F.array_join(closed, "/"))
-
-    return let(
-        path, lambda p: F.when(p.rlike(_DOT_SEGMENT), let(segments(p), resolved)).otherwise(p)
-    )
-
-
-def _numeric_host(host: Column) -> Column:
-    """Dotted form of a host written as decimal, octal or hexadecimal numbers.
+def _numeric_host(host: str) -> str:
+    """SQL: dotted form of a host written as decimal, octal or hexadecimal numbers.
 
     ``http://2130706433/`` and ``http://0x7f.1/`` both name 127.0.0.1.
     """
-
-    def number(part: Column) -> Column:
-        return (
-            F.when(
-                part.rlike(r"^0x[0-9a-f]*$"),
-                F.conv(F.concat(F.lit("0"), F.substring(part, 3, 99)), 16, 10),
-            )
-            .when(part.rlike(r"^0[0-7]+$"), F.conv(part, 8, 10))
-            .when(part.rlike(r"^(0|[1-9]\d*)$"), part)
-            .try_cast("decimal(20,0)")
-            .try_cast("bigint")
-        )
-
-    def value(numbers: Column) -> Column:
-        n = F.size(numbers)
-        lead = F.slice(numbers, F.lit(1), n - 1)
-        high = F.aggregate(lead, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p)
-        room = F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), n)
-        known = (n <= 4) & ~F.exists(numbers, lambda x: x.isNull())
-        fits = ~F.exists(lead, lambda p: p > 255) & (F.element_at(numbers, -1) < room)
-        return F.when(known, F.when(fits, high * room + F.element_at(numbers, -1)))
-
-    def dotted(v: Column) -> Column:
-        octets = [F.shiftright(v, 8 * k).bitwiseAND(F.lit(255)).cast("string") for k in (3, 2, 1, 0)]
-        return F.when(v.isNotNull(), F.concat_ws(".", *octets))
-
-    def whole(h: Column) -> Column:
-        numbers = F.transform(F.split(F.regexp_replace(h, r"\.$", ""), r"\."), number)
-        ends_in_number = h.rlike(r"^(?:[^\[]*\.)?(?:\d+|0x[0-9a-f]*)\.?$")
-        return F.when(ends_in_number, let(let(numbers, value), dotted)).otherwise(h)
-
-    return let(host, whole)
-
-
-def _tidy(url: Column) -> Column:
-    return F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]+", "")
+    number = r"""try_cast(try_cast(case
+        when part rlike '^0x[0-9a-f]*$' then conv(concat('0', substring(part, 3)), 16, 10)
+        when part rlike '^0[0-7]+$' then conv(part, 8, 10)
+        when part rlike '^(0|[1-9][0-9]*)$' then part end as decimal(20, 0)) as bigint)"""
+    room = "element_at(array(4294967296L, 16777216L, 65536L, 256L), size(n))"
+    lead = "slice(n, 1, size(n) - 1)"
+    value = f"""case when size(n) <= 4 and not exists(n, x -> x is null) then
+        case when not exists({lead}, x -> x > 255) and element_at(n, -1) < {room}
+          then aggregate({lead}, 0L, (acc, x) -> acc * 256 + x) * {room} + element_at(n, -1) end end"""
+    octets = ", ".join(f"cast(shiftright(a, {k}) & 255 as string)" for k in (24, 16, 8, 0))
+    dotted = f"case when a is not null then concat_ws('.', {octets}) end"
+    numbers = f"transform(split(rtrim('.', h), '[.]'), part -> {number})"
+    converted = sql_let(sql_let(numbers, "n", value), "a", dotted)
+    ends_in_number = r"h rlike '^(?:[^\\[]*[.])?(?:[0-9]+|0x[0-9a-f]*)[.]?$'"
+    return sql_let(host, "h", f"if({ends_in_number}, {converted}, h)")
+
+
+def _parts_text() -> str:
+    """SQL over ``v``: a URL taken apart, or NULL unless it is a valid http(s) URL."""
+    # the slash in the middle is a backslash in URLs written by hand
+    path = r"regexp_replace(p[2], '\\\\', '/')"
+    taken = f"""named_struct(
+        'scheme', lower(p[0]),
+        'host', {_numeric_host("regexp_replace(a, ':[0-9]*$', '')")},
+        'port', regexp_replace(regexp_extract(a, ':([0-9]*)$', 1), '^0+(?=.)', ''),
+        'path', {_without_dots(_escape(path, _BAD_PATH))},
+        'query', {_escape("p[3]", _BAD_QUERY)},
+        'fragment', {_escape("p[4]", _BAD_FRAGMENT)})"""
+    fields = sql_let("lower(regexp_replace(p[1], '^.*@', ''))", "a", taken)
+    port = "if(concat_ws(':', f.scheme, f.port) in ('http:80', 'https:443'), '', f.port)"
+    valid = f"""f.host rlike {sql_text(_VALID_HOST)}
+        and (f.port = '' or try_cast(f.port as bigint) <= 65535)"""
+    finished = f"""case when {valid} then named_struct(
+        'scheme', f.scheme, 'host', f.host, 'port', {port},
+        'origin', concat(f.scheme, '://', f.host, if({port} = '', '', concat(':', f.port))),
+        'path', if(f.path = '', '/', f.path), 'query', f.query, 'fragment', f.fragment) end"""
+    cut = f"split(regexp_replace({_tidy('v')}, {sql_text(_HTTP)}, {sql_text(_CUT)}), {sql_text(_SEP)}, -1)"
+    return sql_let(cut, "p", f"case when size(p) = 5 then {sql_let(fields, 'f', finished)} end")
+
+
+def _tidy(url: str) -> str:
+    return f"regexp_replace({url}, {sql_text(_EDGE_SPACE)}, '')"
 
 
 def parts(url: Column) -> Column:
@@ -115,46 +103,7 @@ def parts(url: Column) -> Column:
 
     ``query`` keeps its ``?`` and ``fragment`` its ``#``; ``host`` excludes the port.
     """
-    def authority_parts(p: Column) -> Column:
-        authority = F.lower(F.regexp_replace(p[1], r"^.*@", ""))
-        return let(
-            authority,
-            lambda a: F.struct(
-                F.lower(p[0]).alias("scheme"),
-                _numeric_host(F.regexp_replace(a, r":\d*$", "")).alias("host"),
-                F.regexp_replace(F.regexp_extract(a, r":(\d*)$", 1), "^0+(?=.)", "").alias("port"),
-                _without_dots(_escape(F.regexp_replace(p[2], r"\\", "/"), _BAD_PATH)).alias("path"),
-                _escape(p[3], _BAD_QUERY).alias("query"),
-                _escape(p[4], _BAD_FRAGMENT).alias("fragment"),
-            ),
-        )
-
-    def finish(f: Column) -> Column:
-        default_port = F.concat_ws(":", f["scheme"], f["port"]).isin("http:80", "https:443")
-        port = F.when(default_port, F.lit("")).otherwise(f["port"])
-        suffix = F.when(default_port | (f["port"] == ""), F.lit("")).otherwise(
-            F.concat(F.lit(":"), f["port"])
-        )
-        valid = f["host"].rlike(_VALID_HOST) & (
-            (f["port"] == "") | (f["port"].try_cast("bigint") <= 65535)
-        )
-        return F.when(
-            valid,
-            F.struct(
-                f["scheme"].alias("scheme"),
-                f["host"].alias("host"),
-                port.alias("port"),
-                F.concat(f["scheme"], F.lit("://"), f["host"], suffix).alias("origin"),
-                F.when(f["path"] == "", F.lit("/")).otherwise(f["path"]).alias("path"),
-                f["query"].alias("query"),
-                f["fragment"].alias("fragment"),
-            ),
-        )
-
-    fields = F.split(
-        F.regexp_replace(_tidy(url), _HTTP, _SEP.join(["$1", "$2", "$3", "$4", "$5"])), _SEP, -1
-    )
-    return let(fields, lambda p: F.when(F.size(p) == 5, let(authority_parts(p), finish)))
+    return apply_sql(_PARTS, url)
 
 
 @built_once
@@ -186,31 +135,36 @@ def canonical(url: Column) -> Column:
     return let(parts(url), href_of)
 
 
-def resolve_parts(href: Column, base: Column) -> Column:
-    """Parts of ``href`` seen from ``base`` (a struct made by ``parts``); NULL if not http(s)."""
+def _joined_text() -> str:
+    """SQL over ``v`` (``href``, ``base``): the text of the address a link points to."""
+    folder = "regexp_replace(b.path, '[^/]*$', '')"
+    same_scheme = "lower(substring_index(h, ':', 1)) = b.scheme"
+    bare = "regexp_replace(h, '^[^:]*:', '')"
+    return sql_let(
+        "v.base",
+        "b",
+        sql_let(
+            _tidy("v.href"),
+            "h",
+            rf"""case
+              when b is null then null
+              when h rlike '(?i)^https?:[/\\\\]' then h
+              when h rlike '(?i)^https?:' and {same_scheme} then concat(b.origin, {folder}, {bare})
+              when h rlike '(?i)^https?:' then concat(substring_index(h, ':', 1), '://', {bare})
+              when h rlike '^[a-zA-Z][a-zA-Z0-9+.-]*:' then null
+              when h rlike '^[/\\\\][/\\\\]' then concat(b.scheme, ':', h)
+              when h rlike '^[/\\\\]' then concat(b.origin, h)
+              when h like '?%' then concat(b.origin, b.path, h)
+              when h like '#%' then concat(b.origin, b.path, b.query, h)
+              when h = '' then concat(b.origin, b.path, b.query)
+              else concat(b.origin, {folder}, h) end""",
+        ),
+    )
 
-    def joined(h: Column) -> Column:
-        folder = F.regexp_replace(base["path"], "[^/]*$", "")
-        scheme_match = h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:")
-        return (
-            F.when(h.rlike(r"(?i)^https?:[/\\]"), h)
-            .when(
-                h.rlike(r"(?i)^https?:"),
-                F.when(
-                    F.lower(F.regexp_extract(h, r"^([^:]*):", 1)) == base["scheme"],
-                    F.concat(base["origin"], folder, F.regexp_replace(h, r"^[^:]*:", "")),
-                ).otherwise(F.regexp_replace(h, "^([^:]*):", "$1://")),
-            )
-            .when(scheme_match, F.lit(None).cast("string"))
-            .when(h.rlike(r"^[/\\]{2}"), F.concat(base["scheme"], F.lit(":"), h))
-            .when(h.rlike(r"^[/\\]"), F.concat(base["origin"], h))
-            .when(h.rlike(r"^\?"), F.concat(base["origin"], base["path"], h))
-            .when(h.rlike(r"^#"), F.concat(base["origin"], base["path"], base["query"], h))
-            .when(h == "", F.concat(base["origin"], base["path"], base["query"]))
-            .otherwise(F.concat(base["origin"], folder, h))
-        )
 
-    return F.when(base.isNotNull(), parts(let(_tidy(href), joined)))
+def resolve_parts(href: Column, base: Column) -> Column:
+    """Parts of ``href`` seen from ``base`` (a struct made by ``parts``); NULL if not http(s)."""
+    return parts(apply_sql(_JOINED, F.struct(href.alias("href"), base.alias("base"))))
 
 
 def absolute(href: Column, base: Column) -> Column:
@@ -379,3 +333,7 @@ def call_name(method: Column, pattern: Column) -> Column:
         let(named, build),
         lambda n: F.when(n.rlike("^[a-z]"), n).otherwise(F.concat(F.lit("call_"), n)),
     )
+
+
+_PARTS = _parts_text()
+_JOINED = _joined_text()
