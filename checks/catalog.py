@@ -176,7 +176,7 @@ select origin, row_number() over (partition by origin order by members desc, ord
   raw_origin || '/' || array_to_string(segs, '/') as raw_url, param_name, example, members
 from b qualify rank <= 25""")
 def url_template_clusters(spark, sf):
-    inventory = inp.table(spark, sf, "pages").select(F.col("page_id").alias("ord"), "url")
+    inventory = inp.page_captures(spark, sf).select(F.col("capture_id").alias("ord"), "url")
     return templates.url_template_clusters(inventory, scope="site")
 
 
@@ -626,7 +626,7 @@ u as (
   union all select event_id, 1, 'http://h' || event_id || '.shopsite.net/', false from a)
 select event_id, url from u where (ip and not {_private_sql('n')}) or (not ip and n = 1)""")
 def public_targets(spark, sf):
-    e = inp.table(spark, sf, "events").select(
+    e = cap_src.spread_small(inp.table(spark, sf, "events")).select(
         "event_id",
         F.pmod(F.floor(F.col("value") * 1000003).cast("bigint") * 7919, F.lit(4294967296)).alias("n"),
     )

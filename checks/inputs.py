@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblode.sources.captures import read_pages
+from weblode.sources.captures import read_pages, spread_small
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # --- captures of the page table ---------------------------------------------------------------
 def page_captures(spark: SparkSession, sf: str) -> DataFrame:
-    return read_pages(table(spark, sf, "pages"))
+    return read_pages(spread_small(table(spark, sf, "pages")))
 
 
 # --- call log, one call per event -------------------------------------------------------------
@@ -41,7 +41,7 @@ from events
 
 
 def call_log(spark: SparkSession, sf: str) -> DataFrame:
-    table(spark, sf, "events").createOrReplaceTempView("events")
+    spread_small(table(spark, sf, "events")).createOrReplaceTempView("events")
     return spark.sql(CALLS_SQL.format(str="string"))
 
 
@@ -98,7 +98,7 @@ def product_pages(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     price = F.format_string("%.2f", "p_retailprice")
     return read_pages(
-        table(spark, sf, "part").select(
+        spread_small(table(spark, sf, "part")).select(
             text("p_partkey").alias("page_id"),
             F.concat(F.lit("https://shop.shopsite.net/product/"), text("p_partkey")).alias("url"),
             F.concat(
@@ -125,7 +125,7 @@ from documents
 
 
 def document_pages(spark: SparkSession, sf: str) -> DataFrame:
-    table(spark, sf, "documents").createOrReplaceTempView("documents")
+    spread_small(table(spark, sf, "documents")).createOrReplaceTempView("documents")
     return read_pages(spark.sql(DOC_PAGES_SQL.format(str="string")))
 
 
@@ -192,7 +192,7 @@ from customer
 
 
 def api_specs(spark: SparkSession, sf: str) -> DataFrame:
-    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    spread_small(table(spark, sf, "customer")).createOrReplaceTempView("customer")
     return spark.sql(SPECS_SQL.format(str="string"))
 
 

@@ -89,3 +89,12 @@ def any_contains(text: Column, words: list[str]) -> Column:
     for word in words:
         out = out | F.contains(text, F.lit(word))
     return out
+
+
+def matches(hay: Column, low: Column, pattern: str, words: list[str]) -> Column:
+    """``hay rlike pattern`` behind a cheap test.
+
+    ``low`` is ``hay`` in lower case; every match of ``pattern`` holds one of ``words``, and a
+    substring search is far cheaper than trying every alternative at every character.
+    """
+    return any_contains(low, words) & hay.rlike(pattern)

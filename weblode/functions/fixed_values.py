@@ -185,6 +185,13 @@ RENDERED_WALL = (
     r"|please verify you are|bot or not|perimeterx|pardon our interruption"
     r"|enable cookies to continue"
 )
+# words of which every match of the two wall patterns holds at least one
+WALL_WORDS = [
+    "captcha", "human", "unusual traffic", "just a moment", "checking your browser",
+    "enable javascript and cookies", "denied", "attention required", "something went wrong",
+    "cf-chl", "akamai", "please verify you are", "bot or not", "perimeterx",
+    "pardon our interruption", "enable cookies to continue",
+]
 STATIC_WALL = (
     r"(?i)are you a human|verify you are human|unusual traffic|captcha|just a moment"
     r"|checking your browser|enable javascript and cookies|access (?:to this page has been )?denied"
@@ -217,6 +224,10 @@ AUTH_WALL_TEXT = (
     r"|you must (?:be )?(?:signed|logged)\s?in|create an account or sign in"
     r"|to continue, (?:sign|log)\s?in"
 )
+# words of which every match of the sign-in pattern holds at least one
+AUTH_WALL_WORDS = [
+    "sign", "log", "join linkedin", "join to view", "join now to", "create an account or sign in",
+]
 APP_MOUNT = (
     r"""(?i)<(?:div|main|section)[^>]+id=["'](?:root|app|__next|app-root|__nuxt|svelte"""
     r"""|application)["']"""
@@ -262,6 +273,12 @@ SENSITIVE_TEXT = (
     r"|security code|expiration date|password|one[-_ ]?time code|verification code|social security"
     r"|order confirmation|invoice)"
 )
+# words of which every match of the text pattern holds at least one
+SENSITIVE_TEXT_WORDS = [
+    "checkout", "payment", "billing", "shipping address", "card number", "credit card",
+    "debit card", "cvv", "cvc", "code", "expiration date", "password", "social security",
+    "order confirmation", "invoice",
+]
 LONG_DIGITS = r"\b(?:\d[ -]?){12,19}\b"
 
 # --- fixed values: records ------------------------------------------------------------------------------------

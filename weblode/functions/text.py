@@ -15,12 +15,20 @@ _ATTRIBUTE = (
 
 # what surrounds the bare value in name="value", name='value' and name=value
 _NAME_AND_QUOTES = r"""(?s)^[^=]*=\s*["']?|["']$"""
-_ASCII_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_WORD = "[A-Za-z0-9_]"
 
 
 def ascii_words(pattern: str) -> str:
-    """Make ``\\b`` look at ASCII letters only, as the patterns expect."""
-    return pattern.replace(r"\b", _ASCII_BOUNDARY)
+    """Make ``\\b`` look at ASCII letters only, as the patterns expect.
+
+    All patterns given here start and end with word characters, so the boundary before the
+    words is a look-behind and the one after them a look-ahead.
+    """
+    head, *rest = pattern.split(r"\b")
+    for i, piece in enumerate(rest):
+        leads = "(" in "".join(rest[i:])
+        head += (f"(?<!{_WORD})" if leads else f"(?!{_WORD})") + piece
+    return head
 
 
 def trim_ws(text: Column) -> Column:

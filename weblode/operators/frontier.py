@@ -107,11 +107,14 @@ def _ipv4_number(host: Column) -> Column:
 
 
 def _in_private_range(number: Column) -> Column:
-    out = F.lit(False)
-    for base, bits in fv.PRIVATE_IPV4:
-        low = sum(int(octet) << shift for octet, shift in zip(base.split("."), (24, 16, 8, 0)))
-        out = out | number.between(low, low + 2 ** (32 - bits) - 1)
-    return out
+    def within(n: Column) -> Column:
+        out = F.lit(False)
+        for base, bits in fv.PRIVATE_IPV4:
+            low = sum(int(octet) << shift for octet, shift in zip(base.split("."), (24, 16, 8, 0)))
+            out = out | n.between(low, low + 2 ** (32 - bits) - 1)
+        return out
+
+    return let(number, within)
 
 
 def private_address(host: Column) -> Column:

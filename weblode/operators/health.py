@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text, urls
-from ..functions.expr import any_contains, built_once, cut, let
+from ..functions.expr import any_contains, built_once, cut, let, matches
 from ..functions.rows import unnest
 from ..schema import WHOLE, Limits
 from .pages import page_facts
@@ -20,42 +20,56 @@ def _health(limits: Limits) -> Column:
     page_html = col("html")
     calls = F.coalesce(F.size("network"), F.lit(0))
 
-    def flags(shown: Column) -> Column:
-        length = F.length(shown)
-        wall = title.rlike(fv.RENDERED_WALL) | cut(page_html, limits.wall_window).rlike(fv.RENDERED_WALL)
-        password = page_html.rlike(fv.PASSWORD_FIELD) & (
-            title.rlike(text.ascii_words(fv.LOGIN_TITLE))
-            | col("url").rlike(text.ascii_words(fv.LOGIN_PAGE_URL))
-            | (length < 2000)
+    texts = F.struct(
+        text.stripped_text(page_html).alias("shown"), F.lower(page_html).alias("low")
+    )
+
+    def flags(t: Column) -> Column:
+        length = F.length(t["shown"])
+        window = cut(page_html, limits.wall_window)
+        wall = title.rlike(fv.RENDERED_WALL) | matches(
+            window, t["low"], fv.RENDERED_WALL, fv.WALL_WORDS
+        )
+        password = (
+            F.contains(t["low"], F.lit("password"))
+            & page_html.rlike(fv.PASSWORD_FIELD)
+            & (
+                title.rlike(text.ascii_words(fv.LOGIN_TITLE))
+                | col("url").rlike(text.ascii_words(fv.LOGIN_PAGE_URL))
+                | (length < 2000)
+            )
+        )
+        interstitial = (
+            (calls == 0)
+            & (length < 6000)
+            & matches(t["shown"], t["low"], fv.AUTH_WALL_TEXT, fv.AUTH_WALL_WORDS)
+        )
+        needs_script = F.contains(t["low"], F.lit("javascript")) & page_html.rlike(
+            text.ascii_words(fv.NEEDS_SCRIPT)
         )
-        interstitial = (calls == 0) & (length < 6000) & shown.rlike(fv.AUTH_WALL_TEXT)
         return F.struct(
             length.alias("text_length"),
             calls.alias("calls"),
             wall.alias("wall"),
-            (wall | ((length < 500) & (calls == 0))).alias("looks_blocked"),
             (password | interstitial).alias("login_wall"),
-            page_html.rlike(fv.STATIC_WALL).alias("static_wall"),
-            any_contains(F.lower(page_html), fv.NAVIGATION_WALL).alias("bot_walled"),
-            (
-                page_html.rlike(text.ascii_words(fv.NEEDS_SCRIPT))
-                & page_html.rlike(fv.APP_MOUNT)
-                & (length < 600)
-            ).alias("spa_shell"),
+            matches(page_html, t["low"], fv.STATIC_WALL, fv.WALL_WORDS).alias("static_wall"),
+            any_contains(t["low"], fv.NAVIGATION_WALL).alias("bot_walled"),
+            (needs_script & page_html.rlike(fv.APP_MOUNT) & (length < 600)).alias("spa_shell"),
         )
 
-    return let(text.stripped_text(page_html), flags)
+    return let(texts, flags)
 
 
 def capture_health(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """Wall and shell flags and the quality score of each capture."""
     h = lambda name: F.col(f"h.{name}")
+    blocked = h("wall") | ((h("text_length") < 500) & (h("calls") == 0))
     return captures.withColumn("h", _health(limits)).select(
         "capture_id",
         "url",
         h("text_length").alias("text_length"),
         h("calls").alias("calls"),
-        h("looks_blocked").alias("looks_blocked"),
+        blocked.alias("looks_blocked"),
         h("login_wall").alias("login_wall"),
         (h("wall") | h("login_wall")).alias("needs_human"),
         (h("login_wall") | (h("wall") & (h("text_length") < 3000))).alias("human_wall"),
@@ -65,7 +79,7 @@ def capture_health(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
         (
             h("calls").cast("bigint") * 1000
             + h("text_length")
-            - F.when(h("looks_blocked"), 1_000_000).otherwise(0)
+            - F.when(blocked, 1_000_000).otherwise(0)
         ).alias("score"),
     )
 
@@ -179,7 +193,9 @@ def _withheld() -> Column:
     in_form = F.exists(form_text, lambda t: t.rlike(path) | t.rlike(fv.SENSITIVE_FIELD))
     in_field = (F.size(forms) > 0) & F.exists(field_text, lambda t: t.rlike(fv.SENSITIVE_FIELD))
     in_text = let(
-        body, lambda b: b.rlike(fv.SENSITIVE_TEXT) | b.rlike(text.ascii_words(fv.LONG_DIGITS))
+        body,
+        lambda b: matches(b, F.lower(b), fv.SENSITIVE_TEXT, fv.SENSITIVE_TEXT_WORDS)
+        | b.rlike(text.ascii_words(fv.LONG_DIGITS)),
     )
     return F.array_compact(
         F.array(

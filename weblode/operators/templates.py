@@ -246,7 +246,7 @@ def all_query_patterns(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame
 def _wildcards() -> Column:
     """Every position after the first turned into a wildcard, when a word precedes it."""
     segs = F.col("segs")
-    return F.filter(
+    marked = F.filter(
         F.transform(
             F.sequence(F.lit(1), F.size(segs) - 1),
             lambda i: F.struct(
@@ -260,6 +260,7 @@ def _wildcards() -> Column:
         ),
         lambda w: w["entity"].rlike("(?i)^[a-z]"),
     )
+    return F.when(F.size(segs) >= 2, marked)
 
 
 def url_template_clusters(
@@ -273,8 +274,8 @@ def url_template_clusters(
 
     A position is a parameter when at least ``min_members`` distinct values occur there.
     """
-    here = inventory.select("ord", urls.parts_of("url").alias("u"))
-    parsed = here.filter(F.col("u").isNotNull()).select(
+    # no filter on the parsed address: it would be pushed down and parse every URL again
+    parsed = inventory.select("ord", urls.parts_of("url").alias("u")).select(
         "ord",
         (
             urls.registrable_domain(F.col("u.host")) if scope == "site" else F.col("u.origin")
@@ -285,7 +286,7 @@ def url_template_clusters(
     if max_urls is not None:
         parsed = first_rows(parsed, ["origin"], [F.col("ord")], n=max_urls)
     wild = unnest(
-        parsed.filter(F.size("segs") >= 2),
+        parsed,
         ["origin", "raw_origin", "ord", F.col("segs"), F.size("segs").alias("depth")],
         _wildcards(),
         "at",
@@ -304,9 +305,7 @@ def url_template_clusters(
         .filter(F.col("members") >= min_members)
     )
     leading = first_rows(
-        values.join(groups.select(*key), key, "left_semi").select(
-            *key, "value", F.col("first.ord").alias("ord")
-        ),
+        values.select(*key, "value", F.col("first.ord").alias("ord")),
         key,
         [F.col("ord"), F.col("at"), F.col("value")],
         n=50,

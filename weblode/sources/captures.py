@@ -185,6 +185,16 @@ def read_captures(
     return check_captures(bundles, limits)
 
 
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Spread a direct file scan over all cores when it has fewer splits than there are cores.
+
+    Mining html is work for the processor.  A table that small is bounded by cores x split
+    size, so shuffling it is cheap; a corpus has more splits than cores and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_pages(pages: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """Captures from a table of ``page_id, url, html``; no calls, not rendered."""
     html = cut(F.col("html"), limits.html)
