@@ -1119,3 +1119,15 @@ def infer_tools(spark, sf):
 
     tools, _ = run(inp.shop_pages(spark, sf))
     return tools.select("capture_id", "source", "pos", "name", "kind", "url_pattern", "confidence")
+
+
+# literals such as 0.58 are decimals in DuckDB; Spark's confidences are doubles
+for _name in (
+    "current_page_query", "detail_templates", "detail_templates_by_site", "query_templates",
+    "form_candidates", "page_capabilities", "search_actions", "openapi_operations",
+    "graphql_endpoints", "network_candidates", "registry_status", "read_candidates",
+    "recipe_candidates", "content_candidates",
+):
+    ORACLES[_name] = (
+        f"select * replace (cast(confidence as double) as confidence) from ({ORACLES[_name]}) q"
+    )
