@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,8 @@ from weblode.sources import candidates as cand_src
 from weblode.sources import captures as cap_src
 from weblode.sources import robots, sinks, specs
 from weblode.sources.calls import read_network_log
-from weblode.streaming import drift, failures
+from weblode.session import ensure_checkpoint_dir
+from weblode.streaming import discovery, drift, failures
 
 from . import inputs as inp
 from . import sqltext as sq
@@ -726,9 +728,8 @@ def network_candidates(spark, sf):
 # ------------------------------------------------------------------ coverage
 @query("coverage_delta", f"""
 with {CALLS}, f as (select *, method || ' ' || url_pattern as sig, cast(capture_id as varchar) as site from useful),
-mid as (select min(ts) + (max(ts) - min(ts)) / 10 as m from events),
-old as (select distinct site, sig from f, mid where ts < m),
-new as (select f.* from f, mid where ts >= m qualify row_number() over (partition by site, sig order by pos, capture_id) = 1)
+old as (select distinct site, sig from f where ts < timestamp '2024-01-03'),
+new as (select f.* from f where ts >= timestamp '2024-01-03' qualify row_number() over (partition by site, sig order by pos, capture_id) = 1)
 select new.site, new.sig, new.pos, new.capture_id from new anti join old using (site, sig)""")
 def coverage_delta(spark, sf):
     calls = _useful_calls(spark, sf).select(
@@ -737,10 +738,7 @@ def coverage_delta(spark, sf):
         urls.endpoint_signature(F.col("method"), F.col("url_pattern")).alias("sig"),
         F.lit(0).alias("source_rank"),
     )
-    ends = inp.table(spark, sf, "events").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    split = calls.crossJoin(F.broadcast(ends)).withColumn(  # one row: the two ends of the log
-        "late", F.col("ts") >= F.col("t0") + (F.col("t1") - F.col("t0")) / 10
-    )
+    split = calls.withColumn("late", F.col("ts") >= F.lit("2024-01-03").cast("timestamp_ntz"))
     known = split.filter("not late").select("site", F.lit("sig").alias("kind"), F.col("sig").alias("value")).distinct()
     return coverage.uncovered(split.filter("late"), known).select("site", "sig", "pos", "capture_id")
 
@@ -1107,8 +1105,7 @@ def content_candidates(spark, sf):
 @query("payload_table", f"""
 with {PAGE_PARTS} select capture_id, count(*) as links from links group by 1""")
 def payload_table(spark, sf):
-    captures = inp.page_captures(spark, sf)
-    table = sinks.payload_table(captures, pages.mine(captures))
+    table = sinks.payload_table(inp.page_captures(spark, sf))
     listed = F.from_json(F.get_json_object("payload", "$.page_analysis.links"), "array<struct<href:string>>")
     return table.select("capture_id", F.size(listed).cast("bigint").alias("links"))
 
@@ -1121,6 +1118,88 @@ def infer_tools(spark, sf):
     return tools.select("capture_id", "source", "pos", "name", "kind", "url_pattern", "confidence")
 
 
+# ------------------------------------------------------------------ crawl plan, best capture, streams
+FRONTIER = ORACLES["crawl_frontier"]
+
+
+@query("crawl_plan", f"""
+with f as ({FRONTIER}), p as (
+  select page_id as capture_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) as origin,
+    regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') as own_path from pages),
+a as (
+  select capture_id, 0 as stage, 0 as pos, origin || '/' as url from p
+  union all select capture_id, 1, 0, url from p where own_path <> ''
+  union all select capture_id, 2, pos, url from f)
+select capture_id, url, row_number() over (partition by capture_id order by stage, pos) as visit from a qualify visit <= 4""")
+def crawl_plan(spark, sf):
+    return frontier.crawl_plan(inp.page_captures(spark, sf)).select("capture_id", "url", "visit")
+
+
+@query("best_capture", """
+select source as url, arg_max(doc_id, (n_chars, -doc_id)) as capture_id, max(n_chars) as score from documents group by 1""")
+def best_capture(spark, sf):
+    docs = inp.table(spark, sf, "documents").select(
+        F.col("source").alias("url"), F.col("doc_id").alias("capture_id"), "n_chars"
+    )
+    return calls_ops.best_capture(docs, F.col("n_chars")).select("url", "capture_id", "score")
+
+
+@query("probe_results", f"select url, 'GET' as method, status, body from ({inp.probes_sql()}) p")
+def probe_results(spark, sf):
+    probes = inp.probes(spark, sf).withColumn("method", F.lower("method"))
+    return cand_src.read_probe_results(probes)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("stream_discovery", """
+select 'shopsite.net' as site, 'GET /api/' || event_type || '/' || (event_id % 50) as sig, cast(arg_min(user_id, event_id) as varchar) as capture_id
+from events group by 1, 2""")
+def stream_discovery(spark, sf):
+    schema = inp.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    folder = _scratch(spark, "discovery")
+
+    def material(batch: DataFrame) -> DataFrame:
+        return batch.select(
+            F.lit("shopsite.net").alias("site"),
+            urls.endpoint_signature(
+                F.lit("GET"),
+                F.concat(F.lit("/api/"), F.col("event_type"), F.lit("/"), (F.col("event_id") % 50).cast("string")),
+            ).alias("sig"),
+            F.lit(0).alias("source_rank"),
+            F.col("event_id").alias("pos"),
+            F.col("user_id").alias("capture_id"),
+            F.col("props").alias("payload"),
+        )
+
+    discovery.stream_discovery(stream, material, f"{folder}/table", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("site", "sig", "capture_id")
+
+
+@query("page_drift", """
+with b as (select user_id, ts, event_id, event_type || cast(event_id % 3 as varchar) as h, ts >= timestamp '2024-01-15' as late from events),
+n as (select user_id, late, arg_max(h, ts) as h from b group by 1, 2)
+select 'https://u' || x.user_id || '.net/' as url, x.h as dom_hash, x.late as second,
+  x.late and y.h is not null and y.h <> x.h as drifted
+from n x left join n y on y.user_id = x.user_id and x.late and not y.late""")
+def page_drift(spark, sf):
+    folder = _scratch(spark, "drift")
+    captures = inp.table(spark, sf, "events").select(
+        F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".net/")).alias("url"),
+        F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("dom_hash"),
+        F.col("ts").cast("timestamp").alias("captured_at"),
+    )
+    late = F.col("captured_at") >= F.lit("2024-01-15").cast("timestamp")
+    drift.drift_batch(captures.filter(~late), 0, folder)
+    drift.drift_batch(captures.filter(late), 1, folder)
+    return spark.read.parquet(folder).select("url", "dom_hash", (F.col("batch_id") == 1).alias("second"), "drifted")
+
+
 # literals such as 0.58 are decimals in DuckDB; Spark's confidences are doubles
 for _name in (
     "current_page_query", "detail_templates", "detail_templates_by_site", "query_templates",

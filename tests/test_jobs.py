@@ -265,3 +265,49 @@ def test_proposals(spark):
     rows = read_candidates(df).collect()
     assert sorted((r.capture_id, r.pos) for r in rows) == [("a", 0), ("b", 0), ("b", 1)]
     assert tuple(rows[0].params[0]) == ("q", "query", "k", "number", True)
+
+
+def snapshot(spark, page, html="<p>x</p>", url="https://www.a.com/list"):
+    """Accepted captures with a page snapshot."""
+    bundle = {
+        "bundleId": "11111111-1111-4111-8111-111111111111", "source": "extension", "url": url, "capturedAt": "2024-01-01T00:00:00Z",
+        "legalMode": "safe", "dom": {"html": html, "domHash": "x"}, "network": [], "page": page, "meta": {"renderedWithJs": True},
+    }
+    df = spark.createDataFrame([(json.dumps(bundle),)], "raw string").select(F.from_json("raw", cap.WIRE_CAPTURE).alias("b")).select("b.*")
+    return cap.check_captures(df)[0]
+
+
+PAGE = {
+    "actions": [
+        {"kind": "button", "label": "Show more", "selector": "#m"}, {"kind": "button", "label": "Add to cart", "selector": "#c"},
+        {"kind": "link", "label": "textbook", "selector": "#t"},
+    ],
+    "forms": [
+        {"selector": "#f", "method": "GET", "purpose": "search", "fields": [{"name": "q", "type": "text", "required": True}]},
+        {"selector": "#g", "method": "POST", "action": "https://www.a.com/go", "purpose": "form",
+         "fields": [{"name": "from", "type": "text", "required": True}, {"name": "to", "type": "text", "required": True}]},
+    ],
+    "appState": [{"source": "window.__STATE__", "keys": ["items"]}],
+}
+
+
+def test_capabilities_of_a_live_page(spark):
+    from weblode.operators.candidates import page_capabilities
+
+    got = {r.capability: r.confidence for r in page_capabilities(snapshot(spark, PAGE)).collect()}
+    assert got == {
+        "extract_page_metadata": 0.56, "list_page_items": 0.6, "search_travel_options": 0.7, "search_in_browser": 0.63,
+        "go_to_next_page": 0.62, "add_to_cart": 0.7, "open_cart": 0.61,
+    }
+
+
+def test_delta_of_a_live_page(spark):
+    captures = snapshot(spark, PAGE)
+    known = spark.createDataFrame([("a.com", "name", "add_to_cart"), ("a.com", "sig", "POST /go")], "site string, kind string, value string")
+    delta, flags = coverage.discovery_delta(captures, None, known)
+    assert {(r.source, r.sig) for r in delta.collect()} == {("form", "GET /list"), ("appstate", "APPSTATE /window.__STATE__")}
+    assert [r.name for r in coverage.new_actions(captures, known).collect()] == ["go_to_next_page"]
+    assert flags.first().has_new
+    everything = known.unionByName(spark.createDataFrame(
+        [("a.com", "sig", "GET /list"), ("a.com", "name", "go_to_next_page")], known.schema))
+    assert not coverage.discovery_delta(captures, None, everything)[1].first().has_new

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weblode.functions.rows import first_rows
+from weblode.functions.rows import first_rows, number_rows
 from weblode.operators import calls, dedupe, templates
 
 
@@ -23,13 +23,14 @@ def test_salted_top_rows_equal_plain_ones(spark):
 
 def test_keep_first_is_pruned_before_the_shuffle(spark):
     df = spark.range(1000).select(
-        F.lit("c").alias("capture_id"), F.lit("GET").alias("method"), F.lit("/a/{id}").alias("url_pattern"),
+        (F.col("id") % 2).alias("capture_id"), F.col("id").cast("string").substr(9, 9).alias("method"),
+        F.lit("/a/{id}").alias("url_pattern"),
         F.lit("https://a.com/a/1").alias("raw_url"), F.col("id").alias("pos"),
     )
     out = calls.dedupe_calls(df)
-    assert out.count() == 1 and out.first().pos == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # once before and once after the exchange
+    assert sorted(r.pos for r in out.collect()) == [0, 1]
 
 
 def test_hot_origin_clusters(spark):
@@ -57,3 +58,17 @@ def test_hot_capture_is_matched_in_rounds(spark):
         if r.name not in names and r.sig not in sigs:
             names.add(r.name), sigs.add(r.sig), want.add(r.ord)
     assert {r.ord for r in dedupe.greedy_pairs(df, ["k"], fold_limit=100).collect()} == want
+
+
+def test_hot_key_is_numbered_by_parts(spark):
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("k"),
+        ((F.col("id") * 7919) % 6007).alias("o"),
+    )
+    rows = sorted((r.k, r.o) for r in df.collect())
+    want, seen = set(), {}
+    for k, o in rows:
+        seen[k] = seen.get(k, 0) + 1
+        want.add((k, o, seen[k]))
+    out = number_rows(df.repartition(6), ["k"], ["o"], "n")
+    assert {(r.k, r.o, r.n) for r in out.collect()} == want

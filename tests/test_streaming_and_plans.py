@@ -65,8 +65,10 @@ def test_plans_end_to_end(spark, pages, tmp_path):
     probes = spark.createDataFrame([("https://shop.net/", "GET", 200, "ok")], "url string, method string, status int, body string")
     live = pipelines.emit(tools, probes)
     assert ("a", "fetch_page_content", 0.8) in {(r.capture_id, r.name, r.confidence) for r in live.collect()}
-    payload = pipelines.prepare_payloads(captures, workdir=str(tmp_path / "work2"))
-    assert payload.count() == 2
+    rules = spark.createDataFrame([("https://other.net", "User-agent: *\nDisallow: /log*")], "origin string, body string")
+    assert pipelines.prepare_payloads(captures).count() == 2
+    assert [r.capture_id for r in pipelines.prepare_payloads(captures, rules).collect()] == ["a"]
+    assert pipelines.prepare_payloads(captures, rules, policy="full").count() == 2
 
 
 def test_registry_tables(spark, tmp_path):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def first_rows(
     df: DataFrame,
@@ -38,6 +40,34 @@ def first_rows(
     return out if rank_name else out.drop(name)
 
 
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Number all rows of each key from 1 in ``order``, however many a key has.
+
+    Rows are range-partitioned by key and order, so a hot key is spread over many tasks; each
+    part is numbered on its own and shifted by the sizes of the parts before it.  The
+    partitioning is stored first, because both steps must see the same one.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = (
+        df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
+        .withColumn("_part", F.spark_partition_id())
+        .checkpoint()
+    )
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        parts.groupBy(*keys, "_part")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*keys, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    )
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    return (
+        parts.withColumn(name, F.row_number().over(within))
+        .join(offsets, [*keys, "_part"])
+        .withColumn(name, F.col(name) + F.col("_offset"))
+        .drop("_part", "_offset")
+    )
+
+
 def unnest(df: DataFrame, keep: Sequence[Column | str], array: Column, present: str) -> DataFrame:
     """One row per struct of ``array``; ``present`` names a field that is never NULL.
 

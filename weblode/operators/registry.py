@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rows import first_rows
+from ..functions.rows import first_rows, number_rows
 from .dedupe import contract_problem
 
 
@@ -64,16 +64,17 @@ def heal_outcomes(heals: DataFrame, healed: DataFrame, versions: DataFrame, serv
     )
 
 
-def next_versions(entries: DataFrame, registry: DataFrame, order: Column | None = None) -> DataFrame:
+def next_versions(
+    entries: DataFrame, registry: DataFrame, order: tuple[str, ...] = ("server_id",)
+) -> DataFrame:
     """Give each new entry the next version of its exact url.
 
-    Entries of one url in one batch are numbered in order.  The number is one row-number over
-    slim rows, and a url that gets many entries at once costs one sorted pass.
+    Entries of one url in one batch are numbered in ``order``; a url with very many entries is
+    numbered by several tasks.
     """
     known = registry.groupBy("url").agg(F.max("version").alias("_known"))
-    window = Window.partitionBy("url").orderBy(order if order is not None else F.col("server_id"))
     return (
-        entries.withColumn("_place", F.row_number().over(window))
+        number_rows(entries, ["url"], order, "_place")
         .join(known, "url", "left")
         .withColumn("version", (F.coalesce("_known", F.lit(0)) + F.col("_place")).cast("int"))
         .drop("_place", "_known")

@@ -24,22 +24,19 @@ from ..sources.robots import robots_gate
 from ..sources.sinks import payload_table
 
 
-def admit(captures: DataFrame, robots: DataFrame | None, policy: str = "respect") -> DataFrame:
-    """Captures with a public address that the site's robots rules allow."""
-    public = public_targets(captures, "url")
-    if robots is None:
-        return public
-    gated = robots_gate(public, robots, policy=policy)
-    return gated.filter("robots_allowed").select(*captures.columns)
-
-
 def prepare_payloads(
-    captures: DataFrame, robots: DataFrame | None = None, workdir: str | None = None, limits: Limits = WHOLE
+    captures: DataFrame, robots: DataFrame | None = None, policy: str = "respect", limits: Limits = WHOLE
 ) -> DataFrame:
-    """Captures to the per-page input of a proposer."""
-    admitted = admit(captures, robots)
-    facts = mine(admitted, workdir, limits)
-    return payload_table(admitted, facts)
+    """Captures to the per-page input of a proposer.
+
+    Only public pages that robots rules allow.  The rules are joined last, so that only the
+    finished payloads, and not html, can meet a shuffle.
+    """
+    payloads = payload_table(public_targets(captures, "url"), limits=limits)
+    if robots is None:
+        return payloads
+    gated = robots_gate(payloads, robots, policy=policy)
+    return gated.filter("robots_allowed").select(*payloads.columns)
 
 
 def infer_tools(

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import urls
+from ..operators.pages import all_search_actions, kinds_column, page_facts
 from ..operators.registry import current_versions, next_versions
+from ..schema import WHOLE, Limits
 
 
 def registry_problem() -> Column:
@@ -71,25 +73,31 @@ def live_tools(versions: DataFrame, server: str = "server_id") -> DataFrame:
     return versions.join(newest, [server, "version"], "left_semi")
 
 
-def payload_table(
-    captures: DataFrame, facts: DataFrame, dom_sample: int | None = None
-) -> DataFrame:
+def payload_table(captures: DataFrame, dom_sample: int | None = 8000, limits: Limits = WHOLE) -> DataFrame:
     """Per capture, everything a proposer needs as one JSON text.
 
-    Network rows come from the capture's own array, so nothing is regrouped.
+    All of it comes from the capture's own row, so nothing is joined or regrouped.  The DOM
+    sample is what the proposer is shown; the analysis beside it covers the whole page.
     """
+    facts = page_facts(
+        captures, "site", "linked_data", "sample", "forms", "links", "buttons", limits=limits
+    )
     html = F.col("html") if dom_sample is None else F.substring("html", 1, dom_sample)
-    analysis = facts.select(
-        "capture_id",
-        F.struct("links", "forms", "buttons", F.col("linked_data.types").alias("types"), "sample").alias(
-            "page_analysis"
-        ),
+    analysis = F.struct(
+        "title",
+        "links",
+        "forms",
+        "buttons",
+        F.col("linked_data.types").alias("types"),
+        all_search_actions(limits).alias("search_actions"),
+        kinds_column().alias("kinds"),
+        F.col("sample").alias("text_sample"),
     )
-    return captures.join(analysis, "capture_id").select(
+    return facts.select(
         "capture_id",
         "url",
         F.to_json(
-            F.struct("url", "page_analysis", html.alias("dom_sample"), "network")
+            F.struct("url", analysis.alias("page_analysis"), html.alias("dom_sample"), "network")
         ).alias("payload"),
     )
 
