@@ -306,7 +306,28 @@ def _params_text():
     ).alias("params")
 
 
-@query("link_candidates")
+SHOP_MATERIAL = f"""
+{SHOP}, counts as (
+  select capture_id, count(*) as items, count(distinct p_size) as authors, count(distinct p_partkey % 3) as pages,
+    count(distinct p_size % 2) as sorts, min(replace(p_brand, 'Brand#', '')) as brand, min(p_partkey) as first_key,
+    arg_min('https://shop.shopsite.net/products/' || p_partkey || '?page=' || (p_partkey % 3) || '&size=' || p_size, p_partkey) as item_url,
+    arg_min('https://shop.shopsite.net/author/' || p_size, p_partkey) as author_url
+  from shop group by 1),
+material as (
+  select capture_id, 'query' as source, 0 as pos, 'paginate_results' as name, '/brand/' || brand as url_pattern,
+    'https://shop.shopsite.net/brand/' || brand as raw_url, 'page:query:false' as params, 0.55 as confidence from counts
+  union all
+  select capture_id, 'query', 1, 'paginate_results', '/list', 'https://shop.shopsite.net/list',
+    case when sorts > 1 then 'page:query:false,sort:query:false' else 'page:query:false' end, 0.56 from counts where pages > 1 or sorts > 1
+  union all
+  select capture_id, 'detail', 1, 'get_product_page', '/products/{{id}}', item_url, 'id:path:true', 0.58 from counts where items >= 3
+  union all
+  select capture_id, 'detail', case when items >= 3 then 2 else 1 end, 'get_author_page', '/author/{{author}}', author_url, 'author:path:true', 0.56
+  from counts where authors >= 3)
+"""
+
+
+@query("link_candidates", f"with {SHOP_MATERIAL} select * from material")
 def link_candidates(spark, sf):
     return cand.link_candidates(pages.mine(inp.shop_pages(spark, sf))).select(
         "capture_id", "source", "pos", "name", "url_pattern", "raw_url", _params_text(), "confidence"
@@ -326,9 +347,17 @@ def page_capabilities(spark, sf):
     )
 
 
-@query("capability_shares")
+@query("capability_shares", f"""
+with {SHOP}, g as (select capture_id, count(*) as n, count(distinct p_size) as authors from shop group by 1),
+c as (
+  select 'extract_page_metadata' as capability, 0.56 as confidence, true as offered from g
+  union all select 'list_page_items', 0.6, n >= 2 or authors >= 3 from g
+  union all select 'get_product_details', 0.66, n >= 3 from g)
+select 'shopsite.net' as site, capability, count(*) filter (where offered) as offering, round(avg(confidence) filter (where offered), 9) as confidence,
+  count(*) as pages, round(count(*) filter (where offered) / count(*), 9) as share from c group by capability""")
 def capability_shares(spark, sf):
-    return cand.capability_shares(pages.mine(inp.shop_pages(spark, sf)))
+    shares = cand.capability_shares(pages.mine(inp.shop_pages(spark, sf)))
+    return shares.withColumn("share", F.round("share", 9)).withColumn("confidence", F.round("confidence", 9))
 
 
 # ------------------------------------------------------------------ product pages
@@ -751,7 +780,7 @@ def coverage_of(spark, sf):
     return coverage.coverage_of(inp.tools(spark, sf))
 
 
-@query("discovery_delta")
+@query("discovery_delta", f"with {SHOP_MATERIAL} select capture_id, source, pos, 'GET ' || url_pattern as sig from material")
 def discovery_delta(spark, sf):
     mined = pages.mine(inp.shop_pages(spark, sf))
     known = coverage.coverage_of(inp.tools(spark, sf))
@@ -1205,7 +1234,7 @@ for _name in (
     "current_page_query", "detail_templates", "detail_templates_by_site", "query_templates",
     "form_candidates", "page_capabilities", "search_actions", "openapi_operations",
     "graphql_endpoints", "network_candidates", "registry_status", "read_candidates",
-    "recipe_candidates", "content_candidates",
+    "recipe_candidates", "content_candidates", "link_candidates", "capability_shares",
 ):
     ORACLES[_name] = (
         f"select * replace (cast(confidence as double) as confidence) from ({ORACLES[_name]}) q"

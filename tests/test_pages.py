@@ -193,3 +193,21 @@ def test_form_candidates_filter(pages):
     )
     got = rows(candidates.form_candidates(pages(("1", URL, html))).orderBy("pos"), "name", "method", "confidence")
     assert got == [("post_orders", "POST", 0.5), ("search", "GET", 0.54)]
+
+
+def test_broken_html_never_fails(spark, pages):
+    html = (
+        "<html><head><base href='/b/'><title>T</title><script type='application/ld+json'>{\"@type\":\"Product\",\"name\":\"x\"}</script>"
+        "<![if x]><!-- c --><style>p{}</style></head><body><form action='/s'><input name=q value=\"a'b\"></form>"
+        "<ul><li><a href='/item/1'>One &amp; <b>two</b></a> $5</li></ul><svg><a href=x></svg><button>Go</button></body></html>"
+    )
+    page = pages(*[(str(i), URL, html[:i]) for i in range(0, len(html) + 1, 5)])
+    facts = P.page_facts(page, "site", "links", "forms", "buttons", "linked_data", "sample")
+    assert facts.select("links", "forms", "buttons", "linked_data", "sample").count() == page.count()
+    facts.select("links", "forms", "buttons", "linked_data", "sample").write.format("noop").mode("overwrite").save()
+    records.listing_records(page, guard=False).write.format("noop").mode("overwrite").save()
+    records.product_records(page, guard=False).write.format("noop").mode("overwrite").save()
+    health.capture_health(page).write.format("noop").mode("overwrite").save()
+    odd = pages(("1", "not a url", "<a href='/x'>x</a>"), ("2", URL, "<a href='http://[bad'>x</a><a href='/%zz?%'>y</a>"))
+    got = {(r.capture_id, r.href) for r in P.page_links(odd).collect()}
+    assert got == {("2", "https://a.com/%zz?%")}

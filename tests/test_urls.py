@@ -72,11 +72,11 @@ def test_signature_and_names(spark):
     got = [r[0] for r in df.select(urls.endpoint_signature(F.col("m"), F.col("p"))).collect()]
     assert got == ["GET /x/{id}", "GET /x/%7Bid%7D", "GET /y", "POST /", "APPSTATE APPSTATE"]
     names = spark.createDataFrame(
-        [("POST", "/youtubei/v1/search"), ("GET", "/voyager/api/graphql"), ("GET", "/api/v1/"), ("GET", "/{id}")],
+        [("POST", "/musicbox/v1/search"), ("GET", "/harbour/api/graphql"), ("GET", "/api/v1/"), ("GET", "/{id}")],
         "m string, p string",
     ).select(urls.call_name(F.col("m"), F.col("p")))
     assert [r[0] for r in names.collect()] == [
-        "post_youtubei_search", "get_voyager", "get_api_v1", "get_endpoint",
+        "post_musicbox_search", "get_harbour", "get_api_v1", "get_endpoint",
     ]
 
 

@@ -105,8 +105,11 @@ def read_cards(html: pd.Series) -> pd.Series:
 
     def one(doc: str | None) -> list[dict]:
         reader = _CardReader()
-        reader.feed(doc or "")
-        reader.close()
+        try:
+            reader.feed(doc or "")
+            reader.close()
+        except (AssertionError, ValueError):
+            pass  # the parser gives up on some broken declarations; what was read still counts
         return reader.rows()
 
     return html.map(one)
