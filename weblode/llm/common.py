@@ -80,9 +80,8 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i < n."""
     if len(_POWERS[0]) < n:
-        n = max(n, 1 << 16)
         for k, b in enumerate((BASE, INVERSE)):
-            p = np.full(n, b, np.uint64)
+            p = np.full(max(n, 1 << 16), b, np.uint64)
             p[0] = 1
             _POWERS[k] = np.multiply.accumulate(p)
     return _POWERS[0][:n], _POWERS[1][:n]

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ring_sharding
-from .common import documents
+from . import bpe, cross_entropy, exact_dedup, kn_quality, mixing, ngram_join, ring_sharding, suffix_dedup, syncmers, toxicity
+from .common import documents, table
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_documents(documents(spark, sf_dir))
 
 
 def op2_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +26,47 @@ def op3_stateful_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), 200)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(documents(spark, sf_dir), width=4, percent=85)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.shard_documents(documents(spark, sf_dir), 40)
 
 
+def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    return cross_entropy.score(docs, docs.join(trusted, "doc_id", "left_semi"))
+
+
 QUERIES = {
+    "op1_closed_syncmers": op1_closed_syncmers,
     "op2_budget_mix": op2_budget_mix,
     "op3_stateful_stream_dedup": op3_stateful_stream_dedup,
+    "op4_kneser_ney": op4_kneser_ney,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_toxicity": op8_toxicity,
     "op9_bounded_ring": op9_bounded_ring,
+    "op10_cross_entropy": op10_cross_entropy,
 }
 
 ORACLES = {

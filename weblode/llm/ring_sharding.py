@@ -23,7 +23,9 @@ def ring(spark, shards: int, vnodes: int, slot_bits: int) -> DataFrame:
     """For each slot the shards in clockwise order: (slot, clockwise).  At most 2^slot_bits rows."""
     points = spark.range(shards * vnodes).select(
         (F.col("id") % shards).cast("int").alias("shard"),
-        F.shiftrightunsigned(F.xxhash64(F.lit("point"), "id"), 64 - slot_bits).cast("int").alias("at"),
+        F.shiftrightunsigned(
+            F.xxhash64(F.lit("point"), F.col("id") % shards, F.floor(F.col("id") / shards)), 64 - slot_bits
+        ).cast("int").alias("at"),
         "id",
     )
     # shards * vnodes points: one small sorted array, by which each point knows the shards behind it
