@@ -163,14 +163,18 @@ def test_exact_state_goes_on(spark, tmp_path):
 # --- 4: Kneser-Ney ---
 
 
+def classes(sentence, vocabulary, unknown):
+    return ["<again>" if w == back else w if w in vocabulary else unknown(w) for back, w in zip([None, *sentence], sentence, strict=False)]
+
+
 def brute_kneser_ney(sentences, vocabulary, unknown):
     """Interpolated modified Kneser-Ney by dictionaries; returns a function of (a, b, c)."""
     from collections import Counter
 
-    tri, sizes = Counter(), len(vocabulary) + 3
+    tri, sizes = Counter(), len(vocabulary) + 4
     for s in sentences:
-        ids = [w if w in vocabulary else unknown(w) for w in s]
-        tri.update(zip(["<s>", "<s>", *ids][: len(ids)], ["<s>", *ids], ids, strict=False))
+        ids = classes(s, vocabulary, unknown)
+        tri.update(x for x in zip(["<s>", "<s>", *ids], ["<s>", *ids], ids, strict=False) if x[2] != "<again>")
     bi = Counter((b, c) for _, b, c in tri)
     uni = Counter(c for _, c in bi)
 
@@ -208,26 +212,29 @@ def test_kneser_ney_equals_brute_force(spark):
     vocabulary = {w for w, n in counts.items() if n >= 2}
     shape = lambda w: "<sign>" if "%" in w else "<digit>" if any(x.isdigit() for x in w) else "<letters>"
     p = brute_kneser_ney(split, vocabulary, shape)
-    for text in [texts[0], prose(99, 15, 12), "new a1 e2 %% q7", "a1"]:
-        ids = [w if w in vocabulary else shape(w) for w in (x.decode() for x in words(text))]
+    for text in [texts[0], prose(99, 15, 12), "new a1 e2 e2 %% %% q7", "a1"]:
+        ids = classes([x.decode() for x in words(text)], vocabulary, shape)
         want = [np.log(p(a, b, c)) for a, b, c in zip(["<s>", "<s>", *ids], ["<s>", *ids], ids, strict=False)]
         (_, _, got, doc), = kn_quality.tokens(pa.array([text]), model.vocabulary)
         assert np.allclose(model.log_probability(got, doc), want, atol=1e-5)
-    known = [*sorted(vocabulary), "<letters>", "<digit>", "<sign>"]
+    known = [*sorted(vocabulary), "<letters>", "<digit>", "<sign>", "<again>"]
     assert abs(sum(p("<s>", known[0], c) for c in known) - 1) < 1e-9
 
 
 def test_quality_keeps_prose_and_drops_noise(spark):
-    good = [(i, prose(i, 120, 40)) for i in range(60)]
-    bad = [(100 + i, " ".join(f"{w}%%{i}" for w in prose(i, 40).split())) for i in range(10)]
-    odd = [(200 + i, t) for i, t in enumerate(AWKWARD)] + [(None, good[0][1])]
-    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good[:40]] + [(100, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    good = [(i, prose(i, 120, 40)) for i in range(220)]
+    bad = [(300 + i, " ".join(f"{w}%%{i}" for w in prose(i, 40).split())) for i in range(10)]
+    odd = [(400 + i, t) for i, t in enumerate(AWKWARD)] + [(None, good[0][1])]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good[:200]] + [(300, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = kn_quality.classify(frame(spark, good + bad + odd), labels).collect()
     assert len(rows) == len(good) + len(bad) + len(odd)
     accepted = {r.doc_id for r in rows if r.accepted}
-    assert sum(i in accepted for i, _ in good) >= 55
+    assert sum(i in accepted for i, _ in good) >= 200
     assert not any(i in accepted for i, _ in bad)
-    assert not any(200 + i in accepted for i, t in enumerate(AWKWARD) if not words(t))
+    assert not any(400 + i in accepted for i, t in enumerate(AWKWARD) if not words(t))
+    kept = kn_quality.accepted_rows(frame(spark, good + bad + odd), labels)
+    assert kept.columns == frame(spark, []).columns
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in rows if r.accepted)
     none = kn_quality.classify(frame(spark, good[:3] + [(9, None)]), labels.limit(0)).collect()
     assert {r.doc_id: r.accepted for r in none} == {0: True, 1: True, 2: True, 9: False}
     assert kn_quality.classify(frame(spark, []), labels).count() == 0
@@ -373,7 +380,7 @@ def near_cases():
     return texts
 
 
-@pytest.mark.parametrize("bits,frequent", [(21, 2), (4, 0)])
+@pytest.mark.parametrize("bits,frequent", [(20, 4), (4, -9)])
 def test_join_equals_brute_force(spark, bits, frequent):
     texts = near_cases()
     rows = ngram_join.similar_groups(frame(spark, texts, 4), slot_bits=bits, frequent=frequent).collect()
