@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import binary_parts, blocks, mix, stored, whole_text, words_of
 from .components import components
 
-SLOT_BITS = 21
+SLOT_BITS = 24
 INVOLVED_BITS = 24
 NEIGHBOURS = 4
-#: A token is frequent from so many times the usual count of a slot, plus 16.
-FREQUENT = 2
+#: A token is frequent if its slot counts more than the mean by so many standard deviations of a random slot, plus 2.
+FREQUENT = 4
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -98,33 +98,83 @@ def index_keys(shingles: np.ndarray, frequency: np.ndarray, percent: int) -> np.
     return np.unique(np.concatenate(keys))
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each range of hashes, 8 to 16 on average, at most 255."""
+    bits = max(2, (len(shingles) // 8).bit_length() - 1)
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
+    """Whether two sets can be similar by their signatures: they share no more than the smaller count of each range."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    both = min(na, nb)
+    if 255 not in a and 255 not in b:
+        few = min(len(x), len(y))
+        both = int(np.minimum(x.reshape(few, -1).sum(1), y.reshape(few, -1).sum(1)).sum())
+    return 100 * both >= percent * (na + nb - both)
+
+
 def _members(width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), node_of(s)) for _, s in shingle_sets(batch.column("text"), width)]
-            sizes, nodes = zip(*sets, strict=True) if sets else ((), ())
+            sets = [(len(s), node_of(s), signature(s)) for _, s in shingle_sets(batch.column("text"), width)]
+            sizes, nodes, marks = zip(*sets, strict=True) if sets else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())],
-                names=["doc_id", "n_shingles", "node"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary())],
+                names=["doc_id", "n_shingles", "node", "signature"],
             )
 
     return task
 
 
 def _slots(width: int, slot_bits: int):
+    """Shingles that fall into each slot, of the documents of a task: a row per lot of slots, as 32-bit counts."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << slot_bits, np.uint32)
+        for batch in batches:
+            for _, s in shingle_sets(batch.column("text"), width):
+                # shingles of one text that fall into one slot count once: slots only order the shingles
+                counts[(s >> np.uint64(64 - slot_bits)).astype(np.int64)] += 1
+        for lot, part in enumerate(np.split(counts, max(1, len(counts) >> 16))):
+            if part.any():
+                wide = np.uint8 if part.max() < 256 else np.uint32
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lot], pa.int32()), pa.array([part.astype(wide).tobytes()])], names=["lot", "counts"]
+                )
+
+    return task
+
+
+def _sum_slots(size: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << slot_bits, np.int64)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            lot = [s for _, s in shingle_sets(batch.column("text"), width)]
-            if lot:
-                counts += np.bincount((np.concatenate(lot) >> np.uint64(64 - slot_bits)).astype(np.int64), minlength=len(counts))
-        used = np.flatnonzero(counts)
-        for part in np.array_split(used, max(1, len(used) >> 16)):
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["slot", "n"])
+            for lot, raw in zip(batch.column("lot").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                part = np.frombuffer(raw, np.uint8 if len(raw) == size else np.uint32)
+                sums[lot] = sums[lot] + part if lot in sums else part.astype(np.int64)
+        for lot, part in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lot], pa.int32()), pa.array([np.minimum(part, (1 << 32) - 1).astype(np.uint32).tobytes()])], names=["lot", "counts"]
+            )
 
     return task
 
 
+def frequency_classes(rows: DataFrame, width: int, slot_bits: int, frequent: float) -> np.ndarray:
+    """Class of each slot: 0 for usual counts, then the higher the more shingles fall into it. One byte per slot."""
+    size = min(1 << slot_bits, 1 << 16)
+    lots = rows.select("text").mapInArrow(_slots(width, slot_bits), "lot int, counts binary").repartition("lot")
+    counts = np.zeros(1 << slot_bits, np.uint32)
+    for row in lots.mapInArrow(_sum_slots(size), "lot int, counts binary").toLocalIterator():
+        counts[row.lot * size : (row.lot + 1) * size] = np.frombuffer(row.counts, np.uint32)
+    mean = counts.sum(dtype=np.float64) / len(counts)
+    usual = mean + frequent * mean**0.5 + 2
+    above = np.log2(np.maximum(counts / usual, 0.5))
+    return np.where(counts > usual, 1 + np.floor(above), 0).astype(np.uint8)
+
+
 def _keys(width: int, percent: int, classes, slot_bits: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # copies in one task are indexed once
@@ -246,59 +296,84 @@ def _verify(percent: int):
     return task
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes whose sets are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
+def _plausible(percent: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("ga", "na", "gb", "nb"))
+            mask = pa.array([may_be_similar(*row, percent) for row in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return task
 
 
-def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_bits: int = SLOT_BITS, frequent: int = FREQUENT, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+def links_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets are similar: first by signature, then by the sets themselves.
+
+    ``nodes`` has node, doc_id, n_shingles and signature, ``rows`` doc_id and text.
+    """
+    spark = rows.sparkSession
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"g{x}"), F.col("n_shingles").alias(f"n{x}"))
+    close = stored(
+        pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "na", "gb", "nb").mapInArrow(_plausible(percent), "a long, b long"),
+        "join-close",
+    )
+    wanted = stored(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "join-wanted")
+    mask = F.lit((1 << INVOLVED_BITS) - 1)
+    slot = F.col("node").bitwiseXOR(F.col("doc_id") * F.lit(0x9E3779B1)).bitwiseAND(mask).cast("int")
+    used = wanted.select(slot.alias("at")).distinct().toArrow()
+    bits = np.zeros(1 << (INVOLVED_BITS - 3), np.uint8)  # 2 MB; rows it lets through in vain meet no pair
+    at = used.column(0).to_numpy()
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    involved = spark.sparkContext.broadcast(bits)
+    found = rows.mapInArrow(_sets(width, involved), "node long, doc_id long, shingles binary")
+    sets = stored(found.join(wanted, ["node", "doc_id"], "left_semi"), "join-sets")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    verified = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
+    return stored(verified, "join-links")
+
+
+def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_bits: int = SLOT_BITS, frequent: float = FREQUENT, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with doc_id, n_shingles and component_id, the smallest identifier reachable by links, itself included.
 
     Two rows link when ``100 * intersection >= percent * union`` of their shingle sets.  Texts without words, NULL among them,
-    link with nothing.  A NULL identifier links like any other but is never the smallest; a row that links to NULL identifiers
-    only has a NULL component.  Repeated rows have equal sets and link.  An empty table gives no rows.
+    link with nothing.  A NULL identifier links to equal texts only and is never the smallest; a row whose equals all
+    have NULL identifiers has a NULL component.  Repeated rows have equal sets and link.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    members = stored(rows.mapInArrow(_members(width), "doc_id long, n_shingles long, node long"), "join-members")
-    slots = rows.select("text").mapInArrow(_slots(width, slot_bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << slot_bits, np.int64)  # one number per slot, whatever the corpus holds
-    counts[slots.column(0).to_numpy()] = slots.column(1).to_numpy()
-    usual = frequent * counts.sum() // len(counts) + (16 if frequent else 1)
-    classes = spark.sparkContext.broadcast(np.array([int(x).bit_length() for x in range(256)], np.uint8)[np.minimum(counts // usual, 255)])
-    keyed = rows.select("text").mapInArrow(_keys(width, percent, classes, slot_bits), "key long, node long, n int")
+    members = stored(rows.mapInArrow(_members(width), "doc_id long, n_shingles long, node long, signature binary"), "join-members")
+    nodes = stored(
+        members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+        ),
+        "join-nodes",
+    )
+    members = members.drop("signature")
+    classes = spark.sparkContext.broadcast(frequency_classes(rows, width, slot_bits, frequent))  # one byte per slot
+    named = rows.filter("doc_id is not null").select("text")
+    keyed = named.mapInArrow(_keys(width, percent, classes, slot_bits), "key long, node long, n int")
     shared = stored(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, n int"), "join-keys")
     pairs = stored(
         shared.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_pairs(percent), "a long, b long").distinct(),
         "join-pairs",
     )
-    first = members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = shared.select("node").distinct().join(first, "node")
-    mask = F.lit((1 << INVOLVED_BITS) - 1)
-    used = wanted.select(F.col("node").bitwiseXOR(F.col("doc_id") * F.lit(0x9E3779B1)).bitwiseAND(mask).cast("int").alias("at")).distinct().toArrow()
-    bits = np.zeros(1 << (INVOLVED_BITS - 3), np.uint8)  # 2 MB; rows it lets through in vain meet no pair
-    at = used.column(0).to_numpy()
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    involved = spark.sparkContext.broadcast(bits)
-    sets = stored(rows.mapInArrow(_sets(width, involved), "node long, doc_id long, shingles binary").join(wanted, ["node", "doc_id"], "left_semi"), "join-sets")
-    links = stored(_links(pairs, sets, percent), "join-links")
+    links = links_of(pairs, nodes, rows, width, percent)
     found = components(links)
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter(
-        F.col("x") != F.col("y")
-    ).filter(F.col("m") > NEIGHBOURS + 1).select("key")
+        (F.col("x") != F.col("y")) & (F.col("m") > NEIGHBOURS + 1)
+    ).select("key")
     still = stored(placed.join(open_keys, "key"), "join-open")
-    one, two = still.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), still.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    one = still.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    two = still.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     rest = stored(one.join(two, "key").filter(apart).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
-        found = components(links.unionByName(_links(rest, sets, percent)))
-    named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).filter("n_shingles > 0")
-    least = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "join-names")
+        found = components(links.unionByName(links_of(rest, nodes, rows, width, percent)))
+    worded = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).filter("n_shingles > 0")
+    least = stored(worded.groupBy("component").agg(F.min("doc_id").alias("component_id")), "join-names")
     alone = members.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return worded.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
