@@ -269,6 +269,7 @@ def repeat_cases():
         a = rng.randrange(0, 200)
         texts.append(prose(50 + i, 40) + shared[a : a + rng.randrange(150, 320)] + prose(80 + i, 40))
     texts += [shared, shared, prose(7, 90), prose(7, 90), "ab" * 300, "ab" * 150 + "c", prose(3, 70) + "é" * 210, prose(4, 30) + "é" * 210 + "z"]
+    texts += [" ".join([shared[:260]] * 4 + [prose(70 + i, 5)]) for i in range(3)]
     texts += [shared[:199] + "!", shared[:200] + "?", prose(11, 40) * 3, "x" * 199 + prose(12, 60) + "x" * 200]
     return texts
 
@@ -311,13 +312,14 @@ def test_colliding_hashes_are_verified(monkeypatch):
 # --- 6: byte-level BPE ---
 
 
-def test_bpe_equals_the_library_and_decodes(spark):
+@pytest.mark.parametrize("native", [False, True])
+def test_bpe_equals_the_library_and_decodes(spark, native):
     import tiktoken
 
     ranks = bpe.read_ranks(RANKS)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = [*AWKWARD, prose(1, 50), "It's 1234 tests, you'll see\n\n  indented <|endoftext|>", "a" * 700 + " b", "ß€𝄞🙂 mixed ünïcödé", " " * 300 + "x", "the " * 40]
-    rows = bpe.decode(bpe.encode(frame(spark, texts, 2), RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    rows = bpe.decode(bpe.encode(frame(spark, texts, 2), RANKS, public_tokenizers.PATTERN, native=native), RANKS).collect()
     assert len(rows) == len(texts)
     for r in rows:
         text = texts[r.doc_id] or ""
@@ -328,7 +330,7 @@ def test_bpe_equals_the_library_and_decodes(spark):
 
 def test_heap_merges_equal_the_fold(spark):
     texts = [prose(i, 30) + "internationalisation" * 4 for i in range(4)]
-    whole = lambda: {r.doc_id: bytes(r.tokens) for r in bpe.decode(bpe.encode(frame(spark, texts, 1), RANKS, public_tokenizers.PATTERN), RANKS).collect()}
+    whole = lambda: {r.doc_id: bytes(r.tokens) for r in bpe.decode(bpe.encode(frame(spark, texts, 1), RANKS, public_tokenizers.PATTERN, native=True), RANKS).collect()}
     folded = whole()
     ranks = bpe.read_ranks(RANKS)
     single, pairs = [ranks[bytes([b])] for b in range(256)], bpe.pair_ranks(ranks)
@@ -380,10 +382,10 @@ def near_cases():
     return texts
 
 
-@pytest.mark.parametrize("bits,frequent", [(20, 4), (4, -9)])
-def test_join_equals_brute_force(spark, bits, frequent):
+@pytest.mark.parametrize("bits,frequent,block", [(20, 4, 1 << 20), (4, -9, 300)])
+def test_join_equals_brute_force(spark, bits, frequent, block):
     texts = near_cases()
-    rows = ngram_join.similar_groups(frame(spark, texts, 4), slot_bits=bits, frequent=frequent).collect()
+    rows = ngram_join.similar_groups(frame(spark, texts, 4), slot_bits=bits, frequent=frequent, block=block).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
     want = brute_groups(texts)
     assert {i: w for i, w in enumerate(want) if got[i] != w} == {}

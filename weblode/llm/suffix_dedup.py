@@ -59,6 +59,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM
         yield hashes[anchor], context, text, low + start - offsets[text], anchor - low, count
 
 
+def third_or_later(values: np.ndarray) -> np.ndarray:
+    """Whether a value has stood at least twice before in the array."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    out = np.zeros(len(values), bool)
+    out[order[2:]] = ordered[2:] == ordered[:-2]
+    return out
+
+
 def _anchors(length: int, chunk: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}  # a third copy in one task adds nothing to the second
@@ -74,8 +83,11 @@ def _anchors(length: int, chunk: int):
             for first, _, part, off in blocks(data, offsets):
                 for gram, context, text, low, ahead, count in anchors(part, off, length, chunk=chunk):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[first + text]), pa.array(low), pa.array(ahead.astype(np.int32)), pa.array(count.astype(np.int32))],
-                        names=[c.split()[0] for c in ANCHOR.split(", ")],
+                        [
+                            pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[first + text]), pa.array(low),
+                            pa.array(ahead.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(third_or_later(context)),
+                        ],
+                        names=[*(c.split()[0] for c in ANCHOR.split(", ")), "sure"],
                     )
 
     return task
@@ -85,9 +97,15 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram and context: contexts met more than once (kind 0), and one row of each context of a gram that has
     several (kind 1: met once, to be sorted; kind 2: met more often, as a partner)."""
     names = [c.split()[0] for c in ANCHOR.split(", ")]
+    # rows that are sure to repeat stand first and pass through; two more of their context are among the others
     held = None  # rows of the last run of equal contexts, of which only the first two are needed, and if another context came before
     for batch in batches:
         cols = [batch.column(c).to_numpy() for c in names]
+        if "sure" in batch.schema.names:
+            sure = batch.column("sure").to_numpy(zero_copy_only=False)
+            if sure.any():
+                yield _rows(cols, np.flatnonzero(sure), 0)
+                cols = [c[~sure] for c in cols]
         marks = None
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held[0], cols, strict=True)]
@@ -317,9 +335,11 @@ def _cut(keep_text: bool):
 
 def repeated_spans(rows: DataFrame, length: int, chunk: int = CHUNK, contexts: int = CONTEXTS) -> DataFrame:
     """Spans to remove of each text: (text_id, low, high), from rows (text_id, doc_id, body)."""
-    found = rows.select("text_id", F.col("body").alias("text")).mapInArrow(_anchors(length, chunk), ANCHOR)
+    found = rows.select("text_id", F.col("body").alias("text")).mapInArrow(_anchors(length, chunk), f"{ANCHOR}, sure boolean")
+    # a very common line has rows without end: what a task knows to repeat need not meet the others of its k-gram
+    place = F.when(F.col("sure"), F.xxhash64("text_id", "low")).otherwise(F.col("gram"))
     sifted = stored(
-        found.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(_sift, f"{ANCHOR}, kind int"), "suffix-anchors"
+        found.repartition(place).sortWithinPartitions("sure", "gram", "context").mapInArrow(_sift, f"{ANCHOR}, kind int"), "suffix-anchors"
     )
     whole = sifted.filter("kind = 0").select("text_id", "low", (F.col("low") + F.col("windows") - 1 + length).alias("high"))
     several = sifted.filter("kind > 0")
