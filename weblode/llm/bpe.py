@@ -1,13 +1,17 @@
 """Byte-level BPE encoding and decoding by a ranks file.
 
-Texts are split by the tokenizer's pattern; the distinct words of a block of documents become byte arrays, and Spark
-higher-order functions fold the ranked merges over them: the state of the fold is the word's tokens and the token that each
-neighbouring pair would become, the smallest of which is merged next.  The rank map is a literal of the plan, as buckets of
-pairs of tokens.  Blocks are rows, so nothing is shuffled: the words' tokens are put back in document order where the block was
-built.  Decoding concatenates the binary pieces of the tokens.
-
-A fold copies its arrays at each merge, so words of more than ``LONG`` bytes (rare: a run of letters or blanks) are merged
-with a heap instead, which gives the same tokens.
+Texts are split by the tokenizer's pattern, and the ranked merges are folded over the bytes of distinct words.  The fold comes in
+two styles with the same tokens, and neither shuffles anything:
+
+* ``native``: the distinct words of a block of documents become byte arrays, and Spark higher-order functions fold the merges
+  over them: the state is the word's tokens and the token that each neighbouring pair would become, the smallest of
+  which is merged next.  The rank map is a literal of the plan, as buckets of pairs of tokens.  Tokens are put back in document
+  order where the block was built.  The fold copies its arrays at each merge, so words of more than ``LONG`` bytes are merged with
+  a heap.
+* the free style, which is the default because the native one costs more than the check tool allows (see the README):
+  each task folds a distinct word once, in Python, with the same rank map as a broadcast dictionary.
+
+Decoding concatenates the binary pieces of the tokens.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import base64
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,7 +156,50 @@ def _split(pattern: str, single: list[int], shared):
     return task
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+class _Merged(dict):
+    """Tokens of each word met, made when first asked for; emptied at ``most`` words to stay small."""
+
+    def __init__(self, single: list[int], pairs: dict[tuple[int, int], int], most: int = 500_000):
+        super().__init__()
+        self.single, self.pairs, self.most = single, pairs, most
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word.encode()
+        ids = [self.single[b] for b in raw]
+        if len(ids) > LONG:
+            ids = merge_with_heap(raw, self.single, self.pairs)
+        rank_of = self.pairs.get
+        while len(ids) > 1:
+            ranks = [rank_of(p, NONE) for p in zip(ids, ids[1:], strict=False)]
+            best = min(ranks)
+            if best == NONE:
+                break
+            at = ranks.index(best)
+            ids[at : at + 2] = [best]
+        if len(self) >= self.most:
+            self.clear()
+        out = self[word] = array("I", ids).tobytes()
+        return out
+
+
+def _encode(pattern: str, single: list[int], shared):
+    words_of = regex.compile(pattern).findall
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged = _Merged(single, shared.value)
+        for batch in batches:
+            for first in range(0, len(batch), 1000):
+                lot = batch.slice(first, 1000)
+                tokens = [b"".join(map(merged.__getitem__, words_of(t))) for t in lot.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lot.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([tokens], pa.list_(pa.binary()))],
+                    names=["ids", "tokens"],
+                )
+
+    return task
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, native: bool = False, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Blocks of encoded documents: ids (identifiers), tokens (per document, 32-bit little-endian ids), in the rows' order.
 
     NULL text is empty and has no tokens.  Special tokens are ordinary text.  An empty table gives no blocks.
@@ -161,6 +209,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, row_id: str = "doc
     pairs = pair_ranks(ranks)
     shared = docs.sparkSession.sparkContext.broadcast(pairs)  # as many entries as the vocabulary has splits
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if not native:
+        return rows.mapInArrow(_encode(pattern, single, shared), "ids array<long>, tokens array<binary>")
     blocks = rows.mapInArrow(
         _split(pattern, single, shared),
         "ids array<long>, counts array<int>, index binary, words array<array<int>>, ready array<struct<i int, ids array<int>>>",
