@@ -7,8 +7,9 @@ their prefixes.  Frequent tokens are dealt into b parts by hash, so if no shared
 pairs of frequent tokens of a part are the index keys.  Candidates are verified on the full sets.
 
 Equal sets are one node.  A key with many nodes is not expanded into all pairs: nodes are compared with the first node of the key
-and the few before them, and only where a key then still spans several components are nodes of different components compared.
-That loses no link between components, so the components are exact.
+and the few before them, in an order of its own for each key, and only where a key then still spans several components are
+nodes of different components compared, block by block, until they are connected.  That loses no link between components, so
+the components are exact.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 from .common import binary_parts, blocks, mix, stored, whole_text, words_of
 from .components import components
 
-SLOT_BITS = 24
+SLOT_BITS = 22
 INVOLVED_BITS = 24
 NEIGHBOURS = 4
+RANGES = 64
+#: Shingles of a block of sets that are compared with one another in one task.
+BLOCK = 1 << 20
 #: A token is frequent if its slot counts more than the mean by so many standard deviations of a random slot, plus 2.
 FREQUENT = 4
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -105,6 +109,11 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def ranges(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of ``RANGES`` ranges of hashes."""
+    return np.bincount((shingles >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES).astype(np.int32)
+
+
 def may_be_similar(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
     """Whether two sets can be similar by their signatures: they share no more than the smaller count of each range."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -118,11 +127,12 @@ def may_be_similar(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
 def _members(width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), node_of(s), signature(s)) for _, s in shingle_sets(batch.column("text"), width)]
-            sizes, nodes, marks = zip(*sets, strict=True) if sets else ((), (), ())
+            sets = [(len(s), node_of(s), signature(s), ranges(s)) for _, s in shingle_sets(batch.column("text"), width)]
+            columns = list(zip(*sets, strict=True)) or [()] * 4
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "signature"],
+                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
+                names=["doc_id", "n_shingles", "node", "signature", "ranges"],
             )
 
     return task
@@ -171,8 +181,10 @@ def frequency_classes(rows: DataFrame, width: int, slot_bits: int, frequent: flo
         counts[row.lot * size : (row.lot + 1) * size] = np.frombuffer(row.counts, np.uint32)
     mean = counts.sum(dtype=np.float64) / len(counts)
     usual = mean + frequent * mean**0.5 + 2
-    above = np.log2(np.maximum(counts / usual, 0.5))
-    return np.where(counts > usual, 1 + np.floor(above), 0).astype(np.uint8)
+    classes = np.zeros(len(counts), np.uint8)
+    over = np.flatnonzero(counts > usual)
+    classes[over] = 1 + np.floor(np.log2(counts[over] / usual)).astype(np.uint8)
+    return classes
 
 
 def _keys(width: int, percent: int, classes, slot_bits: int):
@@ -225,7 +237,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near_pairs(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by key and node: each node with the first of its key and with the few before it."""
+        """Of rows sorted by key: each node with the first of its key and with the few before it."""
         tail = [np.zeros(0, np.int64)] * 3
         head = None  # key, node and n of the first row of the key that the batch begins with
         for batch in batches:
@@ -306,33 +318,110 @@ def _plausible(percent: int):
     return task
 
 
-def links_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets are similar: first by signature, then by the sets themselves.
+def sets_of(wanted: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """Sets (node, shingles) of the wanted nodes (node, doc_id), made again from the texts of ``rows``.
 
-    ``nodes`` has node, doc_id, n_shingles and signature, ``rows`` doc_id and text.
+    A bit per slot of (node, doc_id) tells the tasks which texts to return; what passes in vain is joined away.
     """
     spark = rows.sparkSession
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"g{x}"), F.col("n_shingles").alias(f"n{x}"))
-    close = stored(
-        pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "na", "gb", "nb").mapInArrow(_plausible(percent), "a long, b long"),
-        "join-close",
-    )
-    wanted = stored(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "join-wanted")
+    wanted = stored(wanted.select("node", "doc_id").distinct(), "join-wanted")
     mask = F.lit((1 << INVOLVED_BITS) - 1)
     slot = F.col("node").bitwiseXOR(F.col("doc_id") * F.lit(0x9E3779B1)).bitwiseAND(mask).cast("int")
     used = wanted.select(slot.alias("at")).distinct().toArrow()
-    bits = np.zeros(1 << (INVOLVED_BITS - 3), np.uint8)  # 2 MB; rows it lets through in vain meet no pair
+    bits = np.zeros(1 << (INVOLVED_BITS - 3), np.uint8)  # 2 MB
     at = used.column(0).to_numpy()
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     involved = spark.sparkContext.broadcast(bits)
     found = rows.mapInArrow(_sets(width, involved), "node long, doc_id long, shingles binary")
-    sets = stored(found.join(wanted, ["node", "doc_id"], "left_semi"), "join-sets")
+    return stored(found.join(wanted, ["node", "doc_id"], "left_semi").select("node", "shingles"), "join-sets")
+
+
+def links_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets are similar: first by signature, then by the sets themselves.
+
+    ``nodes`` has node, doc_id, n_shingles and signature, ``rows`` doc_id and text.
+    """
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"g{x}"), F.col("n_shingles").alias(f"n{x}"))
+    close = stored(
+        pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "na", "gb", "nb").mapInArrow(_plausible(percent), "a long, b long"),
+        "join-close",
+    )
+    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
+    sets = sets_of(wanted, rows, width)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     verified = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
     return stored(verified, "join-links")
 
 
-def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_bits: int = SLOT_BITS, frequent: float = FREQUENT, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _cross(percent: int):
+    """Of rows sorted by key and pair of blocks: links between nodes of different components, as few as connect them.
+
+    Each node is compared with all others of its key that are not in its component by then; most comparisons end at
+    the counts per range of hashes, which are made for all nodes at once.
+    """
+
+    def links(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        both_sides = sides.min() != sides.max()
+        size = np.array([len(s) for s in sets])
+        counts = np.stack([ranges(s) for s in sets])
+        root = components.copy()
+        for i in range(1, len(nodes)):
+            open_ = root[:i] != root[i]
+            if both_sides:
+                open_ &= sides[:i] != sides[i]
+            at = np.flatnonzero(open_)
+            most = np.minimum(counts[at], counts[i]).sum(1)
+            for j in at[100 * most >= percent * (size[at] + size[i] - most)].tolist():
+                if root[j] == root[i]:
+                    continue
+                x, y = sets[i], sets[j]
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    root[root == root[j]] = root[i]
+                    yield int(nodes[j]), int(nodes[i])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def told() -> pa.RecordBatch:
+            nodes, components, sides = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+            found = list(links(nodes, components, sides, [np.frombuffer(r[6], np.uint64) for r in rows]))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "component", "side", "shingles"))
+            for row in zip(*columns, strict=True):
+                if rows and rows[-1][:3] != row[:3]:
+                    yield told()
+                rows.append(row)
+        if rows:
+            yield told()
+
+    return task
+
+
+def cross_links(open_rows: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links between components of the same key, from rows (key, node, n, component, weight: shingles of the key's sets).
+
+    A key's rows are dealt into blocks of about ``block`` shingles, and each pair of blocks is one unit of work, so no task
+    holds more than two blocks however many nodes have a key.
+    """
+    sets = sets_of(open_rows.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), rows, width)
+    blocks = F.ceil(F.col("weight") / block).cast("int")
+    dealt = (
+        open_rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "component", "side")
+    )
+    units = ["key", "low", "high"]
+    return (
+        dealt.join(sets, "node").repartition(*units).sortWithinPartitions(*units)
+        .select(*units, "node", "component", "side", "shingles").mapInArrow(_cross(percent), "a long, b long")
+    )
+
+
+def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_bits: int = SLOT_BITS, frequent: float = FREQUENT, block: int = BLOCK, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with doc_id, n_shingles and component_id, the smallest identifier reachable by links, itself included.
 
     Two rows link when ``100 * intersection >= percent * union`` of their shingle sets.  Texts without words, NULL among them,
@@ -341,35 +430,34 @@ def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_b
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    members = stored(rows.mapInArrow(_members(width), "doc_id long, n_shingles long, node long, signature binary"), "join-members")
+    members = stored(rows.mapInArrow(_members(width), "doc_id long, n_shingles long, node long, signature binary, ranges array<int>"), "join-members")
     nodes = stored(
         members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+            F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
+            F.first("ranges").alias("ranges"),
         ),
         "join-nodes",
     )
-    members = members.drop("signature")
+    members = members.drop("signature", "ranges")
     classes = spark.sparkContext.broadcast(frequency_classes(rows, width, slot_bits, frequent))  # one byte per slot
     named = rows.filter("doc_id is not null").select("text")
     keyed = named.mapInArrow(_keys(width, percent, classes, slot_bits), "key long, node long, n int")
     shared = stored(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, n int"), "join-keys")
+    # nodes of a key stand in another order for each key, so that a node meets many others over its keys
+    shuffled = shared.withColumn("order", F.xxhash64("key", "node")).repartition("key").sortWithinPartitions("key", "order")
     pairs = stored(
-        shared.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_pairs(percent), "a long, b long").distinct(),
+        shuffled.select("key", "node", "n").mapInArrow(_near_pairs(percent), "a long, b long").distinct(),
         "join-pairs",
     )
     links = links_of(pairs, nodes, rows, width, percent)
     found = components(links)
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter(
-        (F.col("x") != F.col("y")) & (F.col("m") > NEIGHBOURS + 1)
-    ).select("key")
+    open_keys = placed.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight")
+    ).filter((F.col("x") != F.col("y")) & (F.col("m") > NEIGHBOURS + 1)).select("key", "weight")
     still = stored(placed.join(open_keys, "key"), "join-open")
-    one = still.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    two = still.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rest = stored(one.join(two, "key").filter(apart).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "join-rest")
-    if not rest.isEmpty():
-        found = components(links.unionByName(links_of(rest, nodes, rows, width, percent)))
+    if not still.isEmpty():
+        found = components(links.unionByName(cross_links(still, nodes, rows, width, percent, block)))
     worded = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).filter("n_shingles > 0")
     least = stored(worded.groupBy("component").agg(F.min("doc_id").alias("component_id")), "join-names")
     alone = members.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
