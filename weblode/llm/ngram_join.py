@@ -27,7 +27,7 @@ from .components import components
 
 SLOT_BITS = 22
 INVOLVED_BITS = 24
-NEIGHBOURS = 4
+NEIGHBOURS = 1
 RANGES = 64
 #: Shingles of a block of sets that are compared with one another in one task.
 BLOCK = 1 << 20
@@ -127,9 +127,9 @@ def may_be_similar(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
 def _members(width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), node_of(s), signature(s), ranges(s)) for _, s in shingle_sets(batch.column("text"), width)]
+            sets = [(len(s), node_of(s), signature(s), ranges(s).tobytes()) for _, s in shingle_sets(batch.column("text"), width)]
             columns = list(zip(*sets, strict=True)) or [()] * 4
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
                 names=["doc_id", "n_shingles", "node", "signature", "ranges"],
@@ -353,25 +353,63 @@ def links_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, pe
     return stored(verified, "join-links")
 
 
+UNIT = ("key", "low", "high")
+
+
+def _units(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[list]]:
+    """Columns of each run of rows with the same key and pair of blocks."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*UNIT, *columns)), strict=True):
+            if rows and rows[-1][:3] != row[:3]:
+                yield [list(c) for c in zip(*rows, strict=True)]
+                rows = []
+            rows.append(row)
+    if rows:
+        yield [list(c) for c in zip(*rows, strict=True)]
+
+
+def _candidates(i: int, root: np.ndarray, sides: np.ndarray, size: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Rows before row i in other components that may be similar to it, by their counts per range of hashes."""
+    open_ = root[:i] != root[i]
+    if sides.min() != sides.max():
+        open_ &= sides[:i] != sides[i]
+    at = np.flatnonzero(open_)
+    most = np.minimum(counts[at], counts[i]).sum(1)
+    return at[100 * most >= percent * (size[at] + size[i] - most)]
+
+
+def _may_cross(percent: int):
+    """Rows of a unit joined, as (representative, node), where rows of different components may be similar."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches, "node", "component", "side", "n", "ranges"):
+            nodes, root, sides, size = (np.array(c, np.int64) for c in unit[3:7])
+            counts = np.frombuffer(b"".join(unit[7]), np.int32).reshape(-1, RANGES)
+            family = np.arange(len(nodes))
+            hit = np.zeros(len(nodes), bool)
+            for i in range(1, len(nodes)):
+                at = _candidates(i, root, sides, size, counts, percent)
+                if len(at):
+                    hit[at] = hit[i] = True
+                    family[np.isin(family, np.append(family[at], family[i]))] = i
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[family[hit]]), pa.array(nodes[hit])], names=["a", "b"])
+
+    return task
+
+
 def _cross(percent: int):
-    """Of rows sorted by key and pair of blocks: links between nodes of different components, as few as connect them.
+    """Links between rows of different components, as few as connect them.
 
-    Each node is compared with all others of its key that are not in its component by then; most comparisons end at
-    the counts per range of hashes, which are made for all nodes at once.
+    Each row is compared with all others of its unit that are not in its component by then; most comparisons end at
+    the counts per range of hashes, which are made for all rows at once.
     """
 
-    def links(nodes: np.ndarray, components: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        both_sides = sides.min() != sides.max()
+    def links(nodes: np.ndarray, root: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         size = np.array([len(s) for s in sets])
         counts = np.stack([ranges(s) for s in sets])
-        root = components.copy()
         for i in range(1, len(nodes)):
-            open_ = root[:i] != root[i]
-            if both_sides:
-                open_ &= sides[:i] != sides[i]
-            at = np.flatnonzero(open_)
-            most = np.minimum(counts[at], counts[i]).sum(1)
-            for j in at[100 * most >= percent * (size[at] + size[i] - most)].tolist():
+            for j in _candidates(i, root, sides, size, counts, percent).tolist():
                 if root[j] == root[i]:
                     continue
                 x, y = sets[i], sets[j]
@@ -381,44 +419,40 @@ def _cross(percent: int):
                     yield int(nodes[j]), int(nodes[i])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-
-        def told() -> pa.RecordBatch:
-            nodes, components, sides = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-            found = list(links(nodes, components, sides, [np.frombuffer(r[6], np.uint64) for r in rows]))
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "component", "side", "shingles"))
-            for row in zip(*columns, strict=True):
-                if rows and rows[-1][:3] != row[:3]:
-                    yield told()
-                rows.append(row)
-        if rows:
-            yield told()
+        for unit in _units(batches, "node", "component", "side", "shingles"):
+            nodes, root, sides = (np.array(c, np.int64) for c in unit[3:6])
+            found = list(links(nodes, root, sides, [np.frombuffer(x, np.uint64) for x in unit[6]]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return task
 
 
 def cross_links(open_rows: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links between components of the same key, from rows (key, node, n, component, weight: shingles of the key's sets).
+    """Links between components of the same key, from rows (key, node, n, component).
 
-    A key's rows are dealt into blocks of about ``block`` shingles, and each pair of blocks is one unit of work, so no task
-    holds more than two blocks however many nodes have a key.
+    Counts per range of hashes tell which rows of a key may be similar; nodes connected that way are a family.  Each
+    family's sets are sent once and compared across its components.  Rows of a key, and then of a family, are dealt into blocks
+    of about ``block`` shingles, and each pair of blocks is one unit of work, so no task holds more than two blocks however
+    many nodes have a key.
     """
-    sets = sets_of(open_rows.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), rows, width)
-    blocks = F.ceil(F.col("weight") / block).cast("int")
-    dealt = (
-        open_rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "component", "side")
-    )
-    units = ["key", "low", "high"]
-    return (
-        dealt.join(sets, "node").repartition(*units).sortWithinPartitions(*units)
-        .select(*units, "node", "component", "side", "shingles").mapInArrow(_cross(percent), "a long, b long")
-    )
+
+    def dealt(df: DataFrame) -> DataFrame:
+        blocks = F.ceil(F.col("weight") / block).cast("int")
+        return (
+            df.join(df.groupBy("key").agg(F.sum("n").alias("weight")), "key").withColumn("blocks", blocks)
+            .withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "component", "side", "n")
+        )
+
+    together = lambda df: df.repartition(*UNIT).sortWithinPartitions(*UNIT)
+    counted = together(dealt(open_rows).join(nodes.select("node", "ranges"), "node"))
+    close = counted.select(*UNIT, "node", "component", "side", "n", "ranges").mapInArrow(_may_cross(percent), "a long, b long")
+    families = components(close).select("node", F.col("component").alias("key"))
+    members = stored(open_rows.select("node", "n", "component").distinct().join(families, "node"), "join-families")
+    sets = sets_of(members.select("node").join(nodes.select("node", "doc_id"), "node"), rows, width)
+    met = together(dealt(members).join(sets, "node"))
+    return met.select(*UNIT, "node", "component", "side", "shingles").mapInArrow(_cross(percent), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_bits: int = SLOT_BITS, frequent: float = FREQUENT, block: int = BLOCK, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -430,7 +464,7 @@ def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_b
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    members = stored(rows.mapInArrow(_members(width), "doc_id long, n_shingles long, node long, signature binary, ranges array<int>"), "join-members")
+    members = stored(rows.mapInArrow(_members(width), "doc_id long, n_shingles long, node long, signature binary, ranges binary"), "join-members")
     nodes = stored(
         members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
@@ -453,8 +487,8 @@ def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_b
     found = components(links)
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight")
-    ).filter((F.col("x") != F.col("y")) & (F.col("m") > NEIGHBOURS + 1)).select("key", "weight")
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")
+    ).filter((F.col("x") != F.col("y")) & (F.col("m") > NEIGHBOURS + 2)).select("key")
     still = stored(placed.join(open_keys, "key"), "join-open")
     if not still.isEmpty():
         found = components(links.unionByName(cross_links(still, nodes, rows, width, percent, block)))
