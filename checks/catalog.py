@@ -27,6 +27,7 @@ from weblode.operators import (
 from weblode.sources import candidates as cand_src
 from weblode.sources import captures as cap_src
 from weblode.sources import robots, sinks, specs
+from weblode.schema import Limits
 from weblode.sources.calls import read_network_log
 from weblode.session import ensure_checkpoint_dir
 from weblode.streaming import discovery, drift, failures
@@ -67,7 +68,7 @@ hrefs as (
   from anchors),
 links as (
   select capture_id, url, {sq.last_two('host')} as site, pos, href,
-    case when length(full_text) > 180 then full_text[1:177] || '...' else full_text end as text
+    full_text as text
   from hrefs where full_text <> ''
   qualify row_number() over (partition by capture_id, href order by pos) = 1)
 """
@@ -75,7 +76,7 @@ links as (
 
 @query("page_profile", f"""
 select page_id as capture_id, url,
-  {sq.trim("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}[1:240] as title,
+  {sq.trim("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} as title,
   length(html) as html_length, length({sq.stripped('html')}) as text_length,
   sha256(html) as dom_hash, count(*) over (partition by html) as copies
 from pages""")
@@ -160,13 +161,13 @@ v as (
   select origin, depth, place, template, value, min(ord) as ord, arg_min(entity, ord) as entity,
     arg_min(segs, ord) as segs, arg_min(raw_origin, ord) as raw_origin
   from w group by all),
-r as (select *, row_number() over (partition by origin, depth, place, template order by ord, value) as rn,
+r as (select *,
   regexp_matches(value, '^\\d+$') or regexp_matches(value, '(?i)^[0-9a-f]{{12,}}$')
     or regexp_matches(value, '(?i)^[a-z0-9][a-z0-9-]*[-_]\\d+$') as id_like from v),
 g as (
   select origin, depth, place, template, count(*) as members, min(ord) as ord, arg_min(entity, ord) as entity,
     arg_min(value, ord) as example, arg_min(segs, ord) as segs, arg_min(raw_origin, ord) as raw_origin,
-    arg_min(id_like, ord) as example_id, avg(case when rn <= 50 then case when id_like then 1.0 else 0.0 end end) as share
+    arg_min(id_like, ord) as example_id, avg(case when id_like then 1.0 else 0.0 end) as share
   from r group by all having count(*) >= 8),
 n as (
   select *, regexp_replace(lower(regexp_replace(entity, '(?i)s$', '')), '[^a-z0-9]+', '_', 'g') as noun from g
@@ -176,7 +177,7 @@ b as (select * from p qualify row_number() over (partition by origin, name order
 select origin, row_number() over (partition by origin order by members desc, ord) as rank, name,
   '/' || array_to_string(list_transform(segs, lambda s, j: case when j = place + 1 then '{{' || param_name || '}}' else s end), '/') as url_pattern,
   raw_origin || '/' || array_to_string(segs, '/') as raw_url, param_name, example, members
-from b qualify rank <= 25""")
+from b""")
 def url_template_clusters(spark, sf):
     inventory = inp.page_captures(spark, sf).select(F.col("capture_id").alias("ord"), "url")
     return templates.url_template_clusters(inventory, scope="site")
@@ -347,6 +348,27 @@ def page_capabilities(spark, sf):
     )
 
 
+@query("capability_candidates", """
+with c(name, inputs, steps) as (values
+  ('extract_page_metadata', '', 'navigate,waitFor,extract'),
+  ('search_travel_options', 'origin:true,destination:true,depart_date:false', 'navigate,fill,fill,selectOption,click,waitFor,extract'),
+  ('search_in_browser', 'q:true', 'navigate,fill,pressKey,waitFor,extract'),
+  ('go_to_next_page', '', 'click,waitFor,extract'),
+  ('add_to_cart', '', 'click,waitFor,extract'),
+  ('open_cart', '', 'click,waitFor,extract'))
+select page_id as capture_id, name, inputs, steps, 'kept' as status from pages, c
+where name not in ('add_to_cart', 'search_travel_options') or (name = 'add_to_cart' and page_id % 2 = 0)
+  or (name = 'search_travel_options' and page_id % 3 = 0)""")
+def capability_candidates(spark, sf):
+    found = cand.capability_candidates(inp.snapshot_pages(spark, sf))
+    checked = dedupe.validate_candidates(found)
+    return checked.select(
+        "capture_id", "name",
+        F.array_join(F.transform("params", lambda p: F.concat_ws(":", p["name"], p["required"].cast("string"))), ",").alias("inputs"),
+        F.array_join(F.transform("steps", lambda s: s["action"]), ",").alias("steps"), "status",
+    )
+
+
 @query("capability_shares", f"""
 with {SHOP}, g as (select capture_id, count(*) as n, count(distinct p_size) as authors from shop group by 1),
 c as (
@@ -395,7 +417,7 @@ def listing_records(spark, sf):
 with {PAGE_PARTS}
 select capture_id, count(*) as n_links, min(case when pos = 0 then text end) as first_link from links group by 1""")
 def metadata_records(spark, sf):
-    return records.metadata_records(inp.page_captures(spark, sf), guard=False, links=1000).select(
+    return records.metadata_records(inp.page_captures(spark, sf), guard=False).select(
         "capture_id", F.size("links").cast("bigint").alias("n_links"), F.get("links", F.lit(0))["text"].alias("first_link")
     )
 
@@ -589,12 +611,23 @@ def calls_dedup(spark, sf):
 
 
 @query("calls_ranked", f"""
+with {CALLS}, c as (select *, {sq.last_two('host')} <> 'shopsite.net' as cross_site from firsts)
+select capture_id, pos, cross_site, row_number() over (partition by capture_id order by cross_site, pos) as rank from c""")
+def calls_ranked(spark, sf):
+    return calls_ops.rank_calls(calls_ops.dedupe_calls(_useful_calls(spark, sf))).select(
+        "capture_id", "pos", "cross_site", "rank"
+    )
+
+
+@query("calls_ranked_contract", f"""
 with {CALLS}, c as (select *, {sq.last_two('host')} <> 'shopsite.net' as cross_site from firsts),
 p as (select *, row_number() over (partition by capture_id, cross_site order by pos) as pr from c)
 select capture_id, pos, cross_site, row_number() over (partition by capture_id order by cross_site, pos) as rank
 from p where not cross_site or pr <= 6 qualify rank <= 30""")
-def calls_ranked(spark, sf):
-    return calls_ops.rank_calls(calls_ops.dedupe_calls(_useful_calls(spark, sf))).select(
+def calls_ranked_contract(spark, sf):
+    bounds = Limits.contract()
+    calls = calls_ops.dedupe_calls(_useful_calls(spark, sf))
+    return calls_ops.rank_calls(calls, bounds.cross_site_calls, bounds.candidate_calls).select(
         "capture_id", "pos", "cross_site", "rank"
     )
 
@@ -742,8 +775,7 @@ def json_select(spark, sf):
 
 @query("network_candidates", f"""
 with {CALLS}, c as (select *, {sq.last_two('host')} <> 'shopsite.net' as cross_site from firsts),
-p as (select *, row_number() over (partition by capture_id, cross_site order by pos) as pr from c),
-r as (select *, row_number() over (partition by capture_id order by cross_site, pos) as rank from p where not cross_site or pr <= 6 qualify rank <= 30)
+r as (select *, row_number() over (partition by capture_id order by cross_site, pos) as rank from c)
 select capture_id, rank as pos, lower(method) || '_' || event_type as name, method, url_pattern, 0.55 as confidence,
   'id:path:true,page:query:false' || case when raw_url like '%token=%' then ',token:query:false' else '' end as params
 from r""")
@@ -870,9 +902,9 @@ v as (
 
 
 def _verified(spark, sf):
-    fresh = inp.table(spark, sf, "part").agg((F.max("p_partkey") + 1).cast("string").alias("value")).select(
-        F.lit("id").alias("param"), "value"
-    )
+    newest = inp.table(spark, sf, "part").agg((F.max("p_partkey") + 1).cast("string").alias("value"))
+    other = inp.table(spark, sf, "region").select(F.lower("r_name").alias("param"), F.col("r_name").alias("value"))
+    fresh = newest.select(F.lit("id").alias("param"), "value").unionByName(other)
     return verify.verify_tools(inp.tools(spark, sf), inp.probes(spark, sf), fresh)
 
 
@@ -885,6 +917,35 @@ def verify_tools(spark, sf):
     )
 
 
+@query("verify_repeated_probes", f"""
+with t as ({inp.tools_sql()}), p as ({inp.probes_sql()}),
+r as (select url, status, body, timestamp '2024-01-02' as seen from p where url like '%?alt%'
+  union all select url, 500, 'old', timestamp '2024-01-01' from p union all select url, 503, 'older', timestamp '2023-01-01' from p),
+n as (select * from r qualify row_number() over (partition by url order by seen desc) = 1)
+select t.tool_id, case when t.kind <> 'http' or t.method <> 'GET' or t.p_size = 1 then 'not_verifiable'
+    when n.url is null then 'dead' when n.status >= 400 or n.status = 0 then 'dead'
+    when contains(lower(n.body), 'just a moment...') then 'blocked'
+    when trim(n.body) = '' and n.status <> 204 then 'dead' else 'verified' end as status,
+  case when t.kind <> 'http' then 'browser tool (no HTTP target)'
+    when t.method <> 'GET' then 'non-idempotent method ' || t.method || ' (never replayed live)'
+    when t.p_size = 1 then 'placeholder target (no captured value to verify)'
+    when n.url is null then 'network error / timeout'
+    when n.status >= 400 or n.status = 0 then 'HTTP ' || n.status
+    when contains(lower(n.body), 'just a moment...') then 'anti-bot challenge in response'
+    when trim(n.body) = '' and n.status <> 204 then 'empty body' end as reason
+from t left join n on n.url = t.raw_url""")
+def verify_repeated_probes(spark, sf):
+    probes = inp.probes(spark, sf)
+    when = lambda day: F.lit(day).cast("timestamp").alias("observed_at")
+    older = [
+        probes.select("url", F.lit(method).alias("method"), F.lit(code).alias("status"), F.lit(body).alias("body"), when(day))
+        for method, code, body, day in (("get", 500, "old", "2024-01-01"), ("Get", 503, "older", "2023-01-01"))
+    ]
+    newest = probes.filter("url like '%?alt%'").select("url", "method", "status", "body", when("2024-01-02"))
+    repeated = cand_src.read_probe_results(newest.unionByName(older[0]).unionByName(older[1]))
+    return verify.verify_tools(inp.tools(spark, sf), repeated).select("tool_id", "status", "reason")
+
+
 @query("verify_report", f"""
 with {VERIFIED} select server_id, count(*) filter (where status = 'verified') as verified, count(*) filter (where status = 'dead') as dead,
   count(*) filter (where status = 'blocked') as blocked, count(*) filter (where status = 'not_verifiable') as not_verifiable,
@@ -1132,19 +1193,32 @@ def content_candidates(spark, sf):
 
 
 @query("payload_table", f"""
-with {PAGE_PARTS} select capture_id, count(*) as links from links group by 1""")
+with {PAGE_PARTS} select capture_id, count(*) as links, any_value(length(p.html)) as dom_length,
+  any_value({sq.trim("regexp_extract(p.html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) as title
+from links join page_parts p using (capture_id) group by 1""")
 def payload_table(spark, sf):
     table = sinks.payload_table(inp.page_captures(spark, sf))
     listed = F.from_json(F.get_json_object("payload", "$.page_analysis.links"), "array<struct<href:string>>")
-    return table.select("capture_id", F.size(listed).cast("bigint").alias("links"))
+    return table.select(
+        "capture_id", F.size(listed).cast("bigint").alias("links"),
+        F.length(F.get_json_object("payload", "$.dom_sample")).alias("dom_length"),
+        F.get_json_object("payload", "$.page_analysis.title").alias("title"),
+    )
 
 
-@query("infer_tools")
+@query("infer_tools", f"""
+with {SHOP_MATERIAL}
+select capture_id, 'content' as source, 'fetch_page_content' as name, 'http' as kind from counts
+union all select capture_id, 'form', 'search', 'http' from counts
+union all select capture_id, source, name, 'http' from material where source <> 'query' or pos = 0
+union all select capture_id, 'capability', 'extract_page_metadata', 'browser' from counts
+union all select capture_id, 'capability', 'list_page_items', 'browser' from counts where items >= 2 or authors >= 3
+union all select capture_id, 'capability', 'get_product_details', 'browser' from counts where items >= 3""")
 def infer_tools(spark, sf):
     from weblode.plans.pipelines import infer_tools as run
 
     tools, _ = run(inp.shop_pages(spark, sf))
-    return tools.select("capture_id", "source", "pos", "name", "kind", "url_pattern", "confidence")
+    return tools.select("capture_id", "source", "name", "kind")
 
 
 # ------------------------------------------------------------------ crawl plan, best capture, streams

@@ -6,9 +6,10 @@ from the same rows and both grow with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weblode.schema import WIRE_PAGE
 from weblode.sources.captures import read_pages, spread_small
 
 
@@ -234,6 +235,43 @@ def tools(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def snapshot_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Page captures whose snapshot reports live forms and controls, which differ from page to page."""
+    field = lambda name, kind, required, selector: F.struct(
+        F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("label"),
+        F.lit(None).cast("string").alias("placeholder"), F.lit(required).alias("required"), F.lit(selector).alias("selector"),
+    )
+
+    def form(purpose: str, submit: str | None, *fields) -> Column:
+        return F.struct(
+            F.lit("#f").alias("selector"), F.lit("GET").alias("method"), F.lit("/s").alias("action"),
+            F.lit(purpose).alias("purpose"), F.lit("Go").alias("submitLabel"),
+            F.lit(submit).cast("string").alias("submitSelector"), F.array(*fields).alias("fields"),
+        )
+
+    def control(label: str, selector: str | Column) -> Column:
+        return F.struct(
+            F.lit("button").alias("kind"), F.lit(label).alias("label"),
+            (selector if isinstance(selector, Column) else F.lit(selector)).alias("selector"), F.lit(None).cast("string").alias("href"),
+        )
+
+    search = form("search", None, field("q", "text", True, "#q"))
+    travel = form(
+        "form", "#go", field("from", "text", True, "#a"), field("to", "text", True, "#b"), field("outbound", "select", False, "#c")
+    )
+    n = F.col("capture_id")
+    page = F.struct(
+        F.lit("").alias("visibleText"), F.array().cast("array<string>").alias("headings"),
+        F.array(
+            control("Show more", "#n"), control("View cart", "#cart"), control("Add to cart", F.when(n % 2 == 0, "#add").otherwise(""))
+        ).alias("actions"),
+        F.when(n % 3 == 0, F.array(travel, search)).otherwise(F.array(search)).alias("forms"),
+        F.lit(None).cast(WIRE_PAGE["appState"].dataType).alias("appState"),
+    )
+    plain = page_captures(spark, sf).withColumn("html", F.lit("<p>plain</p>")).withColumn("url", F.concat(F.lit("https://plain.net/a"), n))
+    return plain.withColumn("page", page.cast(WIRE_PAGE))
+
+
 PROBES_SQL = """
 select concat('https://api.shopsite.net/items/', cast(p_partkey as {str}), '?alt=json&token=t') as url, 'GET' as method,
   case when p_size < 10 then 404 when p_size < 12 then 0 when p_size < 14 then 204 when p_size < 18 then 302 else 200 end as status,

@@ -156,6 +156,10 @@ ACTION_DELTA_ORDER = ["add_to_cart", "open_cart", "go_to_next_page", "go_to_prev
 TRAVEL_FIELDS = {
     "origin": r"\b(from|origin|leaving|depart(?:ing|ure)? from)\b",
     "destination": r"\b(to|destination|arriv(?:e|al)|going to)\b",
+    "depart_date": r"\b(depart|outbound|leaving date|depart date)\b",
+    "return_date": r"\b(return|inbound|return date)\b",
+    "cabin": r"\b(cabin|class)\b",
+    "passengers": r"\b(passengers?|travell?ers?|guests?)\b",
 }
 
 # --- fixed values: cleaning of mined endpoints ----------------------------------------------------------

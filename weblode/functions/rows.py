@@ -40,7 +40,16 @@ def first_rows(
     return out if rank_name else out.drop(name)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def ranked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rank_name: str, n: int | None = None
+) -> DataFrame:
+    """Rows with their rank per key: the first ``n``, or all of them where no bound is set."""
+    if n is None:
+        return number_rows(df, keys, order, rank_name)
+    return first_rows(df, keys, [F.col(c) if isinstance(c, str) else c for c in order], n=n, rank_name=rank_name)
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
     """Number all rows of each key from 1 in ``order``, however many a key has.
 
     Rows are range-partitioned by key and order, so a hot key is spread over many tasks; each
@@ -49,7 +58,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     """
     ensure_checkpoint_dir(df.sparkSession)
     parts = (
-        df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
+        df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in (*keys, *order)])
         .withColumn("_part", F.spark_partition_id())
         .checkpoint()
     )

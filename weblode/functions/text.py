@@ -92,18 +92,18 @@ def attribute(tokens: Column, name: str) -> Column:
     return apply_sql(sql_let(last, "k", value), tokens)
 
 
-def title_of(html: Column, limit: int | None = 160) -> Column:
+def title_of(html: Column, limit: int | None = None) -> Column:
     raw = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1)
     return F.when(raw != "", clean_text(raw, limit))
 
 
-def capture_title(html: Column) -> Column:
-    """The title stored with a capture: trimmed, not decoded, at most 240 characters."""
-    raw = F.substring(trim_ws(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), 1, 240)
+def capture_title(html: Column, limit: int | None = None) -> Column:
+    """The title stored with a capture: trimmed, not decoded."""
+    raw = cut(trim_ws(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), limit)
     return F.when(raw != "", raw)
 
 
-def meta_description(html: Column) -> Column:
+def meta_description(html: Column, limit: int | None = None) -> Column:
     """Content of the first named description, else of the first ``og:description``."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b([^>]*)>"), F.lit(1))
     metas = F.transform(
@@ -130,10 +130,10 @@ def meta_description(html: Column) -> Column:
 
         return F.coalesce(content("description"), content("og:description"))
 
-    return clean_text(let(metas, pick), 500)
+    return clean_text(let(metas, pick), limit)
 
 
-def text_sample(html: Column, limit: int | None = 8000) -> Column:
+def text_sample(html: Column, limit: int | None = None) -> Column:
     body = html
     for tag in ("script", "style", "svg"):
         body = F.regexp_replace(body, f"(?is)<{tag}.*?</{tag}>", " ")

@@ -13,7 +13,7 @@ from ..functions import fixed_values as fv
 from ..functions import urls
 from ..functions.expr import built_once, let
 from ..functions.json_help import SECRET_FIELD_RLIKE, body_shape, scrub_body
-from ..functions.rows import first_rows, unnest
+from ..functions.rows import first_rows, ranked, unnest
 from ..schema import WHOLE, Limits
 from ..sources.captures import secret_name
 
@@ -59,20 +59,21 @@ def dedupe_calls(calls: DataFrame, scope: str = "capture_id") -> DataFrame:
     return first_rows(templated, [scope, "method", "url_pattern"], [F.col("pos")])
 
 
-def rank_calls(calls: DataFrame, max_cross_site: int = 6, max_calls: int = 30) -> DataFrame:
-    """Same-site calls first, then at most six cross-site ones, thirty in all, per capture."""
+def rank_calls(
+    calls: DataFrame, max_cross_site: int | None = None, max_calls: int | None = None
+) -> DataFrame:
+    """Same-site calls first, then cross-site ones, per capture; both lists can be bounded."""
     page_site = urls.registrable_domain(urls.parts_of("page_url")["host"])
     call_site = urls.registrable_domain(urls.parts_of("raw_url")["host"])
     marked = calls.withColumn(
         "cross_site", ~F.coalesce(page_site == call_site, F.lit(False))
     )
-    # either part alone can fill the list, so each is first cut to what it may contribute
-    part = first_rows(
-        marked, ["capture_id", "cross_site"], [F.col("pos")], n=max_calls, rank_name="part_rank"
-    ).filter(~F.col("cross_site") | (F.col("part_rank") <= max_cross_site))
-    return first_rows(
-        part, ["capture_id"], [F.col("cross_site"), F.col("pos")], n=max_calls, rank_name="rank"
-    ).drop("part_rank")
+    if max_cross_site is not None:
+        # either part alone can fill the list, so each is first cut to what it may contribute
+        marked = ranked(marked, ["capture_id", "cross_site"], ["pos"], "part_rank", max_calls).filter(
+            ~F.col("cross_site") | (F.col("part_rank") <= max_cross_site)
+        ).drop("part_rank")
+    return ranked(marked, ["capture_id"], ["cross_site", "pos"], "rank", max_calls)
 
 
 def query_params(calls: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text, urls
-from ..functions.expr import built_once, let
-from ..functions.json_help import body_inputs
+from ..functions.expr import built_once, head, let
+from ..functions.json_help import INPUT_DDL, body_inputs
 from ..functions.rows import first_rows, unnest
 from ..schema import CANDIDATE_COLUMNS, PARAMS_DDL, STEPS_DDL, WHOLE, Limits
 from .calls import actionable_calls, rank_calls
@@ -113,16 +113,16 @@ def _useful_form() -> Column:
     )
 
 
-def form_candidates(captures: DataFrame, limits: Limits = WHOLE, max_forms: int = 6, max_fields: int = 8) -> DataFrame:
-    """Forms worth calling, among the first ``max_forms`` of a page."""
+def form_candidates(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
+    """Forms worth calling."""
     facts = page_facts(captures, "forms", limits=limits)
-    forms = unnest(facts, ["capture_id"], F.slice("forms", 1, max_forms), "pos").filter(_useful_form())
+    forms = unnest(facts, ["capture_id"], head(F.col("forms"), limits.candidate_forms), "pos").filter(_useful_form())
     search = F.col("purpose") == "search"
     action = urls.parts_of("action")
     host = F.regexp_replace(action["origin"], "^https?://", "")
     place = F.when(F.col("method") == "POST", "body").otherwise("query")
     # a repeated field name keeps its first place and takes part once
-    fields = F.slice("fields", 1, max_fields)
+    fields = head(F.col("fields"), limits.candidate_fields)
     names = F.array_distinct(F.transform(fields, lambda f: f["name"]))
     params = F.transform(
         names,
@@ -154,7 +154,7 @@ def form_candidates(captures: DataFrame, limits: Limits = WHOLE, max_forms: int
 
 
 @built_once
-def _call_params() -> Column:
+def _call_params(limits: Limits = WHOLE) -> Column:
     path_names = F.array_distinct(F.regexp_extract_all("url_pattern", F.lit(r"\{(\w+)\}"), F.lit(1)))
     in_path = F.transform(path_names, lambda n: _param(n, "path", n, required=True))
     query_names = F.filter(
@@ -169,7 +169,7 @@ def _call_params() -> Column:
     def with_body(base: Column) -> Column:
         taken = F.transform(base, lambda p: p["name"])
         found = F.transform(
-            F.coalesce("_inputs", F.array().cast("array<struct<name:string,key:string,type:string,required:boolean>>")),
+            F.coalesce("_inputs", F.array().cast(INPUT_DDL)),
             lambda b: _param(
                 F.when(F.array_contains(taken, b["name"]), F.concat(F.lit("body_"), b["name"])).otherwise(b["name"]),
                 "body",
@@ -181,7 +181,7 @@ def _call_params() -> Column:
         declared = F.from_json("body_schema", "properties map<string,string>")["properties"]
         by_schema = F.transform(
             F.filter(
-                F.slice(F.coalesce(F.map_entries(declared), F.array().cast("array<struct<key:string,value:string>>")), 1, 12),
+                head(F.coalesce(F.map_entries(declared), F.array().cast("array<struct<key:string,value:string>>")), limits.schema_keys),
                 lambda e: ~F.array_contains(taken, e["key"]),
             ),
             lambda e: _param(
@@ -197,11 +197,14 @@ def _call_params() -> Column:
     return let(F.concat(in_path, in_query), with_body)
 
 
-def network_candidates(calls: DataFrame, max_cross_site: int = 6, max_calls: int = 30) -> DataFrame:
+def network_candidates(calls: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """Observed API calls as candidates: the page's own site first."""
-    ranked = rank_calls(actionable_calls(calls), max_cross_site, max_calls)
-    filled = ranked.withColumn("_inputs", body_inputs(F.col("body"))).withColumn(
-        "params", _call_params()
+    ranked = rank_calls(actionable_calls(calls), limits.cross_site_calls, limits.candidate_calls)
+    inputs = body_inputs(F.col("body"))
+    if limits.body_depth is not None:
+        inputs = F.filter(inputs, lambda b: b["depth"] <= limits.body_depth)
+    filled = ranked.withColumn("_inputs", head(inputs, limits.body_fields)).withColumn(
+        "params", _call_params(limits)
     )
     needless = (
         (F.size("params") == 0)
@@ -262,6 +265,123 @@ def link_candidates(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     return searched.unionByName(queried).unionByName(detailed)
 
 
+def _step(action: str | Column, value: Column | None = None, role: str | Column | None = None, selector: str | Column | None = None) -> Column:
+    """One step of a capability; what a step does not use is NULL."""
+    given = {"action": action, "role": role, "selector": selector, "value": value}
+    return F.struct(
+        *((x if isinstance(x, Column) else F.lit(x)).cast("string").alias(name) for name, x in given.items())
+    )
+
+
+def _input(name: Column, required: Column | bool) -> Column:
+    """An input that a person or caller fills in; it is put into steps, not into a request."""
+    return _param(name, "input", name, required=required)
+
+
+def _then_read(mode: str) -> list[Column]:
+    return [_step("waitFor", role="page", selector="body"), _step("extract", F.lit(mode))]
+
+
+def _read_page(target: Column, mode: str) -> Column:
+    return F.array(_step("navigate", target), *_then_read(mode))
+
+
+def _capability(
+    test: Column, name: str, confidence: Column | float, steps: Column, inputs: Column | None = None, target: Column | None = None
+) -> Column:
+    level = confidence if isinstance(confidence, Column) else F.lit(confidence)
+    return F.when(
+        F.coalesce(test, F.lit(False)),
+        F.struct(
+            F.lit(name).alias("capability"),
+            level.cast("double").alias("confidence"),
+            (F.col("url") if target is None else target).alias("target"),
+            (_no_params() if inputs is None else inputs).cast(PARAMS_DDL).alias("inputs"),
+            steps.cast(STEPS_DDL).alias("steps"),
+        ),
+    )
+
+
+def _filled_query(url: Column, keys: Column, inputs: Column) -> Column:
+    """An address whose query takes each input, in the form ``key={{input}}``."""
+    pairs = F.zip_with(keys, inputs, lambda k, p: F.concat(k, F.lit("={{"), p["name"], F.lit("}}")))
+    bare = F.regexp_replace(url, r"[?#].*$", "")
+    return F.when(F.size(pairs) > 0, F.concat(bare, F.lit("?"), F.array_join(pairs, "&"))).otherwise(bare)
+
+
+def _fill(field: Column, name: Column) -> Column:
+    """The step that puts an input into a field; NULL where the field cannot be found again."""
+    listed = field["type"] == "select"
+    return F.when(
+        field["selector"] != "",
+        _step(
+            F.when(listed, "selectOption").otherwise("fill"),
+            F.concat(F.lit("{{"), name, F.lit("}}")),
+            F.coalesce(F.nullif(field["type"], F.lit("")), F.lit("input")),
+            field["selector"],
+        ),
+    )
+
+
+def _submit(form: Column) -> Column:
+    """The step that sends a form: its button, else Enter in its first field."""
+    first = F.get(F.filter(form["fields"], lambda f: f["selector"] != ""), F.lit(0))
+    return F.when(form["submitSelector"] != "", _step("click", role="button", selector=form["submitSelector"])).when(
+        first.isNotNull(),
+        _step("pressKey", F.lit("Enter"), F.coalesce(F.nullif(first["type"], F.lit("")), F.lit("input")), first["selector"]),
+    )
+
+
+def _form_steps(form: Column, fills: Column) -> Column:
+    return F.array_compact(
+        F.concat(F.array(_step("navigate", F.col("url"))), fills, F.array(_submit(form), *_then_read("json:listing")))
+    )
+
+
+def _travel_fields(form: Column) -> Column:
+    """Fields of a travel form by what they ask for, each slot taken by the first field that fits; NULL for other forms."""
+    slots = F.array(*map(F.lit, fv.TRAVEL_FIELDS))
+
+    def take(taken: Column, field: Column) -> Column:
+        words = F.lower(F.concat_ws(" ", field["name"], field["label"], field["placeholder"], field["type"]))
+        fits = F.array_compact(
+            F.array(*(F.when(words.rlike(text.ascii_words(p)), F.lit(slot)) for slot, p in fv.TRAVEL_FIELDS.items()))
+        )
+        free = F.get(F.array_except(fits, F.transform(taken, lambda t: t["slot"])), F.lit(0))
+        return F.when(free.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(free.alias("slot"), field.alias("field")))))
+
+    none = F.filter(F.transform(form["fields"], lambda f: F.struct(F.lit("").alias("slot"), f.alias("field"))), lambda x: F.lit(False))
+    taken = F.aggregate(form["fields"], none, take)
+    complete = lambda t: F.size(F.array_intersect(F.transform(t, lambda x: x["slot"]), F.slice(slots, 1, 2))) == 2
+    return let(taken, lambda t: F.when(complete(t), t))
+
+
+def _travel_search(form: Column) -> Column:
+    def build(taken: Column) -> Column:
+        always = lambda x: x["slot"].isin("origin", "destination")
+        return _capability(
+            taken.isNotNull(), "search_travel_options", 0.7,
+            _form_steps(form, F.transform(taken, lambda x: _fill(x["field"], x["slot"]))),
+            F.transform(taken, lambda x: _input(x["slot"], always(x) | F.coalesce(x["field"]["required"], F.lit(False)))),
+        )
+
+    return let(_travel_fields(form), build)
+
+
+def _live_search(form: Column) -> Column:
+    return _capability(
+        form.isNotNull(), "search_in_browser", 0.63,
+        _form_steps(form, F.transform(form["fields"], lambda f: _fill(f, f["name"]))),
+        F.transform(form["fields"], lambda f: _input(f["name"], F.coalesce(f["required"], F.lit(False)))),
+    )
+
+
+def _control(action: Column, name: str, confidence: float) -> Column:
+    """A control of the page, clicked where it stands."""
+    click = _step("click", role=F.coalesce(F.nullif(action["kind"], F.lit("")), F.lit("button")), selector=action["selector"])
+    return _capability(action["selector"] != "", name, confidence, F.array(click, *_then_read("json:metadata")))
+
+
 def page_capabilities(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """One row per page and thing it can be used for, with a confidence."""
     col = F.col
@@ -270,12 +390,10 @@ def page_capabilities(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
         "capture_id",
         "site",
         "url",
-        kinds_column().alias("kinds"),
+        kinds_column(limits).alias("kinds"),
         all_search_actions(limits).alias("search"),
         col("page.forms").alias("live_forms"),
-        F.transform(
-            "page.actions", lambda a: F.when(a["selector"] != "", a["label"])
-        ).alias("labels"),
+        col("page.actions").alias("actions"),
     )
     first_detail = first_rows(
         detail_templates(captures, limits=limits), ["capture_id"], [col("rank")]
@@ -283,6 +401,7 @@ def page_capabilities(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
         "capture_id",
         col("name").alias("detail_name"),
         col("confidence").alias("detail_confidence"),
+        col("param_name").alias("detail_param"),
         F.concat(
             urls.origin_of(col("raw_url")),
             F.regexp_replace("url_pattern", r"\{(\w+)\}", "{{$1}}"),
@@ -292,65 +411,51 @@ def page_capabilities(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
         all_query_patterns(captures, limits)
         .filter(col("name") == "search")
         .groupBy("capture_id")
-        .agg(F.min_by("raw_url", "rank").alias("query_search"))
+        .agg(F.min_by(F.struct("raw_url", "params"), "rank").alias("query_search"))
     )
     joined = kinds.join(first_detail, "capture_id", "left").join(query_search, "capture_id", "left")
     has = lambda kind: F.array_contains("kinds", kind)
     travel = has("travel")
     item_name = col("detail_name").isin("get_product_page", "get_item_page")
-
-    def field_text(f: Column) -> Column:
-        return F.lower(F.concat_ws(" ", f["name"], f["label"], f["placeholder"], f["type"]))
-
-    def travel_form(form: Column) -> Column:
-        return F.exists(
-            form["fields"], lambda f: field_text(f).rlike(text.ascii_words(fv.TRAVEL_FIELDS["origin"]))
-        ) & F.exists(
-            form["fields"],
-            lambda f: field_text(f).rlike(text.ascii_words(fv.TRAVEL_FIELDS["destination"]))
-            & ~field_text(f).rlike(text.ascii_words(fv.TRAVEL_FIELDS["origin"])),
-        )
-
-    def one(test: Column, name: str, confidence: Column | float, target: Column = col("url")) -> Column:
-        level = confidence if isinstance(confidence, Column) else F.lit(confidence)
-        return F.when(
-            F.coalesce(test, F.lit(False)),
-            F.struct(
-                F.lit(name).alias("capability"),
-                level.cast("double").alias("confidence"),
-                target.alias("target"),
-            ),
-        )
-
     product_name = F.when(col("detail_name") == "get_product_page", True)
-    controls = [
-        one(F.exists("labels", lambda x: x.rlike(text.ascii_words(pattern))), name, confidence)
-        for name, (pattern, confidence) in fv.ACTION_CONTROLS.items()
-    ]
+    own_search = F.get("search", F.lit(0))
+    search_url = F.coalesce(own_search["raw_url"], col("query_search.raw_url"))
+    search_inputs = F.when(
+        own_search.isNotNull(), F.array(_input(F.lit("query"), True), _input(F.lit("page"), False))
+    ).otherwise(F.transform("query_search.params", lambda p: _input(p["name"], p["required"])))
+    search_keys = F.when(
+        own_search.isNotNull(), F.array(own_search["query_param"], F.lit("page"))
+    ).otherwise(F.transform("query_search.params", lambda p: p["name"]))
     found = F.array(
-        one(F.lit(True), "extract_page_metadata", 0.56),
-        one(travel, "list_travel_options", 0.65),
-        one(~travel & (col("detail_name").isNotNull() | has("product_listing")), "list_page_items", 0.6),
-        one(~travel & item_name & product_name, "get_product_details", F.greatest("detail_confidence", F.lit(0.66)), col("detail_url")),
-        one(~travel & item_name & product_name.isNull(), "get_item_details", F.greatest("detail_confidence", F.lit(0.66)), col("detail_url")),
-        one(
-            ~travel & ~F.coalesce(item_name, F.lit(False)) & has("product_detail"),
-            "get_product_details",
-            0.64,
+        _capability(F.lit(True), "extract_page_metadata", 0.56, _read_page(col("url"), "json:metadata")),
+        _capability(travel, "list_travel_options", 0.65, _read_page(col("url"), "json:listing")),
+        _capability(
+            ~travel & (col("detail_name").isNotNull() | has("product_listing")), "list_page_items", 0.6,
+            _read_page(col("url"), "json:listing"),
         ),
-        one(
-            (F.size("search") > 0) | col("query_search").isNotNull(),
-            "list_search_results",
-            0.67,
-            F.coalesce(F.get("search", F.lit(0))["raw_url"], col("query_search")),
+        *(
+            _capability(
+                ~travel & item_name & test, name, F.greatest("detail_confidence", F.lit(0.66)),
+                _read_page(col("detail_url"), "json:product"), F.array(_input(col("detail_param"), True)), col("detail_url"),
+            )
+            for test, name in ((product_name, "get_product_details"), (product_name.isNull(), "get_item_details"))
+        ),
+        _capability(
+            ~travel & ~F.coalesce(item_name, F.lit(False)) & has("product_detail"), "get_product_details", 0.64,
+            _read_page(col("url"), "json:product"),
+        ),
+        _capability(
+            search_url.isNotNull(), "list_search_results", 0.67,
+            _read_page(_filled_query(search_url, search_keys, search_inputs), "json:listing"), search_inputs, search_url,
         ),
-        one(F.exists("live_forms", lambda f: travel_form(f)), "search_travel_options", 0.7),
-        one(
-            F.exists("live_forms", lambda f: (f["purpose"] == "search") & (F.size(f["fields"]) > 0)),
-            "search_in_browser",
-            0.63,
+        _travel_search(F.get(F.filter("live_forms", lambda f: _travel_fields(f).isNotNull()), F.lit(0))),
+        _live_search(
+            F.get(F.filter("live_forms", lambda f: (f["purpose"] == "search") & (F.size(f["fields"]) > 0)), F.lit(0))
+        ),
+        *(
+            _control(F.get(F.filter("actions", lambda a: a["label"].rlike(text.ascii_words(pattern))), F.lit(0)), name, level)
+            for name, (pattern, level) in fv.ACTION_CONTROLS.items()
         ),
-        *controls,
     )
     numbered = F.transform(
         F.array_compact(found), lambda x, i: F.struct(i.cast("bigint").alias("pos"), x.alias("x"))
@@ -361,19 +466,9 @@ def page_capabilities(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
 
 
 def capability_candidates(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
-    """Page capabilities laid out as candidates (steps carried as data)."""
-    rows = page_capabilities(captures, limits)
-    step = lambda action, value: F.struct(
-        F.lit(action).alias("action"),
-        F.lit(None).cast("string").alias("role"),
-        F.lit(None).cast("string").alias("selector"),
-        value.alias("value"),
-    )
-    mode = F.when(F.col("capability").startswith("list_"), "json:listing").when(
-        F.col("capability").startswith("get_"), "json:product"
-    ).otherwise("json:metadata")
+    """Page capabilities as candidates, with their inputs and steps."""
     return as_candidates(
-        rows,
+        page_capabilities(captures, limits),
         "capability",
         name=F.col("capability"),
         description=F.concat(F.lit("Page capability: "), F.col("capability"), F.lit(".")),
@@ -381,7 +476,8 @@ def capability_candidates(captures: DataFrame, limits: Limits = WHOLE) -> DataFr
         method=F.lit(None).cast("string"),
         url_pattern=F.lit(None).cast("string"),
         raw_url=F.col("target"),
-        steps=F.array(step("navigate", F.col("target")), step("extract", mode)).cast(STEPS_DDL),
+        params=F.col("inputs"),
+        steps=F.col("steps"),
     )
 
 
@@ -531,7 +627,7 @@ def all_candidates(
     ):
         out = out.unionByName(more)
     if calls is not None:
-        out = out.unionByName(network_candidates(calls))
+        out = out.unionByName(network_candidates(calls, limits))
     if recipes:
         out = recipe_candidates(captures, recipes).unionByName(out)
     return out

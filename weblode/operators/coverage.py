@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text, urls
+from ..functions.expr import head
 from ..functions.rows import first_rows, unnest
 from ..schema import WHOLE, Limits
 from .pages import all_search_actions, page_facts
@@ -83,7 +84,7 @@ def new_material(captures: DataFrame, calls: DataFrame | None, limits: Limits =
     states = unnest(
         captures,
         ["capture_id"],
-        F.slice(F.transform("page.appState", lambda s, i: F.struct(i.alias("pos"), s.alias("s"))), 1, 12),
+        head(F.transform("page.appState", lambda s, i: F.struct(i.alias("pos"), s.alias("s"))), limits.app_states),
         "pos",
     )
     parts = [
@@ -110,8 +111,8 @@ def new_material(captures: DataFrame, calls: DataFrame | None, limits: Limits =
     return out.join(site, "capture_id")
 
 
-def new_actions(captures: DataFrame, coverage: DataFrame, key: str = "site", top: int = 8) -> DataFrame:
-    """Page controls whose tool name is not covered yet, at most ``top`` per capture."""
+def new_actions(captures: DataFrame, coverage: DataFrame, key: str = "site", top: int | None = None) -> DataFrame:
+    """Page controls whose tool name is not covered yet."""
     label = F.lower(F.col("a.label"))
     name = F.when(F.lit(False), "")
     for tool in fv.ACTION_DELTA_ORDER:
@@ -124,7 +125,9 @@ def new_actions(captures: DataFrame, coverage: DataFrame, key: str = "site", top
     ).withColumn("name", name)
     known = coverage.filter(F.col("kind") == "name").select(key, F.col("value").alias("name"))
     fresh = listed.filter(F.col("name").isNotNull()).join(known, [key, "name"], "left_anti")
-    return first_rows(fresh, ["capture_id"], [F.col("pos")], n=top).select(
+    if top is not None:
+        fresh = first_rows(fresh, ["capture_id"], [F.col("pos")], n=top)
+    return fresh.select(
         "capture_id", "site", "pos", "name", "a.*"
     )
 
@@ -141,7 +144,7 @@ def discovery_delta(
     delta = first_rows(
         material, ["capture_id", "sig"], [F.col("source_rank"), F.col("pos")]
     ).join(known, ["site", "sig"], "left_anti")
-    actions = new_actions(captures, coverage).groupBy("capture_id").agg(F.count(F.lit(1)).alias("actions"))
+    actions = new_actions(captures, coverage, top=limits.new_actions).groupBy("capture_id").agg(F.count(F.lit(1)).alias("actions"))
     counted = delta.groupBy("capture_id").agg(
         F.count_if(F.col("source") != "appstate").alias("endpoints")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.rows import unnest
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, staged
 
 
 def contract_problem() -> Column:
@@ -116,7 +116,7 @@ def _parallel_matching(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def greedy_pairs(
-    candidates: DataFrame, keys: list[str], fold_limit: int = 512, allow_rounds: bool = True
+    candidates: DataFrame, keys: list[str], fold_limit: int = 512
 ) -> DataFrame:
     """``keys, ord`` of the candidates that survive; input has ``keys, name, sig, ord``.
 
@@ -124,20 +124,18 @@ def greedy_pairs(
     """
     pairs = candidates.groupBy(*keys, "name", "sig").agg(F.min("ord").alias("ord"))
     sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs"))
-    sized = pairs.join(sizes, keys)
-    small = sized.filter(F.col("_pairs") <= fold_limit)
+    # only the few large keys are listed, so a hot one is never joined row by row to its own size
+    large = staged(sizes.filter(F.col("_pairs") > fold_limit).select(*keys), None, "large_keys")
+    small = pairs.join(large, keys, "left_anti")
     folded = small.groupBy(*keys).agg(
         F.collect_list(F.struct("ord", "name", "sig")).alias("rows")
     )
     out = unnest(
         folded, keys, F.transform(_fold(F.col("rows")), lambda o: F.struct(o.alias("ord"))), "ord"
     )
-    if not allow_rounds:
-        return out
-    large = sizes.filter(F.col("_pairs") > fold_limit)
     if large.isEmpty():
         return out
-    rest = pairs.join(large.select(*keys), keys, "left_semi")
+    rest = pairs.join(large, keys, "left_semi")
     return out.unionByName(_parallel_matching(rest, keys))
 
 

@@ -74,7 +74,9 @@ def crawl_plan(
     captures: DataFrame, robots: DataFrame | None = None, max_pages: int = 4
 ) -> DataFrame:
     """Pages of a crawl per capture: site root, the given page, then the frontier within budget."""
-    budget = max(1, min(12, int(max_pages)))
+    if max_pages < 1:
+        raise ValueError("a crawl visits at least one page")
+    budget = max_pages
     here = page_facts(captures.select("capture_id", "url"), "here")
     start = here.select(
         "capture_id",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import text, urls
-from ..functions.expr import built_once, head, keep_first, let
+from ..functions.expr import built_once, cut, head, keep_first, let
 from ..functions.json_help import read_linked_data
 from ..functions.rows import unnest
 from ..schema import WHOLE, Limits
@@ -45,7 +45,7 @@ def is_search_name(name: Column) -> Column:
     return F.lower(name).isin(fv.SEARCH_FIELDS)
 
 
-def links_of(markup: Column, base: Column, limit: int | None = None) -> Column:
+def links_of(markup: Column, base: Column, limit: int | None = None, text_limit: int | None = None) -> Column:
     """Ordered ``array<struct<pos, href, text>>``: distinct http(s) links of one page."""
 
     def link(anchor: Column, pos: Column) -> Column:
@@ -53,7 +53,7 @@ def links_of(markup: Column, base: Column, limit: int | None = None) -> Column:
         return F.struct(
             urls.absolute(text.attribute(tokens, "href"), base).alias("key"),
             pos.cast("long").alias("pos"),
-            text.clean_text(_inner(anchor), 180).alias("text"),
+            text.clean_text(_inner(anchor), text_limit).alias("text"),
         )
 
     found = F.filter(
@@ -118,16 +118,16 @@ def forms_of(markup: Column, base: Column, limits: Limits = WHOLE) -> Column:
     return head(found, limits.forms)
 
 
-def buttons_of(markup: Column, limit: int | None = None) -> Column:
+def buttons_of(markup: Column, limit: int | None = None, text_limit: int | None = None) -> Column:
     """Ordered distinct button labels, compared without case."""
 
     def label(tag: Column, pos: Column) -> Column:
         value = F.when(
-            tag.rlike(r"(?i)^<button"), text.clean_text(_inner(tag), 120)
+            tag.rlike(r"(?i)^<button"), text.clean_text(_inner(tag), text_limit)
         ).otherwise(
             text.clean_text(
                 F.coalesce(text.attribute(text.attribute_tokens(_opening(tag)), "value"), F.lit("")),
-                120,
+                text_limit,
             )
         )
         return let(value, lambda v: F.struct(F.lower(v).alias("key"), pos.cast("long").alias("pos"), v.alias("label")))
@@ -194,21 +194,20 @@ def search_actions_of(raw_actions: Column, page: Column, limit: int | None = Non
     )
 
 
-def current_page_patterns(page: Column) -> Column:
+def current_page_patterns(page: Column, max_params: int | None = None) -> Column:
     """Struct with the search action and the query pattern of the page's own address."""
 
     def build(keys: Column) -> Column:
         where = F.concat(page["origin"], page["path"])
         search = F.get(F.filter(keys, is_search_name), F.lit(0))
         paging = F.get(F.filter(keys, lambda k: k.rlike(fv.PAGE_FIELD)), F.lit(0))
-        others = F.slice(
+        others = head(
             F.filter(
                 keys,
                 lambda k: ~F.coalesce(k == search, F.lit(False))
                 & ~F.coalesce(k == paging, F.lit(False)),
             ),
-            1,
-            6,
+            max_params,
         )
         param = lambda name, required: F.struct(
             name.alias("name"), F.lit(required).alias("required")
@@ -280,13 +279,14 @@ def kinds_of(
     forms: Column,
     links: Column,
     state: Column,
+    sample_limit: int | None = None,
 ) -> Column:
     """Set of page kinds, in a fixed order."""
     has_type = lambda pattern: F.exists(types, lambda t: t.rlike(pattern))
     texts = F.struct(
         F.lower(url).alias("url"),
         F.lower(
-            F.concat_ws(" ", url, F.coalesce(title, F.lit("")), F.substring(sample, 1, 2000))
+            F.concat_ws(" ", url, F.coalesce(title, F.lit("")), cut(sample, sample_limit))
         ).alias("hay"),
         F.lower(F.coalesce(F.to_json(state), F.lit("[]"))).alias("state"),
     )
@@ -342,11 +342,11 @@ def _fact(name: str, limits: Limits) -> Column:
     if name == "base":
         return urls.base_of(col("markup"), col("here"))
     if name == "links":
-        return links_of(col("markup"), col("base"), limits.links)
+        return links_of(col("markup"), col("base"), limits.links, limits.link_text)
     if name == "forms":
         return forms_of(col("markup"), col("base"), limits)
     if name == "buttons":
-        return buttons_of(col("markup"), limits.buttons)
+        return buttons_of(col("markup"), limits.buttons, limits.button_label)
     if name == "linked_data":
         return read_linked_data(linked_data_scripts(col("html")))
     visible = F.coalesce(col("page.visibleText"), F.lit(""))
@@ -399,7 +399,7 @@ def mine(captures: DataFrame, workdir: str | None = None, limits: Limits = WHOLE
 
 
 @built_once
-def _canonical_href() -> Column:
+def canonical_href() -> Column:
     tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)<link\b([^>]*)>"), F.lit(1))
     found = F.transform(
         tags,
@@ -428,7 +428,7 @@ def page_profile(captures: DataFrame) -> DataFrame:
         "url",
         F.coalesce(col("title"), text.title_of(col("html"))).alias("title"),
         _description().alias("description"),
-        _canonical_href().alias("canonical_url"),
+        canonical_href().alias("canonical_url"),
         urls.href_of(col("base")).alias("base_url"),
         F.length("html").alias("html_length"),
         F.length(text.stripped_text(col("html"))).alias("text_length"),
@@ -503,7 +503,7 @@ def jsonld_types(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
 @built_once
 def all_search_actions(limits: Limits = WHOLE) -> Column:
     """The page's own search address first, then the announced ones."""
-    own = current_page_patterns(F.col("here"))["action"]
+    own = current_page_patterns(F.col("here"), limits.page_params)["action"]
     found = search_actions_of(F.col("linked_data.actions"), F.col("here"), limits.search_actions)
     return F.concat(F.array_compact(F.array(own)), found)
 
@@ -517,18 +517,18 @@ def search_actions(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
 
 
 @built_once
-def own_query_pattern() -> Column:
-    return current_page_patterns(F.col("here"))["pattern"]
+def own_query_pattern(max_params: int | None = None) -> Column:
+    return current_page_patterns(F.col("here"), max_params)["pattern"]
 
 
-def current_page_query(captures: DataFrame) -> DataFrame:
+def current_page_query(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """Query pattern of each page's own address."""
     facts = page_facts(captures, "here")
-    return unnest(facts, ["capture_id"], F.array_compact(F.array(own_query_pattern())), "name")
+    return unnest(facts, ["capture_id"], F.array_compact(F.array(own_query_pattern(limits.page_params))), "name")
 
 
 @built_once
-def kinds_column() -> Column:
+def kinds_column(limits: Limits = WHOLE) -> Column:
     col = F.col
     return kinds_of(
         col("url"),
@@ -539,17 +539,18 @@ def kinds_column() -> Column:
         col("forms"),
         col("links"),
         col("page.appState"),
+        limits.kind_sample,
     )
 
 
 def page_kinds(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """Page kinds; row-local, so no join of the mined parts is needed."""
     facts = page_facts(captures, "site", "linked_data", "sample", "forms", "links", limits=limits)
-    return facts.select("capture_id", "url", "site", kinds_column().alias("kinds"))
+    return facts.select("capture_id", "url", "site", kinds_column(limits).alias("kinds"))
 
 
-def headings_of(html: Column, limit: int = 12) -> Column:
-    raw = F.slice(_all(text.rendered_markup(html), _HEADING), 1, limit)
+def headings_of(html: Column, limit: int | None = None) -> Column:
+    raw = head(_all(text.rendered_markup(html), _HEADING), limit)
     clean = F.transform(raw, lambda h: text.clean_text(_inner(h), None))
     return F.filter(clean, lambda h: h != "")
 

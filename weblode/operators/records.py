@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..functions import text, urls
-from ..functions.expr import built_once, keep_first, let
+from ..functions.expr import built_once, cut, head, keep_first, let
 from ..functions.rows import unnest
 from .health import releasable
 from .pages import headings_of, page_facts
@@ -27,7 +27,8 @@ _CARD = T.ArrayType(
             T.StructField("pos", T.LongType()),
             T.StructField("href", T.StringType()),
             T.StructField("text", T.StringType()),
-            T.StructField("card_text", T.StringType()),
+            T.StructField("price", T.StringType()),
+            T.StructField("rating", T.StringType()),
         ]
     )
 )
@@ -76,37 +77,52 @@ class _CardReader(HTMLParser):
             self.words.append(data)
 
     def rows(self) -> list[dict]:
+        """Each link with its own text and what is found in its card; a card is read once for all its links."""
         end = len(self.words)
         for _, start, notes in self.open:
             for link in notes.get("links", []):
                 link["card"] = (start, end)
-        out = []
-        for pos, link in enumerate(self.links):
-            stop = end if link["to"] is None else link["to"]
-            start, until = link["card"] or (0, 0)
-            out.append(
-                {
-                    "pos": pos,
-                    "href": link["href"],
-                    "text": _squeeze(self.words[link["from"]:stop]),
-                    "card_text": _squeeze(self.words[start:until]),
-                }
-            )
-        return out
+        cards = {link["card"] for link in self.links if link["card"]}
+        read = {card: _offer(_squeeze(self.words[slice(*card)])) for card in cards}
+        read[None] = ("", "")
+        return [
+            {
+                "pos": pos,
+                "href": link["href"],
+                "text": _squeeze(self.words[link["from"] : end if link["to"] is None else link["to"]]),
+                "price": read[link["card"]][0],
+                "rating": read[link["card"]][1],
+            }
+            for pos, link in enumerate(self.links)
+        ]
 
 
 def _squeeze(words: list[str]) -> str:
     return re.sub(r"\s+", " ", "".join(words)).strip()
 
 
+_PRICE = re.compile(fv.PRICE_TEXT, re.ASCII)
+_RATING = re.compile(fv.RATING_TEXT, re.ASCII)
+
+
+def _offer(card: str) -> tuple[str, str]:
+    """First price and first rating in the text of a card."""
+    return tuple(found[0] if (found := pattern.search(card)) else "" for pattern in (_PRICE, _RATING))
+
+
 @F.pandas_udf(_CARD)
 def read_cards(html: pd.Series) -> pd.Series:
-    """Links with the text of their nearest article, li or div."""
+    """Links with the price and rating that their nearest article, li or div shows.
+
+    What is returned grows with the page, not with links times cards.
+    """
 
     def one(doc: str | None) -> list[dict]:
+        if not doc:
+            return []
         reader = _CardReader()
         try:
-            reader.feed(doc or "")
+            reader.feed(doc)
             reader.close()
         except (AssertionError, ValueError):
             pass  # the parser gives up on some broken declarations; what was read still counts
@@ -199,8 +215,8 @@ def _listing(top: int | None) -> Column:
             urls.absolute(card["href"], F.col("base")).alias("key"),
             card["pos"].alias("pos"),
             card["text"].alias("title"),
-            F.regexp_extract(card["card_text"], fv.PRICE_TEXT, 0).alias("price"),
-            F.regexp_extract(card["card_text"], text.ascii_words(fv.RATING_TEXT), 0).alias("rating"),
+            card["price"].alias("price"),
+            card["rating"].alias("rating"),
         )
 
     found = F.filter(
@@ -211,17 +227,20 @@ def _listing(top: int | None) -> Column:
     return first if top is None else F.slice(first, 1, top)
 
 
-def listing_records(captures: DataFrame, top: int | None = 24, guard: bool = True) -> DataFrame:
+def listing_records(captures: DataFrame, top: int | None = None, guard: bool = True) -> DataFrame:
     """Items a page lists: product-like links with the price and rating of their card."""
     pages = releasable(captures) if guard else captures
-    facts = page_facts(pages, "base").withColumn("cards", read_cards(F.col("html")))
+    # a page without any product segment, in its links or in what they are resolved against, lists nothing
+    shaped = F.concat_ws(" ", "html", urls.href_of(F.col("base"))).rlike(r"(?i)\b(dp|products?|item|items|itm|sku|p)\b")
+    facts = page_facts(pages, "base").withColumn("cards", read_cards(F.when(shaped, F.col("html"))))
     return unnest(facts, ["capture_id"], _listing(top), "pos").select(
         "capture_id", "pos", "title", F.col("key").alias("url"), "price", "rating"
     )
 
 
 def card_records(
-    captures: DataFrame, card_class: str, scan: int | None = 40, top: int | None = 24, guard: bool = True
+    captures: DataFrame, card_class: str, scan: int | None = None, top: int | None = None, guard: bool = True,
+    title_length: int | None = None, text_length: int | None = None,
 ) -> DataFrame:
     """Items a page lists in elements of one class (innermost closing tag), distinct by content."""
     if not re.fullmatch(r"[A-Za-z0-9_-]+", card_class):
@@ -245,9 +264,9 @@ def card_records(
 
         def build(b: Column) -> Column:
             title = F.coalesce(
-                F.nullif(heading, F.lit("")), F.nullif(anchor_text, F.lit("")), F.substring(b, 1, 80)
+                F.nullif(heading, F.lit("")), F.nullif(anchor_text, F.lit("")), cut(b, title_length)
             )
-            short = F.substring(b, 1, 500)
+            short = cut(b, text_length)
             return F.struct(
                 F.concat_ws("|", title, short).alias("key"),
                 pos.cast("bigint").alias("pos"),
@@ -269,12 +288,12 @@ def card_records(
     ).drop("key")
 
 
-def metadata_records(captures: DataFrame, guard: bool = True, headings: int = 12, links: int = 20) -> DataFrame:
+def metadata_records(captures: DataFrame, guard: bool = True, headings: int | None = None, links: int | None = None) -> DataFrame:
     """Title, description, headings and links of each page."""
     pages = releasable(captures) if guard else captures
     facts = page_facts(pages, "links")
     shown = F.transform(
-        F.slice(F.filter("links", lambda a: a["text"] != ""), 1, links),
+        head(F.filter("links", lambda a: a["text"] != ""), links),
         lambda a: F.struct(a["text"].alias("text"), a["href"].alias("url")),
     )
     return facts.select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import urls
 from ..functions.expr import built_once, let
-from ..functions.rows import first_rows, unnest
+from ..functions.rows import first_rows, ranked, unnest
 from ..schema import WHOLE, Limits
 from .pages import current_page_query, is_search_name, page_facts, product_segment
 
@@ -118,7 +118,7 @@ def detail_templates(
     captures: DataFrame,
     scope: str = "capture",
     min_links: int = 3,
-    top: int = 6,
+    top: int | None = None,
     limits: Limits = WHOLE,
 ) -> DataFrame:
     """Repeated detail-page templates, strongest first."""
@@ -139,10 +139,9 @@ def detail_templates(
         )
         .filter(F.col("links") >= min_links)
     )
-    ranked = first_rows(
-        grouped, keys, [F.desc("links"), F.col("first_seen")], n=top, rank_name="rank"
-    )
-    return ranked.select(
+    top = limits.detail_templates if top is None else top
+    best = ranked(grouped, keys, [F.desc("links"), F.col("first_seen")], "rank", top)
+    return best.select(
         *keys,
         "rank",
         F.col("first.name").alias("name"),
@@ -157,8 +156,8 @@ def detail_templates(
 def query_templates(
     captures: DataFrame,
     scope: str = "capture",
-    top: int = 8,
-    max_params: int = 6,
+    top: int | None = None,
+    max_params: int | None = None,
     limits: Limits = WHOLE,
 ) -> DataFrame:
     """Link groups on one path whose query parameters vary.
@@ -166,6 +165,8 @@ def query_templates(
     "At least two distinct values" is tested as ``min < max``, so no value set is kept.
     """
     keys = _scope(scope)
+    top = limits.query_groups if top is None else top
+    max_params = limits.query_params if max_params is None else max_params
     links = local_links(captures, limits).filter(F.contains("href", F.lit("?")))
     params = F.transform(
         urls.first_values(urls.query_of(F.col("href"))),
@@ -198,13 +199,11 @@ def query_templates(
         )
         .filter("any_varies")
     )
-    top_groups = first_rows(groups, keys, [F.col("first_seen")], n=top, rank_name="rank")
-    chosen = first_rows(
-        named.filter(F.col("varies") | F.col("is_search") | F.col("is_page")),
-        [*keys, "raw_url"],
-        [F.col("seen")],
-        n=max_params,
-    )
+    top_groups = ranked(groups, keys, ["first_seen"], "rank", top)
+    chosen = named.filter(F.col("varies") | F.col("is_search") | F.col("is_page"))
+    if max_params is not None:
+        chosen = first_rows(chosen, [*keys, "raw_url"], [F.col("seen")], n=max_params)
+    # parameter names of one path: as many as its links spell out
     lists = chosen.groupBy(*keys, "raw_url").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("seen", "name", "is_search"))),
@@ -230,7 +229,7 @@ def query_templates(
 
 def all_query_patterns(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """Per capture: the pattern of the page's own address, then the mined groups."""
-    own = current_page_query(captures).select(
+    own = current_page_query(captures, limits).select(
         "capture_id",
         F.lit(0).alias("rank"),
         "name",
@@ -266,7 +265,7 @@ def _wildcards() -> Column:
 def url_template_clusters(
     inventory: DataFrame,
     min_members: int = 8,
-    max_templates: int = 25,
+    max_templates: int | None = None,
     max_urls: int | None = None,
     scope: str = "origin",
 ) -> DataFrame:
@@ -304,13 +303,7 @@ def url_template_clusters(
         )
         .filter(F.col("members") >= min_members)
     )
-    leading = first_rows(
-        values.select(*key, "value", F.col("first.ord").alias("ord")),
-        key,
-        [F.col("ord"), F.col("at"), F.col("value")],
-        n=50,
-    )
-    shares = leading.groupBy(*key).agg(
+    shares = values.groupBy(*key).agg(
         F.avg(F.when(urls.looks_like_id(F.col("value")), 1.0).otherwise(0.0)).alias("id_share")
     )
     entity, example = F.col("sample.entity"), F.col("sample.value")
@@ -326,7 +319,7 @@ def url_template_clusters(
     )
     order = [F.desc("members"), F.col("sample.ord"), F.col("at")]
     best = first_rows(named, ["origin", "name"], order)
-    top = first_rows(best, ["origin"], order, n=max_templates, rank_name="rank")
+    top = ranked(best, ["origin"], order, "rank", max_templates)
     segs = F.col("sample.segs")
     return top.select(
         "origin",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import urls
 from ..functions.expr import any_contains, cut
+from ..functions.rows import first_rows
 from ..schema import WHOLE, Limits
 
 
@@ -84,8 +85,9 @@ def verify_tools(
 ) -> DataFrame:
     """Tools with ``status, reason, http_status, generalized``.
 
-    ``probes`` holds one row per ``(url, method)``; it is classified once before it is joined,
-    so bodies never travel with the tools.
+    ``probes`` is classified once before it is joined, so bodies never travel with the tools.  Should it hold
+    several rows of a ``(url, method)``, in any case of letters, the newest (``observed_at``) or else the first
+    by status counts; a tool is never multiplied.
     """
     targets = verification_targets(tools, fresh_values)
     wanted = (
@@ -94,14 +96,19 @@ def verify_tools(
         .filter(F.col("url").isNotNull())
         .distinct()
     )
-    classed = (
-        probes.join(wanted, ["url", "method"], "left_semi")
+    observed = F.col("observed_at") if "observed_at" in probes.columns else F.lit(None).cast("timestamp")
+    classed = first_rows(
+        probes.withColumn("method", F.upper(F.coalesce("method", F.lit("GET"))))
+        .join(wanted, ["url", "method"], "left_semi")
         .select(
             "url",
             "method",
             "status",
             probe_class(F.lit(True), F.col("status"), F.col("body"), limits).alias("probe"),
-        )
+            observed.alias("_observed"),
+        ),
+        ["url", "method"],
+        [F.desc_nulls_last("_observed"), F.col("status"), F.col("probe.status"), F.col("probe.reason")],
     )
     captured = classed.select(
         F.col("url").alias("target"),

@@ -29,14 +29,15 @@ def prepare_payloads(
 ) -> DataFrame:
     """Captures to the per-page input of a proposer.
 
-    Only public pages that robots rules allow.  The rules are joined last, so that only the
-    finished payloads, and not html, can meet a shuffle.
+    Only public pages that robots rules allow.  The rules meet addresses alone, and pages that are not
+    allowed are dropped before anything is mined.
     """
-    payloads = payload_table(public_targets(captures, "url"), limits=limits)
-    if robots is None:
-        return payloads
-    gated = robots_gate(payloads, robots, policy=policy)
-    return gated.filter("robots_allowed").select(*payloads.columns)
+    public = public_targets(captures, "url")
+    if robots is not None:
+        gated = robots_gate(public.select("capture_id", "url"), robots, policy=policy)
+        allowed = gated.filter("robots_allowed").select("capture_id").distinct()
+        public = public.join(allowed, "capture_id", "left_semi")
+    return payload_table(public, limits=limits)
 
 
 def infer_tools(
@@ -75,7 +76,11 @@ def generate(
     """Captures to (tools with confidence, registry rows): infer, add described operations, verify."""
     tools, _ = infer_tools(captures, calls, recipes, workdir=workdir, limits=limits)
     if specs is not None:
-        origins = captures.select("capture_id", urls.parts_of("url")["origin"].alias("origin"))
+        # described operations belong to the origin: they are attached to its first page, not to each
+        origins = (
+            captures.select("capture_id", urls.parts_of("url")["origin"].alias("origin"))
+            .groupBy("origin").agg(F.min("capture_id").alias("capture_id"))
+        )
         described = (
             cand.spec_candidates(specs)
             .withColumnRenamed("capture_id", "origin")

@@ -1,7 +1,8 @@
 """Column layouts and size limits.
 
-``Limits()`` keeps whole texts and whole lists.  ``Limits.contract()`` holds the bounds of the
-capture contract, for callers who need page-for-page agreement with a bounded capture.
+``Limits()`` keeps whole texts and whole lists and is what every job uses unless told otherwise.
+``Limits.contract()`` holds every bound of the capture contract and of the bounded reports, for
+callers who need page-for-page agreement with a bounded capture.
 """
 
 from __future__ import annotations
@@ -30,6 +31,29 @@ class Limits:
     calls: int | None = None
     request_body: int | None = None
     url: int | None = None
+    title: int | None = None
+    description: int | None = None
+    link_text: int | None = None
+    button_label: int | None = None
+    headings: int | None = None
+    kind_sample: int | None = None
+    page_params: int | None = None
+    detail_templates: int | None = None
+    query_groups: int | None = None
+    query_params: int | None = None
+    candidate_forms: int | None = None
+    candidate_fields: int | None = None
+    candidate_calls: int | None = None
+    cross_site_calls: int | None = None
+    schema_keys: int | None = None
+    body_fields: int | None = None
+    body_depth: int | None = None
+    app_states: int | None = None
+    new_actions: int | None = None
+    dom_sample: int | None = None
+    visible_text: int | None = None
+    name: int | None = None
+    listed: int | None = None
 
     @staticmethod
     def contract() -> "Limits":
@@ -51,6 +75,29 @@ class Limits:
             calls=200,
             request_body=32_000,
             url=4_000,
+            title=240,
+            description=500,
+            link_text=180,
+            button_label=120,
+            headings=12,
+            kind_sample=2_000,
+            page_params=6,
+            detail_templates=6,
+            query_groups=8,
+            query_params=6,
+            candidate_forms=6,
+            candidate_fields=8,
+            candidate_calls=30,
+            cross_site_calls=6,
+            schema_keys=12,
+            body_fields=6,
+            body_depth=2,
+            app_states=12,
+            new_actions=8,
+            dom_sample=8_000,
+            visible_text=12_000,
+            name=256,
+            listed=100,
         )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import cut, let
-from ..functions.rows import unnest
+from ..functions.rows import first_rows, unnest
 from ..schema import PARAMS_DDL, STEPS_DDL, WHOLE, Limits
 
 _TOOL = (
@@ -74,10 +74,17 @@ def read_candidates(raw: DataFrame, source: str = "proposed", source_rank: int =
 
 
 def read_probe_results(probes: DataFrame, limits: Limits = WHOLE) -> DataFrame:
-    """``(url, method, status, body)`` as the verifier expects them; one row per target."""
-    return probes.select(
+    """``(url, method, status, body)`` as the verifier expects them: one row per target.
+
+    Of several probes of a target the newest counts, by ``observed_at`` where the table has it; equals
+    are decided by status and body, so reruns agree.
+    """
+    named = probes.select(
         "url",
         F.upper(F.coalesce("method", F.lit("GET"))).alias("method"),
         F.col("status").cast("int").alias("status"),
         cut(F.coalesce("body", F.lit("")), limits.html).alias("body"),
+        (F.col("observed_at") if "observed_at" in probes.columns else F.lit(None).cast("timestamp")).alias("observed_at"),
     )
+    newest = [F.desc_nulls_last("observed_at"), F.col("status"), F.sha2("body", 256)]
+    return first_rows(named, ["url", "method"], newest).drop("observed_at")

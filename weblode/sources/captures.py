@@ -48,8 +48,8 @@ def _call_problem(call: Column, limits: Limits) -> Column:
     keys = F.map_keys(call["requestHeaders"])
     return (
         _missing_or_long(call["method"], 16)
-        | _missing_or_long(call["urlPattern"], 4_000)
-        | _missing_or_long(call["rawUrl"], 4_000)
+        | _missing_or_long(call["urlPattern"], limits.url)
+        | _missing_or_long(call["rawUrl"], limits.url)
         | ~call["rawUrl"].rlike(_ANY_URL)
         | call["requestHeaders"].isNull()
         | call["statusCode"].isNull()
@@ -73,26 +73,27 @@ def _longer(array: Column, n: int | None) -> Column:
     return F.coalesce(F.size(array) > n, F.lit(False))
 
 
-def _page_problem(page: Column) -> Column:
+def _page_problem(page: Column, limits: Limits) -> Column:
+    bounded = lambda n: None if limits.listed is None else n  # noqa: E731  bounds of the contract, or none
     def bad_field(f: Column) -> Column:
         return (
-            _missing_or_long(f["name"], 256)
-            | _missing_or_long(f["type"], 64)
-            | _too_long(f["label"], 512)
-            | _too_long(f["placeholder"], 512)
+            _missing_or_long(f["name"], bounded(256))
+            | _missing_or_long(f["type"], bounded(64))
+            | _too_long(f["label"], bounded(512))
+            | _too_long(f["placeholder"], bounded(512))
             | f["required"].isNull()
-            | _too_long(f["selector"], 2_000)
+            | _too_long(f["selector"], bounded(2_000))
         )
 
     def bad_form(f: Column) -> Column:
         return (
-            _missing_or_long(f["selector"], 2_000)
+            _missing_or_long(f["selector"], bounded(2_000))
             | f["method"].isNull()
             | ~f["method"].isin("GET", "POST")
             | f["purpose"].isNull()
             | ~f["purpose"].isin(fv.FORM_PURPOSES)
             | f["fields"].isNull()
-            | _longer(f["fields"], 100)
+            | _longer(f["fields"], limits.listed)
             | _any(f["fields"], bad_field)
         )
 
@@ -100,21 +101,21 @@ def _page_problem(page: Column) -> Column:
         return (
             a["kind"].isNull()
             | ~a["kind"].isin(fv.ACTION_KINDS)
-            | _missing_or_long(a["label"], 512)
-            | _missing_or_long(a["selector"], 2_000)
+            | _missing_or_long(a["label"], bounded(512))
+            | _missing_or_long(a["selector"], bounded(2_000))
         )
 
     def bad_state(s: Column) -> Column:
-        return _missing_or_long(s["source"], 512) | _longer(s["keys"], 200) | _longer(s["types"], 100)
+        return _missing_or_long(s["source"], bounded(512)) | _longer(s["keys"], bounded(200)) | _longer(s["types"], limits.listed)
 
     return (
-        _too_long(page["visibleText"], 12_000)
-        | _longer(page["headings"], 100)
-        | _longer(page["actions"], 300)
+        _too_long(page["visibleText"], limits.visible_text)
+        | _longer(page["headings"], limits.listed)
+        | _longer(page["actions"], bounded(300))
         | _any(page["actions"], bad_action)
-        | _longer(page["forms"], 50)
+        | _longer(page["forms"], bounded(50))
         | _any(page["forms"], bad_form)
-        | _longer(page["appState"], 50)
+        | _longer(page["appState"], bounded(50))
         | _any(page["appState"], bad_state)
     )
 
@@ -135,7 +136,7 @@ def contract_errors(limits: Limits) -> Column:
         "tier": c("tier").isNotNull() & ~c("tier").isin(1, 2, 3, 4),
         "html": c("dom.html").isNull() | _too_long(c("dom.html"), limits.html),
         "dom_hash": _missing_or_long(c("dom.domHash"), 128),
-        "selectors": _longer(c("dom.selectorsOfInterest"), 200)
+        "selectors": _longer(c("dom.selectorsOfInterest"), None if limits.listed is None else 200)
         | _any(
             c("dom.selectorsOfInterest"),
             lambda e: _missing_or_long(e["role"], 128)
@@ -147,7 +148,7 @@ def contract_errors(limits: Limits) -> Column:
         | _any(c("network"), lambda x: _call_problem(x, limits)),
         "too_many_headers": _any(c("network"), lambda x: _longer(headers(x), limits.headers)),
         "secret_header": _any(c("network"), lambda x: F.exists(headers(x), secret_name)),
-        "page": c("page").isNotNull() & _page_problem(c("page")),
+        "page": c("page").isNotNull() & _page_problem(c("page"), limits),
         "rendered_with_js": c("meta.renderedWithJs").isNull(),
     }
     return F.array_compact(
@@ -155,9 +156,11 @@ def contract_errors(limits: Limits) -> Column:
     )
 
 
-def check_captures(bundles: DataFrame, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split parsed bundles into (accepted captures, rejected bundles with their errors)."""
-    limits = limits or Limits.contract()
+def check_captures(bundles: DataFrame, limits: Limits = WHOLE) -> tuple[DataFrame, DataFrame]:
+    """Split parsed bundles into (accepted captures, rejected bundles with their errors).
+
+    Rules of form always hold; rules of size only with the limits that set them.
+    """
     if "_corrupt_record" not in bundles.columns:
         bundles = bundles.withColumn("_corrupt_record", F.lit(None).cast("string"))
     checked = bundles.withColumn("errors", contract_errors(limits))
@@ -171,13 +174,14 @@ def check_captures(bundles: DataFrame, limits: Limits | None = None) -> tuple[Da
         F.col("dom.domHash").alias("dom_hash"),
         "network",
         "page",
+        F.col("dom.selectorsOfInterest").alias("selectors"),
     )
     rejected = checked.filter(F.size("errors") > 0).select("bundleId", "url", "errors", "_corrupt_record")
     return accepted, rejected
 
 
 def read_captures(
-    spark: SparkSession, path: str, limits: Limits | None = None
+    spark: SparkSession, path: str, limits: Limits = WHOLE
 ) -> tuple[DataFrame, DataFrame]:
     """Bundle JSON lines, checked against the closed contract; a bad bundle is refused whole."""
     schema = StructType(WIRE_CAPTURE.fields + [StructField("_corrupt_record", StringType())])
@@ -186,13 +190,14 @@ def read_captures(
 
 
 def spread_small(scan: DataFrame) -> DataFrame:
-    """Spread a direct file scan over all cores when it has fewer splits than there are cores.
+    """Spread a direct file scan over all cores when it has fewer files than there are cores.
 
-    Mining html is work for the processor.  A table that small is bounded by cores x split
-    size, so shuffling it is cheap; a corpus has more splits than cores and is left alone.
+    Mining html is work for the processor.  The rows are the same either way; a corpus has more
+    files than cores and is left alone.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    spark = scan.sparkSession
+    cores = int(spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)
+    return scan if len(scan.inputFiles()) >= cores else scan.repartition(cores)
 
 
 def read_pages(pages: DataFrame, limits: Limits = WHOLE) -> DataFrame:
@@ -202,7 +207,7 @@ def read_pages(pages: DataFrame, limits: Limits = WHOLE) -> DataFrame:
         F.col("page_id").alias("capture_id"),
         "url",
         F.lit(None).cast("timestamp").alias("captured_at"),
-        text.capture_title(html).alias("title"),
+        text.capture_title(html, limits.title).alias("title"),
         F.lit(False).alias("rendered_with_js"),
         html.alias("html"),
         F.sha2(html, 256).alias("dom_hash"),

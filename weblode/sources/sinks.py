@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions import urls
-from ..operators.pages import all_search_actions, kinds_column, page_facts
+from ..functions import text, urls
+from ..functions.expr import cut
+from ..operators.pages import all_search_actions, canonical_href, headings_of, kinds_column, page_facts
 from ..operators.registry import current_versions, next_versions
 from ..schema import WHOLE, Limits
 
@@ -51,11 +53,12 @@ def append_registry(entries: DataFrame, path: str, reject_path: str) -> None:
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A parquet table, or an empty one with ``schema`` when nothing was written yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def write_versions(tools: DataFrame, path: str) -> None:
@@ -73,7 +76,7 @@ def live_tools(versions: DataFrame, server: str = "server_id") -> DataFrame:
     return versions.join(newest, [server, "version"], "left_semi")
 
 
-def payload_table(captures: DataFrame, dom_sample: int | None = 8000, limits: Limits = WHOLE) -> DataFrame:
+def payload_table(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """Per capture, everything a proposer needs as one JSON text.
 
     All of it comes from the capture's own row, so nothing is joined or regrouped.  The DOM
@@ -82,22 +85,27 @@ def payload_table(captures: DataFrame, dom_sample: int | None = 8000, limits: Li
     facts = page_facts(
         captures, "site", "linked_data", "sample", "forms", "links", "buttons", limits=limits
     )
-    html = F.col("html") if dom_sample is None else F.substring("html", 1, dom_sample)
+    html = cut(F.col("html"), limits.dom_sample)
     analysis = F.struct(
-        "title",
+        F.coalesce("title", text.title_of(F.col("html"), limits.title)).alias("title"),
+        text.meta_description(F.col("html"), limits.description).alias("description"),
+        canonical_href().alias("canonical_url"),
+        headings_of(F.col("html"), limits.headings).alias("headings"),
+        F.col("page.appState").alias("app_state"),
         "links",
         "forms",
         "buttons",
         F.col("linked_data.types").alias("types"),
         all_search_actions(limits).alias("search_actions"),
-        kinds_column().alias("kinds"),
+        kinds_column(limits).alias("kinds"),
         F.col("sample").alias("text_sample"),
     )
+    listed = [F.col("selectors").alias("selectors_of_interest")] if "selectors" in captures.columns else []
     return facts.select(
         "capture_id",
         "url",
         F.to_json(
-            F.struct("url", analysis.alias("page_analysis"), html.alias("dom_sample"), "network")
+            F.struct("url", analysis.alias("page_analysis"), html.alias("dom_sample"), *listed, "network")
         ).alias("payload"),
     )
 

@@ -75,11 +75,13 @@ def suffix_repeats(names: Column) -> Column:
     """Names made unique with ``_2``, ``_3`` ..., skipping suffixes already taken."""
 
     def step(used: Column, name: Column) -> Column:
-        options = F.transform(
-            F.sequence(F.lit(2), F.size(used) + 2),
-            lambda i: F.concat(name, F.lit("_"), i.cast("string")),
+        numbered = lambda i: F.concat(name, F.lit("_"), i.cast("string"))
+        # earlier repeats took the numbers below this one, so it is free unless a real name holds it
+        next_number = F.size(F.filter(F.slice(names, 1, F.size(used)), lambda n: n == name)) + 1
+        options = F.transform(F.sequence(next_number, next_number + F.size(used)), numbered)
+        fresh = F.when(~F.array_contains(used, numbered(next_number)), numbered(next_number)).otherwise(
+            F.get(F.filter(options, lambda o: ~F.array_contains(used, o)), F.lit(0))
         )
-        fresh = F.get(F.filter(options, lambda o: ~F.array_contains(used, o)), F.lit(0))
         chosen = F.when(F.array_contains(used, name), fresh).otherwise(name)
         return F.concat(used, F.array(chosen))
 
@@ -228,10 +230,10 @@ def _operation_params() -> Column:
     return _unique_params(F.concat(listed, body))
 
 
-def read_api_specs(specs: DataFrame, max_operations: int | None = 80) -> DataFrame:
+def read_api_specs(specs: DataFrame, max_operations: int | None = None) -> DataFrame:
     """``(origin, doc)`` to one row per live operation, named from the description.
 
-    ``max_operations`` is the report size per description; None keeps all.
+    ``max_operations`` bounds a report per description; by default all are kept.
     """
     parsed = (
         specs.withColumn("spec", parse_spec(F.col("doc")))
