@@ -159,9 +159,13 @@ def test_frontier_and_plan(spark, pages):
 def test_ranking_keeps_own_site_first(spark):
     rows = [("c", "https://www.a.com/", i, "GET", f"https://{'api.a.com' if i % 2 else 'b.net'}/r{i}/x", "") for i in range(80)]
     df = spark.createDataFrame(rows, "capture_id string, page_url string, pos long, method string, raw_url string, content_type string")
-    got = calls.rank_calls(df).orderBy("rank").collect()
+    every = calls.rank_calls(df).orderBy("rank").collect()
+    assert [r.pos for r in every] == [*range(1, 80, 2), *range(0, 80, 2)]
+    bounds = Limits.contract()
+    bounded = lambda rows: calls.rank_calls(rows, bounds.cross_site_calls, bounds.candidate_calls)
+    got = bounded(df).orderBy("rank").collect()
     assert [r.pos for r in got] == list(range(1, 61, 2))
-    few = calls.rank_calls(df.filter("pos % 2 = 0 or pos < 9")).orderBy("rank").collect()
+    few = bounded(df.filter("pos % 2 = 0 or pos < 9")).orderBy("rank").collect()
     assert [r.pos for r in few] == [1, 3, 5, 7, 0, 2, 4, 6, 8, 10]
 
 
@@ -250,7 +254,8 @@ def test_contract(spark, tmp_path):
     bundles = [good, {**good, "network": [call]}, {**good, "tier": 9}, {**good, "dom": {"html": "x" * 200_001, "domHash": "x"}}]
     path = tmp_path / "b.json"
     path.write_text("\n".join(map(json.dumps, bundles)) + "\n{broken\n")
-    accepted, rejected = cap.read_captures(spark, str(path))
+    assert cap.read_captures(spark, str(path))[0].count() == 2
+    accepted, rejected = cap.read_captures(spark, str(path), Limits.contract())
     assert accepted.count() == 1
     assert sorted(e for r in rejected.collect() for e in r.errors if e in ("secret_header", "tier", "html", "unreadable")) == [
         "html", "html", "secret_header", "tier", "unreadable",

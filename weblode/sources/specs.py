@@ -77,7 +77,7 @@ def suffix_repeats(names: Column) -> Column:
     def step(used: Column, name: Column) -> Column:
         numbered = lambda i: F.concat(name, F.lit("_"), i.cast("string"))
         # earlier repeats took the numbers below this one, so it is free unless a real name holds it
-        next_number = F.size(F.filter(F.slice(names, 1, F.size(used)), lambda n: n == name)) + 1
+        next_number = F.greatest(F.size(F.filter(F.slice(names, 1, F.size(used)), lambda n: n == name)) + 1, F.lit(2))
         options = F.transform(F.sequence(next_number, next_number + F.size(used)), numbered)
         fresh = F.when(~F.array_contains(used, numbered(next_number)), numbered(next_number)).otherwise(
             F.get(F.filter(options, lambda o: ~F.array_contains(used, o)), F.lit(0))
