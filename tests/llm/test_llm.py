@@ -516,3 +516,56 @@ def test_losses_equal_brute_force(spark):
         a, b = loss(near, t), loss(far, t)
         assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [a, b, a - b], atol=1e-5)
     assert cross_entropy.score(docs.limit(0), target.limit(0)).count() == 0
+
+
+# --- pipeline ---
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    import corpus_pipeline
+
+    good = [(i, prose(i, 120, 40)) for i in range(240)]
+    noise = [(300 + i, " ".join(f"{w}%%{i}" for w in prose(i, 40).split())) for i in range(10)]
+    copies = [(400 + i, good[i][1]) for i in range(12)]
+    near = [(500 + i, good[20 + i][1] + " tail end") for i in range(12)]
+    odd = [(600 + i, t) for i, t in enumerate(AWKWARD)] + [(None, good[3][1]), (None, None)]
+    docs = frame(spark, good + noise + copies + near + odd)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in noise]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    step, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, step, str(tmp_path))
+        path = str(tmp_path / name)
+        out.write.parquet(path)
+        step = spark.read.parquet(path)
+        kept[name] = step.collect()
+        if name != "encode":
+            assert step.columns == docs.columns
+    ids = lambda name: [r.doc_id for r in kept[name]]
+
+    assert not set(ids("quality")) & {i for i, _ in noise}
+    assert len(set(ids("quality")) & {i for i, _ in good}) > 220
+    # exact copies: of equal texts that came in, the largest identifier stays
+    texts = {}
+    for r in kept["quality"]:
+        texts.setdefault(r.text, []).append(-1 if r.doc_id is None else r.doc_id)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept["exact_dedup"]) == sorted(map(max, texts.values()))
+    # near copies: one row of each group, against brute force over five-word shingles
+    came = kept["exact_dedup"]
+    groups = brute_groups([r.text for r in came], 5, 80)
+    smallest = {}
+    for r, (n, g) in zip(came, groups, strict=True):
+        smallest[g] = min(smallest.get(g, r.doc_id), r.doc_id)
+    assert sorted(ids("near_dedup")) == sorted(smallest.values())
+    # the mix: every document as often as the fitted plan says
+    plan = {r.doc_id: r.copies for r in mixing.mix(spark.read.parquet(str(tmp_path / "near_dedup"))).collect()}
+    seen = {}
+    for i in ids("source_mix"):
+        seen[i] = seen.get(i, 0) + 1
+    assert seen == {i: n for i, n in plan.items() if n}
+    # encoding: one row per row of the mix, and the text comes back
+    by_id = {r.doc_id: r.text for r in kept["source_mix"]}
+    assert sorted(ids("encode")) == sorted(ids("source_mix"))
+    assert all(r.decoded_sha256 == hashlib.sha256(by_id[r.doc_id].encode()).hexdigest() for r in kept["encode"])
