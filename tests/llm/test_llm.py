@@ -518,6 +518,33 @@ def test_losses_equal_brute_force(spark):
     assert cross_entropy.score(docs.limit(0), target.limit(0)).count() == 0
 
 
+def test_models_count_words_not_slots(spark, monkeypatch):
+    monkeypatch.setattr(cross_entropy, "LOT", 20_000)
+    # far more distinct words than 2^18, and a bigram at hand in which a slot would mix others
+    texts = [" ".join(f"w{i * 3000 + j}" for j in range(3000)) for i in range(100)] + ["the end"] * 3 + [None, ""]
+    docs = frame(spark, texts, 6)
+    got = {r.doc_id: r for r in cross_entropy.score(docs, docs.filter("doc_id < 10 or doc_id = 100")).collect()}
+    assert len(got) == len(texts)
+
+    def loss(chosen, text):
+        pairs, alone, backs = {}, {}, {}
+        for t in chosen:
+            for b, w in zip([None, *words(t)], words(t), strict=False):
+                for d, k in ((pairs, (b, w)), (alone, w), (backs, b)):
+                    d[k] = d.get(k, 0) + 1
+        size, total, out = len({w for t in texts for w in words(t)}), sum(alone.values()), []
+        for b, w in zip([None, *words(text)], words(text), strict=False):
+            p1 = (alone.get(w, 0) + cross_entropy.FLOOR) / (total + cross_entropy.FLOOR * size)
+            p = (pairs.get((b, w), 0) + cross_entropy.PRIOR * p1) / (backs.get(b, 0) + cross_entropy.PRIOR)
+            assert p <= 1
+            out.append(-np.log(p))
+        return np.mean(out)
+
+    near = texts[:10] + texts[100:101]
+    for i in (0, 9, 10, 99, 100, 102):
+        assert np.allclose([got[i].target_loss, got[i].background_loss], [loss(near, texts[i]), loss(texts, texts[i])], atol=1e-9)
+
+
 # --- pipeline ---
 
 

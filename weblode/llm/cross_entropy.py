@@ -1,10 +1,14 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model.
 
-Both models are matched: bigrams smoothed toward words by the same rule, over one shared vocabulary.  The vocabulary is a fixed
-number of word slots and bigram slots by hash, so it has no unknown words and its size does not depend on the corpus; the
-background counts every word of every document, the target every word of every target document.  Tasks add up their own
-slots and only sums are shuffled.  A document's score is the mean over its words of the target's loss less the
-background's: the lower, the more it is like the target.
+Both models are matched: bigrams smoothed toward words by the same rule, over one shared vocabulary, every word of both
+tables.  Words and bigrams are counted exactly, told apart by 64-bit hashes; the background counts every word of every document,
+the target every word of every target document.
+
+Documents are dealt into lots of bounded size.  A task sums a lot's n-grams and sends each shard of the hash range its
+part; a shard adds up what all lots sent and answers each lot with the totals of that lot's own n-grams, in the order sent.  Then
+each lot meets its answers and is scored, so no model is ever gathered in one place, and a common word costs a lot one
+entry.  A document's score is the mean over its words of the target's loss less the background's: the lower, the more it is
+like the target.
 """
 
 from __future__ import annotations
@@ -16,56 +20,209 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_parts, blocks, whole_text, words_of
-from .kn_quality import before, pair
+from .common import binary_parts, blocks, stored, whole_text, words_of
+from .kn_quality import START, before, pair
 
-WORD_BITS, PAIR_BITS = 18, 21
+#: The word model spreads its floor over 2^18 words, or over the vocabulary where that is larger.
+WORD_BITS = 18
 #: Weight of the word model in a bigram's probability, in pseudo-counts; of the uniform model in a word's.
 PRIOR, FLOOR = 8.0, 0.5
+#: Bytes of text in a lot, about.
+LOT = 8 << 20
+PAIRS, WORDS = 0, 1
+MESSAGE = "shard int, lot int, kind int, keys binary, n binary, back binary"
+ANSWER = "lot int, kind int, shard int, n binary, back binary, own_total double, target_total double, distinct long"
 
 
 def slots(text: pa.Array) -> Iterator[tuple]:
-    """Blocks of texts as slots: (first, end, document, word slot, slot of the word before, bigram slot)."""
+    """Blocks of texts as hashes: (first, end, document, word, the word before, bigram)."""
     data, offsets = binary_parts(text)
     for first, end, part, off in blocks(data, offsets):
         words, doc, _, _ = words_of(part, off, lower=True)
         back = before(words, doc, 1)
-        at = lambda x, bits: (x >> np.uint64(64 - bits)).astype(np.int64)
-        yield first, end, doc, at(words, WORD_BITS), at(back, WORD_BITS), at(pair(back, words), PAIR_BITS)
+        yield first, end, doc, words, back, pair(back, words)
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: bigram slots, then word slots, then the slots of words that stand before another."""
-    pairs, words, backs = np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)
+def packed(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that compression finds the empty high bytes."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and each one's sum of every count."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], *(np.add.reduceat(c[order], first) if len(first) else c for c in counts)
+
+
+class Counts:
+    """N-grams of texts: sorted bigrams with counts, and sorted words with counts as a word and as the word before."""
+
+    def __init__(self):
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pairs, self.words, self.size = [none], [(*none, none[1])], 0
+
+    def add(self, text: pa.Array) -> None:
+        for first, end, _, word, back, both in slots(text):
+            one = np.ones(len(word), np.int64)
+            self.pairs.append(summed(both, one))
+            no = np.zeros(len(word), np.int64)
+            self.words.append(summed(np.concatenate([word, back]), np.concatenate([one, no]), np.concatenate([no, one])))
+        self.size += text.nbytes
+
+    def total(self) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        return tuple(summed(*map(np.concatenate, zip(*x, strict=True))) for x in (self.pairs, self.words))
+
+    def messages(self, lot: int, shards: int) -> pa.RecordBatch:
+        rows = []
+        for kind, (keys, *counts) in enumerate(self.total()):
+            # shards are ranges of the upper half of the hash
+            of = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            cut = np.searchsorted(of, np.arange(shards + 1))
+            for shard in np.flatnonzero(np.diff(cut)).tolist():
+                at = slice(cut[shard], cut[shard + 1])
+                steps = np.diff(keys[at], prepend=np.uint64(0))
+                n = [packed(c[at].astype(np.uint32)) for c in counts]  # of one lot
+                rows.append((shard, lot, kind, packed(steps), n[0], n[1] if kind == WORDS else None))
+        types = [pa.int32()] * 3 + [pa.binary()] * 3
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in MESSAGE.split(", ")])
+
+
+def _ask(shards: int):
+    """Messages of each lot; rows come ordered by lot. Without a column ``lot`` nobody waits for an answer (lot -1)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lot = Counts(), -1
+        for batch in batches:
+            texts = batch.column("text")
+            if "lot" not in batch.schema.names:
+                for _, _, part in _runs(None, texts):
+                    held.add(part)
+                    if held.size >= LOT:
+                        yield held.messages(-1, shards)
+                        held = Counts()
+                continue
+            for now, _, part in _runs(batch.column("lot").to_numpy(), texts):
+                if now != lot:
+                    yield held.messages(lot, shards)
+                    held, lot = Counts(), now
+                held.add(part)
+        yield held.messages(lot, shards)
+
+    return task
+
+
+def _runs(lots: np.ndarray | None, texts: pa.Array) -> Iterator[tuple]:
+    """Rows of one lot that stand together, in parts of bounded size: (lot, first row, texts)."""
+    cuts = np.array([0, len(texts)]) if lots is None else np.append(np.flatnonzero(np.diff(lots, prepend=-2)), len(lots))
+    for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        for a in range(first, end, 256):
+            yield None if lots is None else int(lots[first]), a, texts.slice(a, min(a + 256, end) - a)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals of a shard for each lot that asked; rows come ordered by kind and shard."""
+    names, types = [f.split()[0] for f in ANSWER.split(", ")], [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.float64()] * 2 + [pa.int64()]
+
+    def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        shard, _, kind = rows[0][:3]
+        keys = [np.cumsum(unpacked(r[3], np.uint64), dtype=np.uint64) for r in rows]
+        own = np.repeat([r[1] >= 0 for r in rows], [len(k) for k in keys])
+        sums = []  # own and target counts, of words then of words before
+        every = np.concatenate(keys)
+        distinct, place = np.unique(every, return_inverse=True)
+        for column in (4, 5)[: kind + 1]:
+            n = np.concatenate([unpacked(r[column], np.uint32) for r in rows])
+            sums += [np.bincount(place[part], n[part], len(distinct)).astype(np.int64) for part in (own, ~own)]
+        ends = np.cumsum([0, *map(len, keys)])
+        out = [(-1, kind, shard, None, None, float(sums[0].sum()), float(sums[1].sum()), len(distinct) - int(kind == WORDS and START in distinct))]
+        for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True):
+            if r[1] >= 0:
+                at = place[a:b]
+                two = [packed(np.concatenate([sums[k][at], sums[k + 1][at]])) for k in range(0, len(sums), 2)]
+                out.append((r[1], kind, shard, two[0], two[1] if kind == WORDS else None, None, None, None))
+        for k in range(0, len(out), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 64], strict=True), types, strict=True)], names=names)
+
+    rows: list[tuple] = []
     for batch in batches:
-        for _, _, _, word, back, both in slots(batch.column("text")):
-            for total, seen in ((pairs, both), (words, word), (backs, back)):
-                total += np.bincount(seen, minlength=len(total))
-    every = np.concatenate([pairs, words, backs])
-    used = np.flatnonzero(every)
-    for lot in np.array_split(used, max(1, len(used) >> 16)):
-        yield pa.RecordBatch.from_arrays([pa.array(lot.astype(np.int32)), pa.array(every[lot])], names=["slot", "n"])
+        for row in zip(*(batch.column(f.split()[0]).to_pylist() for f in MESSAGE.split(", ")), strict=True):
+            if rows and (rows[0][0], rows[0][2]) != (row[0], row[2]):
+                yield from told(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield from told(rows)
 
 
 class Bigrams:
-    """Counts of one model; ``loss`` is the negative natural log of each word's probability."""
+    """Totals of one model for the n-grams of a lot; ``loss`` is the negative natural log of each word's probability."""
 
-    def __init__(self, counts: np.ndarray):
-        cut = np.cumsum([1 << PAIR_BITS, 1 << WORD_BITS])
-        self.pairs, self.words, self.backs = (x.astype(np.float32) for x in np.split(counts, cut))
-        self.total = float(counts[cut[0] : cut[1]].sum())
+    def __init__(self, pairs: np.ndarray, words: np.ndarray, backs: np.ndarray, total: float, size: int):
+        self.pairs, self.words, self.backs, self.total, self.size = pairs, words, backs, total, size
 
     def loss(self, word: np.ndarray, back: np.ndarray, both: np.ndarray) -> np.ndarray:
-        alone = (self.words[word].astype(np.float64) + FLOOR) / (self.total + FLOOR * (1 << WORD_BITS))
+        """Of places in the lot's sorted words, words and bigrams."""
+        alone = (self.words[word] + FLOOR) / (self.total + FLOOR * self.size)
         return -np.log((self.pairs[both] + PRIOR * alone) / (self.backs[back] + PRIOR))
 
 
-def count(texts: DataFrame) -> Bigrams:
-    """Fit on all rows of a table (column ``text``); what reaches the driver has at most 2^21 + 2^19 rows."""
-    sums = texts.mapInArrow(_add_up, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((1 << PAIR_BITS) + (2 << WORD_BITS), np.int64)
-    counts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-    return Bigrams(counts)
+def _score(keep: list[str], totals: tuple[float, float], size: int):
+    def told(lot: pa.Table, answers: list[tuple]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        texts = lot.column("text").combine_chunks()
+        for _, _, part in _runs(None, texts):
+            counts.add(part)
+        (pairs, _), (words, _, _) = counts.total()
+        found = []
+        for kind, column, wanted in ((PAIRS, 2, pairs), (WORDS, 2, words), (WORDS, 3, words)):
+            halves = [unpacked(a[column], np.int64).reshape(2, -1) for a in sorted(answers, key=lambda a: a[1]) if a[0] == kind]
+            found.append(np.concatenate(halves, 1) if halves else np.zeros((2, 0), np.int64))
+            if found[-1].shape[1] != len(wanted):
+                raise RuntimeError("a lot's n-grams differ from those it asked for")
+        models = [Bigrams(*(x[k] for x in found), totals[k], size) for k in (1, 0)]
+        for a in range(0, len(texts), 256):
+            part = texts.slice(a, 256)
+            n, losses = np.zeros(len(part), np.int64), np.zeros((2, len(part)))
+            for first, end, doc, word, back, both in slots(part):
+                n[first:end] = np.bincount(doc, minlength=end - first)
+                at = np.searchsorted(words, word), np.searchsorted(words, back), np.searchsorted(pairs, both)
+                for k, model in enumerate(models):
+                    losses[k, first:end] = np.bincount(doc, model.loss(*at), end - first)
+            mean = losses / np.maximum(n, 1)
+            columns = [pa.array(n), *(pa.array(x, mask=n == 0) for x in (*mean, mean[0] - mean[1]))]
+            rows = lot.slice(a, len(part)).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(f"k{i}").combine_chunks() for i in range(len(keep))), *columns],
+                names=[*keep, "words", "target_loss", "background_loss", "score"],
+            )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, answers, rows = None, [], []
+        for batch in batches:
+            lots = batch.column("lot").to_numpy()
+            cuts = np.append(np.flatnonzero(np.diff(lots, prepend=-2)), len(lots)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if lot is not None and lots[a] != lot:
+                    if rows:
+                        yield from told(pa.Table.from_batches(rows), answers)
+                    answers, rows = [], []
+                lot, part = lots[a], batch.slice(a, b - a)
+                asked = part.column("kind").is_valid().to_numpy(zero_copy_only=False)
+                answers += list(zip(*(part.filter(pa.array(asked)).column(c).to_pylist() for c in ("kind", "shard", "n", "back")), strict=True))
+                if not asked.all():
+                    rows.append(part.filter(pa.array(~asked)))
+        if rows:
+            yield from told(pa.Table.from_batches(rows), answers)
+
+    return task
 
 
 def score(docs: DataFrame, target: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -75,23 +232,20 @@ def score(docs: DataFrame, target: DataFrame, *, keep: tuple[str, ...] = ("doc_i
     NULL losses and score.  An empty target predicts every word alike.  Repeated rows count each and score alike.
     """
     spark = docs.sparkSession
-    rows = docs.select(*keep, whole_text().alias("text"))
-    models = spark.sparkContext.broadcast((count(target.select(whole_text().alias("text"))), count(rows.select("text"))))
-    kinds = dict(rows.dtypes)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, losses = np.zeros(len(batch), np.int64), np.zeros((2, len(batch)))
-            for first, end, doc, word, back, both in slots(batch.column("text")):
-                words[first:end] = np.bincount(doc, minlength=end - first)
-                for k, model in enumerate(models.value):
-                    losses[k, first:end] = np.bincount(doc, model.loss(word, back, both), end - first)
-            mean = losses / np.maximum(words, 1)
-            columns = [pa.array(words), *(pa.array(x, mask=words == 0) for x in (*mean, mean[0] - mean[1]))]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), *columns],
-                names=[*keep, "words", "target_loss", "background_loss", "score"],
-            )
-
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = dict(docs.dtypes)
+    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*named, whole_text().alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lots = max(n, -(-size // LOT))
+    # equal texts spread by what else the row holds
+    lot = F.pmod(F.xxhash64(*(F.col(f"k{i}").cast("string") for i in range(len(keep))), "text"), F.lit(lots)).cast("int")
+    rows = rows.withColumn("lot", lot)
+    dealt = rows.repartitionById(n, F.pmod("lot", F.lit(n))).sortWithinPartitions("lot").select("text", "lot")
+    asked = dealt.mapInArrow(_ask(lots), MESSAGE).unionByName(target.select(whole_text().alias("text")).mapInArrow(_ask(lots), MESSAGE))
+    answers = stored(asked.repartitionById(n, F.pmod("shard", F.lit(n))).sortWithinPartitions("kind", "shard").mapInArrow(_answer, ANSWER), "cross-entropy-answers")
+    sums = answers.filter("lot = -1 and kind = 1").agg(F.sum("own_total"), F.sum("target_total"), F.sum("distinct")).first()
+    vocabulary = max(1 << WORD_BITS, sums[2] or 0)
+    met = rows.unionByName(answers.filter("lot >= 0").select("lot", "kind", "shard", "n", "back"), allowMissingColumns=True)
     result = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "words long, target_loss double, background_loss double, score double"])
-    return rows.mapInArrow(task, result)
+    return met.repartitionById(n, F.pmod("lot", F.lit(n))).sortWithinPartitions("lot").mapInArrow(_score(list(keep), (sums[0] or 0.0, sums[1] or 0.0), vocabulary), result)
