@@ -240,6 +240,17 @@ def test_quality_keeps_prose_and_drops_noise(spark):
     assert kn_quality.classify(frame(spark, []), labels).count() == 0
 
 
+def test_every_language_trains(spark):
+    docs = [(i, f"common w{i % 9}", "en") for i in range(3000)] + [(3000 + i, f"rare v{i % 9}", "xx") for i in range(20)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    texts = [r.text for r in kn_quality.trusted_sample(docs, labels, 60, 1000).collect()]
+    assert len(texts) == 60
+    rare = kn_quality.trusted(labels, 0).filter("doc_id >= 3000").count()
+    assert rare > 2 and sum(t.startswith("rare") for t in texts) == rare
+    assert kn_quality.fit.__kwdefaults__["max_train_words"] >= 2_000_000 and kn_quality.fit.__kwdefaults__["max_train_docs"] >= 4000
+
+
 # --- 5: suffix dedup ---
 
 
