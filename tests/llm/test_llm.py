@@ -251,6 +251,18 @@ def test_every_language_trains(spark):
     assert kn_quality.fit.__kwdefaults__["max_train_words"] >= 2_000_000 and kn_quality.fit.__kwdefaults__["max_train_docs"] >= 4000
 
 
+def test_long_documents_do_not_end_training(spark):
+    docs = [(i, prose(i, 500 if i < 100 else 20)) for i in range(200)] + [(300 + i, "  ") for i in range(50)]
+    docs = spark.createDataFrame([(*d, "en") for d in docs], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    # half of the documents are longer than the whole bound: all that fit are taken
+    size = lambda most, few=1000: sorted(len(r.text.split()) for r in kn_quality.trusted_sample(docs, labels, few, most).collect())
+    assert size(400) == [20] * 20
+    assert size(10) == [20] and size(400, 5).count(0) == 0
+    rows = kn_quality.classify(docs.filter("doc_id < 100"), labels, max_train_words=10).collect()
+    assert all(r.perplexity is not None for r in rows)
+
+
 # --- 5: suffix dedup ---
 
 
