@@ -325,6 +325,23 @@ def test_sift_over_any_batches():
         assert sorted((g, c, k) for g, c, _, k in out if k) == sorted((g, c, 1 if n == 1 else 2) for (g, c), n in count.items() if kinds(g) > 1)
 
 
+def test_a_window_of_many_texts_costs_a_task_one_row(spark, monkeypatch):
+    shared = prose(1, 80)[:230]
+    texts = [prose(1000 + i, 20) + shared + prose(3000 + i, 20) for i in range(400)]
+    want = dict(enumerate(brute_repeats(texts, 200)))
+    sizes = []
+    cut = suffix_dedup._contexts(200)
+    wanted = [[{"gram": 1, "low": 0, "ahead": 60, "windows": len(t) - 199, "kind": 1, "lots": 50}] for t in texts]
+    batch = pa.RecordBatch.from_pydict({"text_id": list(range(400)), "body": [t.encode() for t in texts], "wanted": wanted})
+    for out in cut(iter([batch])):
+        keys = list(zip(out["gram"].to_pylist(), out["lot"].to_pylist(), strict=True))
+        sizes += np.unique(np.array(keys, np.int64).reshape(-1, 2), axis=0, return_counts=True)[1].tolist()
+    assert max(sizes) <= 2
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 5000)
+    rows = suffix_dedup.remove_repeats(frame(spark, texts, 4), contexts=16).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+
+
 def test_colliding_hashes_are_verified(monkeypatch):
     pieces = [b"abcd" * 3, b"abce" * 3, b"abcd" * 3]
     monkeypatch.setattr(suffix_dedup.Suffixes, "common", lambda self, a, b: np.full(len(a), self.length))

@@ -6,7 +6,8 @@ k-grams.  Equal windows have equal anchors at the same place, and neighbouring w
 run of windows (its context, under 2 * length bytes).
 
 Anchors are shuffled by the hash of their k-gram.  A context met twice in whole repeats all its windows.  What is left, contexts whose
-k-gram repeats but whose whole does not (the ends of repeats), is sorted by suffix: a merge sort compares two suffixes by the
+k-gram repeats but whose whole does not (the ends of repeats), is met by window where a k-gram has very many (128-bit digests of the
+bytes, repeats within a task told at once, so a passage of any number of texts costs each task one row), else sorted by suffix: a merge sort compares two suffixes by the
 longest common extension that binary search finds on polynomial prefix hashes, and equal neighbours are verified byte by byte.
 """
 
@@ -24,8 +25,10 @@ from .common import binary_parts, blocks, byte_codes, mix, powers, prefix_hash,
 
 GRAM = 50
 CHUNK = 1 << 20
-#: Contexts of a k-gram that one task sorts; more are dealt out by the hash of each window.
+#: Contexts of a k-gram that one task sorts; with more, each window is dealt out by its digest, once per block of a task.
 CONTEXTS = 4096
+#: Windows of a block.
+BLOCK = 200_000
 ANCHOR = "gram long, context long, text_id long, low long, ahead int, windows int"
 
 
@@ -166,10 +169,40 @@ def _rows(cols, at: np.ndarray, kind: int) -> pa.RecordBatch:
 
 
 def _contexts(length: int):
-    """Cut the contexts of a text out of it, once for each lot of windows."""
+    """Cut the contexts of a text out of it (lot 0); of a k-gram with too many, each different window of a block once (no piece;
+    gram and lot are its digest) and, as runs of ``ahead`` windows dealt anywhere (kind 3), the windows that repeat in the block."""
+
+    def windows(block: list[tuple]) -> list[tuple]:
+        first: dict[bytes, int] = {}
+        again = np.zeros(len(block), bool)
+        for i, (digest, _, _) in enumerate(block):
+            j = first.setdefault(digest, i)
+            if j != i:
+                again[i] = again[j] = True
+        out = []
+        for digest, i in first.items():
+            gram, lot = np.frombuffer(digest, np.int64).tolist()
+            out.append((gram, lot | 1, block[i][1], block[i][2], 1, 1, None, None))
+        start = count = 0
+        for i in np.flatnonzero(again).tolist():
+            if count and block[i][1:] == (block[start][1], block[start][2] + count):
+                count += 1
+                continue
+            if count:
+                out.append((hash(block[start][1:]), 0, *block[start][1:], count, 3, None, None))
+            start, count = i, 1
+        if count:
+            out.append((hash(block[start][1:]), 0, *block[start][1:], count, 3, None, None))
+        return out
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        columns = list(zip(*out, strict=True)) or [[]] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "lot", "text_id", "low", "ahead", "kind", "at", "piece"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        block: list[tuple] = []
         for batch in batches:
             out = []
             for text_id, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("text_id", "body", "wanted")), strict=True):
@@ -178,16 +211,15 @@ def _contexts(length: int):
                 done.add(text_id)
                 for w in wanted:
                     piece = text[w["low"] : w["low"] + w["windows"] - 1 + length]
-                    lots = np.zeros(w["windows"], np.int64)
-                    if w["lots"] > 1:
-                        prefix = prefix_hash(byte_codes(np.frombuffer(piece, np.uint8)))
-                        at = np.arange(w["windows"])
-                        lots = (mix((prefix[at + length] - prefix[at]) * powers(len(prefix))[1][at]) % np.uint64(w["lots"])).astype(np.int64)
-                    for lot in np.unique(lots).tolist():
-                        out.append((w["gram"], lot, text_id, w["low"], w["ahead"], w["kind"], np.flatnonzero(lots == lot).astype("<i4").tobytes(), piece))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            columns = list(zip(*out, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "lot", "text_id", "low", "ahead", "kind", "at", "piece"])
+                    if w["lots"] == 1:
+                        out.append((w["gram"], 0, text_id, w["low"], w["ahead"], w["kind"], np.arange(w["windows"], dtype="<i4").tobytes(), piece))
+                        continue
+                    block += [(hashlib.blake2b(piece[a : a + length], digest_size=16).digest(), text_id, w["low"] + a) for a in range(w["windows"])]
+                    if len(block) >= BLOCK:
+                        yield rows(windows(block))
+                        block = []
+            yield rows(out)
+        yield rows(windows(block))
 
     return task
 
@@ -281,6 +313,13 @@ def repeated(pieces: list[bytes], ahead: list[int], windows: list[np.ndarray], g
 def _sorted_contexts(length: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        met: list[tuple] = []  # spans of windows
+        last = None  # key of the last window, its span until it is met again
+
+        def told() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*met, strict=True)) or [[]] * 3], names=["text_id", "low", "high"])
+            met.clear()
+            return batch
 
         def spans(lot: list[tuple]) -> pa.RecordBatch:
             keys = {k: i for i, k in enumerate(dict.fromkeys((r[0], r[1]) for r in lot))}
@@ -300,12 +339,25 @@ def _sorted_contexts(length: int):
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "lot", "text_id", "low", "ahead", "kind", "at", "piece")), strict=True):
+                if row[7] is None:
+                    span = (row[2], row[3], row[3] + row[4] - 1 + length)
+                    if row[5] == 3:
+                        met.append(span)
+                    elif last is not None and last[0] == row[:2]:
+                        met += [span] if last[1] is None else [last[1], span]
+                        last = row[:2], None
+                    else:
+                        last = row[:2], span
+                    if len(met) >= 10_000:
+                        yield told()
+                    continue
                 if len(rows) >= 2048 and rows[-1][:2] != row[:2]:
                     yield spans(rows)
                     rows = []
                 rows.append(row)
         if rows:
             yield spans(rows)
+        yield told()
 
     return task
 
