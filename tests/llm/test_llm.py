@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -160,6 +162,18 @@ def test_exact_state_goes_on(spark, tmp_path):
     assert exact_dedup.deduplicate(spark, empty).count() == 0
 
 
+def test_back_dated_files_join_a_kept_state(spark, tmp_path):
+    path, state = tmp_path / "docs", str(tmp_path / "state")
+    frame(spark, ["a", "b"]).write.parquet(str(path))
+    assert exact_dedup.deduplicate(spark, str(path), state=state).count() == 2
+    old = set(path.iterdir())
+    frame(spark, [(7, "a"), (8, "c")]).write.mode("append").parquet(str(path))
+    for file in set(path.iterdir()) - old:
+        os.utime(file, (time.time() - 30 * 86400,) * 2)
+    rows = exact_dedup.deduplicate(spark, str(path), state=state).collect()
+    assert sorted((r.row_id, r.keep_id, r.group_size) for r in rows) == [(0, 7, 2), (1, 1, 1), (7, 7, 2), (8, 8, 1)]
+
+
 # --- 4: Kneser-Ney ---
 
 

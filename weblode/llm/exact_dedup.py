@@ -49,7 +49,9 @@ def absorb(spark: SparkSession, path: str, state: str, *, digest=sha256_of, text
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # as a pattern, because a stream's plain path has to be a folder
-    source = session.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+    # files of any age are taken in, also old ones that arrive after newer ones
+    reader = session.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "36500d")
+    source = reader.parquet(pattern)
     keyed = _located(source, digest, text, row_id)
     counted = keyed.groupBy("digest").agg(
         F.max(F.struct("row_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("seen")
