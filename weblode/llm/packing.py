@@ -33,6 +33,8 @@ WINDOWS = 16
 FAN_IN = 16
 #: Bytes of ids in a batch of rows that a task returns.
 BATCH = 4 << 20
+#: Texts that are encoded together.
+TEXTS = 128
 #: Pre-tokens and chunks of text whose ids a worker remembers; longer ones are not remembered.
 KNOWN, KNOWN_CHARS = 1 << 20, 64
 
@@ -57,8 +59,12 @@ class _WordEncoder:
     """Ids of texts by a file of word-end BPE; each distinct chunk and pre-token is encoded once while it is remembered."""
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        # pre-tokens that are cut and in lower case already need neither the file's pattern nor its normalisation
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -68,17 +74,14 @@ class _WordEncoder:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
     def _encode_words(self, new: list[str]) -> dict[str, bytes]:
         """Ids of pre-tokens, all in one text: each ends with the only one of its ids that ends a word."""
-        ids = self._ids(" ".join(new))
-        ends = np.flatnonzero(self.last[ids]) + 1
+        ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
         if len(ends) != len(new):
             return self._encode_chunks(new)
-        starts = [0, *ends[:-1].tolist()]
-        return {w: ids[a:b].tobytes() for w, a, b in zip(new, starts, ends.tolist(), strict=True)}
+        raw = ids.tobytes()
+        return {w: raw[a:b] for w, a, b in zip(new, [0, *ends], ends)}
 
     def _encode_chunks(self, new: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
@@ -215,9 +218,9 @@ def _first_round(make: Callable[[], Encoder], size: int, windows: int):
         packer = _Packer(size, windows, rows.add)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for first in range(0, len(ids), 64):
-                own = ids[first : first + 64]
-                for doc_id, tokens in zip(own, encode(texts.slice(first, 64).to_pylist()), strict=True):
+            for first in range(0, len(ids), TEXTS):
+                own = ids[first : first + TEXTS]
+                for doc_id, tokens in zip(own, encode(texts.slice(first, TEXTS).to_pylist()), strict=True):
                     packer.add(doc_id, 0, tokens, len(tokens))
                 yield from rows.take(BATCH)
         for held in packer.held:
