@@ -1281,7 +1281,7 @@ def stream_discovery(spark, sf):
         )
 
     discovery.stream_discovery(stream, material, f"{folder}/table", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("site", "sig", "capture_id")
+    return discovery.coverage_table(spark, f"{folder}/table").read().select("site", "sig", "capture_id")
 
 
 @query("page_drift", """
@@ -1303,6 +1303,90 @@ def page_drift(spark, sf):
     return spark.read.parquet(folder).select("url", "dom_hash", (F.col("batch_id") == 1).alias("second"), "drifted")
 
 
+def _drained(spark, folder: str, parts: list[DataFrame], start: Callable[[DataFrame], object]) -> None:
+    """Write each part as files that arrive later, and run the stream after each, from its checkpoint."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(part.schema).parquet(f"{folder}/in")).awaitTermination()
+
+
+@query("stream_drift", """
+with b as (select user_id, ts, event_type || cast(event_id % 3 as varchar) as h,
+    case when ts < timestamp '2024-01-11' then 0 when ts < timestamp '2024-01-21' then 1 else 2 end as part from events),
+n as (select user_id, part, arg_max(h, (epoch_us(ts), -ascii(h[1]))) as h, max(ts) as ts from b group by 1, 2)
+select 'https://u' || x.user_id || '.net/' as url, x.part::bigint as batch_id, x.h as dom_hash,
+  coalesce(lag(x.h) over (partition by x.user_id order by x.part) <> x.h, false) as drifted from n x""")
+def stream_drift(spark, sf):
+    captures = inp.table(spark, sf, "events").select(
+        F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".net/")).alias("url"),
+        F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("dom_hash"),
+        F.col("ts").cast("timestamp").alias("captured_at"),
+    )
+    day = lambda d: F.lit(f"2024-01-{d}").cast("timestamp")
+    at = F.col("captured_at")
+    parts = [captures.filter(at < day(11)), captures.filter((at >= day(11)) & (at < day(21))), captures.filter(at >= day(21))]
+    folder = _scratch(spark, "drift-stream")
+    _drained(spark, folder, parts, lambda s: drift.stream_drift(s, f"{folder}/hashes", f"{folder}/state"))
+    return spark.read.parquet(f"{folder}/hashes").select("url", F.col("batch_id").cast("bigint").alias("batch_id"), "dom_hash", "drifted")
+
+
+@query("stream_heal_requests", """
+select 'self_heal' as kind, user_id % 60 as server_id, event_type as tool_name, count(distinct user_id % 60) as requests from events
+where (user_id % 60) in (select s_suppkey from supplier) and event_type in ('error', 'view') group by all""")
+def stream_heal_requests(spark, sf):
+    """Repeated failures give one request, and failures of long before, arriving last, give none."""
+    fails = inp.table(spark, sf, "events").select(
+        (F.col("user_id") % 60).alias("server_id"), F.col("event_type").alias("tool_name"),
+        F.lit("timeout").alias("error_class"), F.col("props").alias("detail"), F.col("ts").cast("timestamp").alias("observed_at"),
+    )
+    known = inp.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("server_id")).withColumn(
+        "name", F.explode(F.array(F.lit("error"), F.lit("view"), F.lit("purchase")))
+    )
+    middle = F.lit("2024-01-15").cast("timestamp")
+    now = fails.filter("tool_name != 'purchase'")
+    late = fails.filter("tool_name = 'purchase'").withColumn("observed_at", F.col("observed_at") - F.expr("interval 100 days"))
+    parts = [now.filter(F.col("observed_at") < middle), now.filter(F.col("observed_at") >= middle).unionByName(late)]
+    folder = _scratch(spark, "heal-stream")
+    _drained(spark, folder, parts, lambda s: failures.stream_failures(s, known, f"{folder}/out", f"{folder}/state", delay="40 days"))
+    return spark.read.parquet(f"{folder}/out").groupBy("kind", "server_id", "tool_name").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("append_registry", """
+select 'https://c' || c_custkey || '.shop' || (c_custkey % 7) || '.net/' as url, 1 + (c_custkey % 3) % 2 as version,
+  'shop' || (c_custkey % 7) || '.net' as site, case when c_acctbal < 0 then 'confidence' else 'sound' end as outcome, 1 as copies from customer""")
+def append_registry(spark, sf):
+    """Three batches, of which one is written twice."""
+    entries = inp.table(spark, sf, "customer").select(
+        F.concat(F.lit("https://c"), F.col("c_custkey").cast("string"), F.lit(".shop"), (F.col("c_custkey") % 7).cast("string"), F.lit(".net/")).alias("url"),
+        F.col("c_name").alias("title"), F.lit("auto_gen").alias("tier"),
+        F.when(F.col("c_acctbal") < 0, -1.0).otherwise(0.5).alias("confidence"), F.lit(0).alias("install_count"),
+        F.lit("active").alias("status"), (1 + F.col("c_custkey") % 3 % 2).cast("int").alias("version"), (F.col("c_custkey") % 3).alias("batch"),
+    )
+    folder = _scratch(spark, "registry")
+    for batch in (0, 1, 1, 2):
+        table = sinks.append_registry(entries.filter(F.col("batch") == batch).drop("batch"), f"{folder}/t", f"{folder}/refused", batch)
+    sound = table.read().select("url", "version", "site", F.lit("sound").alias("outcome"))
+    refused = spark.read.parquet(f"{folder}/refused").select(
+        "url", "version", urls.registrable_domain(urls.parts_of("url")["host"]).alias("site"), F.col("problem").alias("outcome")
+    )
+    return sound.unionByName(refused).groupBy("url", "version", "site", "outcome").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+
+
+@query("live_tools", """
+select s_suppkey as server_id, 'tool_' || n as name, 1 + s_suppkey % 3 as version from supplier, range(3) r(n) where n < 2 or s_suppkey % 3 = 0""")
+def live_tools(spark, sf):
+    """Versions are written one after another; the tools of each server's highest one are live."""
+    supplier = inp.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("server_id"))
+    folder = _scratch(spark, "versions")
+    for version in (1, 2, 3):
+        names = F.sequence(F.lit(0), F.lit(2 if version == 1 else 1))
+        tools = supplier.filter(F.col("server_id") % 3 >= version - 1).select(
+            "server_id", F.explode(names).alias("n"), F.lit(version).alias("version")
+        ).select("server_id", F.concat(F.lit("tool_"), F.col("n").cast("string")).alias("name"), "version")
+        sinks.write_versions(tools, folder)
+    return sinks.live_tools(spark.read.parquet(folder)).select("server_id", "name", F.col("version").cast("long").alias("version"))
+
+
 # literals such as 0.58 are decimals in DuckDB; Spark's confidences are doubles
 for _name in (
     "current_page_query", "detail_templates", "detail_templates_by_site", "query_templates",

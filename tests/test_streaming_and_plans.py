@@ -1,8 +1,12 @@
+from collections import Counter
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from weblode.operators.calls import with_templates
 from weblode.plans import pipelines
 from weblode.sources import sinks
+from weblode.sources.snapshots import Snapshot
 from weblode.streaming import discovery, drift, failures
 
 
@@ -21,10 +25,36 @@ def test_discovery_stream_is_idempotent(spark, tmp_path):
     stream().awaitTermination(120)
     spark.createDataFrame([("s", "GET /a", "c3", "p", 0), ("s", "GET /c", "c3", "p", 1)], schema).coalesce(1).write.mode("append").parquet(source)
     stream().awaitTermination(120)
-    rows = spark.read.parquet(table).select("sig", "capture_id", "batch_id").collect()
+    found = discovery.coverage_table(spark, table)
+    rows = found.read().select("sig", "capture_id", "batch_id").collect()
     assert sorted((r.sig, r.capture_id, r.batch_id) for r in rows) == [("GET /a", "c1", 0), ("GET /b", "c1", 0), ("GET /c", "c3", 1)]
-    discovery.discover_batch(material(first), 0, table)
-    assert spark.read.parquet(table).count() == 3
+    discovery.discover_batch(material(first), 0, table)  # the first batch once more
+    assert found.read().count() == 3 and found.read(1).count() == 2
+
+
+def test_snapshot_batches_cost_the_same_after_any_history(spark, tmp_path):
+    """Fifty batches of sixteen new keys each."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        table = Snapshot(spark, str(tmp_path / "t"), "key string, value long", ["key"], bits=1, piece_rows=40)
+        read = {}
+        for batch in range(50):
+            rows = spark.range(0, 16, 1, 1).select(F.concat(F.lit(f"k{batch}-"), F.col("id").cast("string")).alias("key"), F.col("id").alias("value"))
+            if batch % 4 == 3:
+                read[batch] = sum(p.rows for p in table.touched(rows.filter("value < 2"), table.pieces(batch)))
+            table.commit(rows, batch)
+        assert table.read().count() == 50 * 16
+        assert sum(p.rows for p in table.pieces()) == 50 * 16
+        # two keys meet a bounded part of the table, which goes on growing
+        assert max(n for b, n in read.items() if b > 30) <= 1.6 * max(n for b, n in read.items() if 10 < b < 25)
+        old = spark.createDataFrame([("k0-3", 3), ("new", 0)], "key string, value long")
+        assert {r.key for r in table.known(old, 50).collect()} >= {"k0-3"}
+        assert max(Counter((p.level, p.bits, p.slot) for p in table.pieces()).values()) < table.fan_in
+        before = sorted(map(tuple, table.read().collect()))
+        assert table.vacuum(keep=2) > 0 and table.batches() == [48, 49]
+        assert sorted(map(tuple, table.read().collect())) == before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_drift(spark, tmp_path):
@@ -37,6 +67,47 @@ def test_drift(spark, tmp_path):
     assert {r.url for r in drift.drift_jobs(hashes).collect()} == {"u"}
 
 
+def test_drift_stream_restarts_and_keeps_the_newest(spark, tmp_path):
+    schema = "url string, dom_hash string, captured_at timestamp"
+    at = lambda d: datetime(2024, 1, d)
+    source, hashes = str(tmp_path / "in"), str(tmp_path / "hashes")
+    batches = [
+        [("u", "h1", at(1)), ("u", "h0", at(1)), ("v", None, at(1)), ("w", "h1", None)],
+        [("u", "h2", at(5)), ("v", None, at(2)), ("w", "h1", at(1))],
+        [("u", "h0", at(3)), ("v", "h3", at(9))],  # a late capture of u
+        [("u", "h2", at(6))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        drift.stream_drift(stream, hashes, str(tmp_path / "state"), bits=1, fan_bits=1).awaitTermination(120)
+    got = {(r.batch_id, r.url, r.dom_hash, r.drifted) for r in spark.read.parquet(hashes).collect()}
+    assert got == {
+        (0, "u", "h0", False), (0, "v", None, False), (0, "w", "h1", False), (1, "u", "h2", True), (1, "v", None, False), (1, "w", "h1", False),
+        (2, "u", "h0", True), (2, "v", "h3", True), (3, "u", "h2", False),
+    }
+    latest = drift._newest(drift.latest_table(spark, hashes, bits=1, fan_bits=1).read())
+    assert {(r.url, r.dom_hash) for r in latest.collect()} == {("u", "h2"), ("v", "h3"), ("w", "h1")}
+
+
+def test_repeated_and_late_failures_give_one_heal_request(spark, tmp_path):
+    schema = "server_id string, tool_name string, error_class string, detail string, observed_at timestamp"
+    at = lambda h, m=0: datetime(2024, 1, 1 + h // 24, h % 24, m)
+    tools = spark.createDataFrame([("s", "t"), ("s", "u")], "server_id string, name string")
+    batches = [
+        [("s", "t", "timeout", "a", at(1)), ("s", "t", "timeout", "b", at(1, 5)), ("s", "x", "timeout", "c", at(1)), ("s", "t", "odd", "d", at(1))],
+        [("s", "t", "timeout", "e", at(1, 20)), ("s", "u", "timeout", "f", at(1, 30))],
+        [("s", "x", "timeout", "g", at(30))],  # only the watermark moves on
+        [("s", "t", "timeout", "h", at(31)), ("s", "u", "timeout", "late", at(2))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        failures.stream_failures(stream, tools, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    got = [(r.tool_name, r.failure.observed_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [("t", at(1)), ("t", at(31)), ("u", at(1, 30))] or sorted(got) == [("t", at(1, 5)), ("t", at(31)), ("u", at(1, 30))]
+
+
 def test_failures(spark):
     fails = spark.createDataFrame([("s", "t", "timeout", "d"), ("s", "x", "timeout", "d"), ("s", "t", "odd", "d")], "server_id string, tool_name string, error_class string, detail string").withColumn("observed_at", F.current_timestamp())
     tools = spark.createDataFrame([("s", "t"), ("s", "t")], "server_id string, name string")
@@ -77,8 +148,9 @@ def test_registry_tables(spark, tmp_path):
     rows = spark.createDataFrame([entry("https://a.com/", 0.5, 1), entry("https://a.com/", 7.0, 2)], schema)
     table, refused = str(tmp_path / "r"), str(tmp_path / "x")
     sinks.append_registry(rows, table, refused)
-    sinks.append_registry(rows, table, refused)
-    assert spark.read.parquet(table).count() == 2
+    sinks.append_registry(rows, table, refused, batch_id=0)
+    assert sinks.append_registry(rows, table, refused, batch_id=0).read().count() == 1
+    assert sinks.append_registry(rows, table, refused).read().count() == 2
     assert {r.problem for r in spark.read.parquet(refused).collect()} == {"confidence"}
     tools = spark.createDataFrame([("s", "a", 1), ("s", "b", 1), ("s", "a", 2)], "server_id string, name string, version int")
     sinks.write_versions(tools, str(tmp_path / "v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import fixed_values as fv
 from ..functions import text, urls
@@ -12,6 +13,7 @@ from ..functions.expr import cut
 from ..operators.pages import all_search_actions, canonical_href, headings_of, kinds_column, page_facts
 from ..operators.registry import current_versions, next_versions
 from ..schema import WHOLE, Limits
+from .snapshots import Snapshot
 
 
 def registry_problem() -> Column:
@@ -40,15 +42,28 @@ def split_registry(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def append_registry(entries: DataFrame, path: str, reject_path: str) -> None:
-    """Append one row per (url, version), partitioned by site; refused rows go to their own table.
+def registry_table(spark: SparkSession, path: str, schema: str | StructType, **options: int) -> Snapshot:
+    """The registry at ``path``, keyed by url; ``schema`` is that of its entries and their site."""
+    return Snapshot(spark, path, schema, ["url"], **options)
 
-    History is never rewritten, so a bad batch cannot damage earlier rows.
+
+def append_registry(
+    entries: DataFrame, path: str, reject_path: str, batch_id: int | None = None, **options: int
+) -> Snapshot:
+    """Append one row per (url, version) with its site; refused rows go to their own table.
+
+    History is never rewritten, so a bad batch cannot damage earlier rows.  A batch that is written again under its ``batch_id`` replaces
+    what it wrote, so a retry leaves one copy; without one the batch comes after all others.  The number of folders follows the number of
+    rows, not that of sites.
     """
     sound, refused = split_registry(entries)
     sited = sound.withColumn("site", urls.registrable_domain(urls.parts_of("url")["host"]))
-    sited.write.mode("append").partitionBy("site").parquet(path)
-    refused.write.mode("append").parquet(reject_path)
+    table = registry_table(entries.sparkSession, path, sited.schema, **options)
+    if batch_id is None:
+        batch_id = max(table.batches(), default=-1) + 1
+    table.commit(sited, batch_id)
+    refused.write.mode("overwrite").parquet(f"{reject_path}/batch_id={batch_id}")
+    return table
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -117,6 +132,7 @@ __all__ = [
     "next_versions",
     "payload_table",
     "read_table",
+    "registry_table",
     "split_registry",
     "write_versions",
 ]
