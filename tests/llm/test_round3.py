@@ -89,11 +89,11 @@ def test_cover_tree_covers_and_skips():
 
     for at in range(0, len(point), 7):
         assert all(np.linalg.norm(lifted[point[c]] - lifted[point[at]]) <= radius[at] + 1e-6 for c in under(at))
-    ids, everything = np.arange(900), np.ones(900, bool)
+    ids, everything = point, np.ones(len(point), bool)
     seen = 0
     for q in x[:40]:
         best = hard_negatives._Best(5, np.array([-(1 << 62)]), np.array([1 << 62]))
-        seen += hard_negatives.search_tree(tree, x, ids, everything, q, most, best)
+        seen += hard_negatives.search_tree(tree, x[point], ids, everything, q, most, best, True)
         score = x @ q
         want = sorted(((-int(s), int(i)) for i, s in enumerate(score)))[:5]
         assert best.found[0] == want
@@ -101,7 +101,7 @@ def test_cover_tree_covers_and_skips():
         assert low[0] <= score.min() and score.max() <= high[0]
     assert seen < 40 * 900 / 2  # most scores are never computed
     windowed = hard_negatives._Best(3, np.array([100, -50]), np.array([100000, 50]))
-    hard_negatives.search_tree(tree, x, ids, everything, x[7], most, windowed)
+    hard_negatives.search_tree(tree, x[point], ids, everything, x[7], most, windowed, True)
     score = x @ x[7]
     for own, (a, b) in zip(windowed.found, ((100, 100000), (-50, 50)), strict=True):
         assert own == sorted((-int(s), int(i)) for i, s in enumerate(score) if a <= s <= b)[:3]
