@@ -413,6 +413,16 @@ def listing_records(spark, sf):
     return records.listing_records(inp.product_pages(spark, sf))
 
 
+@query("card_records", """
+select cast(s_nationkey as varchar) as capture_id, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as pos, s_name as title,
+  case when s_suppkey % 3 = 0 then 'https://n' || s_nationkey || '.shopsite.net/list' else 'https://n' || s_nationkey || '.shopsite.net/s/' || s_suppkey end as url,
+  '$' || printf('%.2f', abs(s_acctbal)) as price, case when s_suppkey % 2 = 0 then '4.' || (s_suppkey % 10) || ' stars' else '' end as rating
+from supplier""")
+def card_records(spark, sf):
+    """A page per nation, with a card per supplier, some without a link and some with a rating."""
+    return records.card_records(inp.card_pages(spark, sf), "quote", guard=False).select("capture_id", "pos", "title", "url", "price", "rating")
+
+
 @query("metadata_records", f"""
 with {PAGE_PARTS}
 select capture_id, count(*) as n_links, min(case when pos = 0 then text end) as first_link from links group by 1""")

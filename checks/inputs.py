@@ -117,6 +117,23 @@ def product_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def card_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page per nation that lists its suppliers as cards."""
+    key, text = F.col("s_suppkey"), lambda c: F.col(c).cast("string")
+    link = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("<p><a class=more href='/s/"), text("s_suppkey"), F.lit("'>see <b>it</b></a>")))
+    rating = F.when(key % 2 == 0, F.concat(F.lit("4."), (key % 10).cast("string"), F.lit(" stars</p>"))).otherwise("")
+    card = F.concat(
+        F.lit("<div data-i=1 class='wide quote x'><h3>"), F.col("s_name"), F.lit("</h3>"), link, F.lit(" for $"),
+        F.format_string("%.2f", F.abs("s_acctbal")), F.lit("<br>"), rating, F.lit("</div><div class=quotes>no card $1</div>"),
+    )
+    of = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), card.alias("c")))).alias("cards"))
+    return read_pages(of.select(
+        text("s_nationkey").alias("page_id"),
+        F.concat(F.lit("https://n"), text("s_nationkey"), F.lit(".shopsite.net/list")).alias("url"),
+        F.concat(F.lit("<html><body><h1>All</h1>"), F.array_join("cards.c", "\n"), F.lit("</body></html>")).alias("html"),
+    ))
+
+
 # --- documents as plain pages -----------------------------------------------------------------------
 DOC_PAGES_SQL = """
 select doc_id as page_id, concat('https://docs.textsite.net/', source, '/', cast(doc_id as {str})) as url,

@@ -183,6 +183,33 @@ def test_records(pages):
     assert got == [("T", "https://a.com/q", "CAD 7")]
 
 
+def test_listed_links_equal_a_search_of_each_card():
+    import random
+    import re
+
+    rng = random.Random(3)
+    parts = ["$3", "£1,5", "CAD 7", " ", "\n", "4.5", "/5", "4 stars", "5", "x", "out of 5", " 3 out of 5", "9", ".", "<b>", "</b>", "<li>", "</li>", "<div>", "</div>", "<a href='/item/1'>", "</a>", "<script>$9</script>", "<br>", "</p>", "long words without any number "]
+    for _ in range(400):
+        doc = "".join(rng.choice(parts) for _ in range(rng.randrange(60)))
+        page = records._PageReader().read(doc)
+        raw = "".join(page.parts)
+        squeeze = lambda a, b: re.sub(r"\s+", " ", raw[a:b]).strip()  # noqa: B023, E731
+        for row, (at, card) in zip(records.listed_links(doc), page.links, strict=True):
+            body = "" if card is None else squeeze(*page.nodes[card][2:4])
+            first = lambda p: m[0] if (m := p.search(body)) else ""  # noqa: B023, E731
+            assert row["text"] == squeeze(*page.nodes[at][2:4])
+            assert (row["price"], row["rating"]) == (first(records._PRICE), first(records._RATING)), (doc, body)
+
+
+def test_nested_cards_are_read_in_one_pass():
+    import time
+
+    start = time.perf_counter()
+    for doc in ("<div>price $3 <a href='/item/1'>x" * 20_000, "<p>a <a href='/item/1'>x</a>" * 20_000, "<div>none <a href='/item/1'>x</a>" * 20_000):
+        assert len(records.listed_links(doc)) == 20_000
+    assert time.perf_counter() - start < 9
+
+
 def test_form_candidates_filter(pages):
     html = (
         "<form action='/newsletter' method=post><input name=mail></form>"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from html.parser import HTMLParser
 
@@ -34,101 +35,152 @@ _CARD = T.ArrayType(
 )
 
 
-class _CardReader(HTMLParser):
-    """Links of a page, each with the text of the nearest card around it."""
+class _PageReader(HTMLParser):
+    """The elements of a page as intervals: each has its place in document order, the place after its last descendant, and the
+    part of the page's text that it spans. One pass, whatever is nested in what."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.words: list[str] = []
-        self.open: list[tuple[str, int, dict | None]] = []
-        self.links: list[dict] = []
+        self.parts: list[str] = []
+        self.length = 0
+        #: tag, attributes, text start, text end, place after the last descendant; the index is the place.
+        self.nodes: list[list] = []
+        self.open: list[int] = []
+        self.places: dict[str, list[int]] = {}
         self.hidden = 0
+        self.cards: list[int] = []
+        #: Links and the nearest open card of each.
+        self.links: list[tuple[int, int | None]] = []
+        self.link: int | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _VOID:
-            return
         if tag in ("script", "style", "template"):
             self.hidden += 1
-        link = None
-        href = dict(attrs).get("href") if tag == "a" else None
-        if href:
-            link = {"href": href, "from": len(self.words), "to": None, "card": None}
-            card = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in _CARD_TAGS), None)
-            if card is not None:
-                self.open[card][2].setdefault("links", []).append(link)
-            self.links.append(link)
-        self.open.append((tag, len(self.words), {"link": link}))
+        given = dict(attrs)
+        at = len(self.nodes)
+        self.nodes.append([tag, given, self.length, None, None])
+        if tag == "a" and given.get("href"):
+            if self.link is not None and self.nodes[self.link][3] is None:
+                self.nodes[self.link][3:] = [self.length, at]  # a link ends where the next one begins
+            self.link = at
+            self.links.append((at, self.cards[-1] if self.cards else None))
+        if tag in _VOID:
+            self.nodes[at][3:] = [self.length, at + 1]
+            return
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(at)
+        if tag in _CARD_TAGS:
+            self.cards.append(at)
 
     def handle_endtag(self, tag: str) -> None:
-        depth = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if depth is None:
-            return
-        for name, start, notes in self.open[depth:]:
-            if name in ("script", "style", "template"):
+        if self.places.get(tag):
+            self._close(self.places[tag][-1])
+
+    def _close(self, depth: int) -> None:
+        for at in reversed(self.open[depth:]):
+            node = self.nodes[at]
+            if node[3] is None:
+                node[3:] = [self.length, len(self.nodes)]
+            self.places[node[0]].pop()
+            if node[0] in ("script", "style", "template"):
                 self.hidden -= 1
-            if notes["link"] is not None:
-                notes["link"]["to"] = len(self.words)
-            for link in notes.get("links", []):
-                link["card"] = (start, len(self.words))
+            if self.cards and self.cards[-1] == at:
+                self.cards.pop()
         del self.open[depth:]
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self.words.append(data)
-
-    def rows(self) -> list[dict]:
-        """Each link with its own text and what is found in its card; a card is read once for all its links."""
-        end = len(self.words)
-        for _, start, notes in self.open:
-            for link in notes.get("links", []):
-                link["card"] = (start, end)
-        cards = {link["card"] for link in self.links if link["card"]}
-        read = {card: _offer(_squeeze(self.words[slice(*card)])) for card in cards}
-        read[None] = ("", "")
-        return [
-            {
-                "pos": pos,
-                "href": link["href"],
-                "text": _squeeze(self.words[link["from"] : end if link["to"] is None else link["to"]]),
-                "price": read[link["card"]][0],
-                "rating": read[link["card"]][1],
-            }
-            for pos, link in enumerate(self.links)
-        ]
-
-
-def _squeeze(words: list[str]) -> str:
-    return re.sub(r"\s+", " ", "".join(words)).strip()
-
+            self.parts.append(data)
+            self.length += len(data)
 
+    def read(self, doc: str) -> _PageReader:
+        try:
+            self.feed(doc)
+            self.close()
+        except (AssertionError, ValueError):
+            pass  # the parser gives up on some broken declarations; what was read still counts
+        self._close(0)
+        return self
+
+
+class _Shown:
+    """The text of a page with white space squeezed, its spans, and the first price and rating within a span."""
+
+    def __init__(self, page: _PageReader):
+        raw = "".join(page.parts)
+        gaps = [(m.start(), m.end()) for m in re.finditer(r"\s+", raw)]
+        self.text = re.sub(r"\s+", " ", raw)
+        self.gap_starts = [a for a, _ in gaps]
+        self.gap_ends = [b for _, b in gaps]
+        lost, self.lost = 0, [0]
+        for a, b in gaps:
+            lost += b - a - 1
+            self.lost.append(lost)
+        self.found = [[(m.start(), m.end()) for m in p.finditer(self.text)] for p in (_PRICE, _RATING)]
+        self.found_ends = [[b for _, b in own] for own in self.found]
+
+    def at(self, place: int) -> int:
+        """Place in the squeezed text of a place in the raw one."""
+        before = bisect.bisect_left(self.gap_starts, place)
+        if before and place < self.gap_ends[before - 1]:  # inside a gap, of which one blank stays
+            return self.gap_starts[before - 1] - self.lost[before - 1] + 1
+        return place - self.lost[before]
+
+    def span(self, start: int, end: int, most: int | None = None) -> str:
+        """Text between two places of the raw text; at most its first ``most`` characters."""
+        a, b = self.at(start), self.at(end)
+        a += a < b and self.text[a] == " "
+        return (self.text[a:b] if most is None else self.text[a : min(b, a + most)]).strip()
+
+    def first(self, kind: int, start: int, end: int) -> str:
+        """First match of a pattern within a span, as if there were nothing around it.
+
+        Matches of the whole text serve but at the span's ends, where a piece of bounded length is searched anew.
+        """
+        a, b = self.at(start), self.at(end)
+        found, pattern, text = self.found[kind], (_PRICE, _RATING)[kind], self.text
+        i = bisect.bisect_right(self.found_ends[kind], a)
+        edge = min(b, a + NEAR if i == len(found) or found[i][0] >= a else found[i][1] + NEAR)
+        head = pattern.search(text[a:edge])
+        if head and (head.end() < edge - a or edge == b):
+            return head[0]
+        while i < len(found) and found[i][0] < a:
+            i += 1
+        inside = pattern.match(text, found[i][0], b) if i < len(found) and found[i][0] < b else None
+        tail = pattern.search(text, b - NEAR, b) if b - NEAR > a else pattern.search(text[a:b])
+        starts = [(m.start() + (a if m is tail and b - NEAR <= a else 0), m[0]) for m in (inside, tail) if m]
+        return min(starts)[1] if starts else ""
+
+
+#: Characters beside an end of a span that are searched anew; a rating is shorter.
+NEAR = 32
 _PRICE = re.compile(fv.PRICE_TEXT, re.ASCII)
 _RATING = re.compile(fv.RATING_TEXT, re.ASCII)
 
 
-def _offer(card: str) -> tuple[str, str]:
-    """First price and first rating in the text of a card."""
-    return tuple(found[0] if (found := pattern.search(card)) else "" for pattern in (_PRICE, _RATING))
+def listed_links(doc: str) -> list[dict]:
+    """Links of a page, each with its text and the first price and rating that its nearest card shows."""
+    page = _PageReader().read(doc)
+    shown = _Shown(page)
+    cards: dict[int | None, tuple[str, str]] = {None: ("", "")}
+    rows = []
+    for pos, (at, card) in enumerate(page.links):
+        if card not in cards:
+            _, _, start, end, _ = page.nodes[card]
+            cards[card] = (shown.first(0, start, end), shown.first(1, start, end))
+        _, given, start, end, _ = page.nodes[at]
+        price, rating = cards[card]
+        rows.append({"pos": pos, "href": given["href"], "text": shown.span(start, end), "price": price, "rating": rating})
+    return rows
 
 
 @F.pandas_udf(_CARD)
 def read_cards(html: pd.Series) -> pd.Series:
     """Links with the price and rating that their nearest article, li or div shows.
 
-    What is returned grows with the page, not with links times cards.
+    What is returned, and the work, grows with the page, not with links times cards.
     """
-
-    def one(doc: str | None) -> list[dict]:
-        if not doc:
-            return []
-        reader = _CardReader()
-        try:
-            reader.feed(doc)
-            reader.close()
-        except (AssertionError, ValueError):
-            pass  # the parser gives up on some broken declarations; what was read still counts
-        return reader.rows()
-
-    return html.map(one)
+    return html.map(lambda doc: listed_links(doc) if doc else [])
 
 
 def _first_text(pattern: str) -> Column:
