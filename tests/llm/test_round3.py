@@ -10,9 +10,10 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weblode.llm import hard_negatives, packing, prefix_trie
+from weblode.llm import exact_dedup, hard_negatives, packing, prefix_trie
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -273,3 +274,19 @@ def test_packing_repeated_rows_and_none(spark):
     got = packing.pack(frame, make).collect()
     assert sum(p.length for p in got) == 7 * got[0].doc_tokens
     assert packing.pack(frame.limit(0), make).count() == 0
+
+
+# --- 3: state on disk ---
+
+
+def test_state_of_many_partitions_takes_little_disk(spark, tmp_path):
+    """Two hundred state partitions of few rows: disk follows the rows, not the partitions."""
+    path, state = str(tmp_path / "docs"), tmp_path / "state"
+    spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("text")).write.parquet(path)
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert exact_dedup.deduplicate(spark, path, state=str(state)).filter("kept").count() == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert exact_dedup.STREAM_SETTINGS["spark.sql.streaming.stateStore.rocksdb.allowFAllocate"] == "false"
+    assert sum(f.stat().st_blocks * 512 for f in state.rglob("*") if f.is_file()) < 60 << 20

@@ -19,6 +19,8 @@ STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # otherwise each partition's log takes 4 MB of disk before it holds anything
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -79,16 +81,14 @@ def deduplicate(spark: SparkSession, path: str, *, digest=sha256_of, text: str =
     groups = stored(absorb(spark, path, state, digest=digest, text=text, row_id=row_id), "exact-groups")
     rows = _located(spark.read.parquet(path), digest, text, row_id)
     members = rows.drop("body").join(groups, "digest")
-    hits = stored(
-        rows.join(groups.filter("seen > 1"), "digest").withColumn(
-            "first", F.struct("row_id", "file", "row").eqNullSafe(F.col("keep"))
-        ),
-        "exact-hits",
-    )
-    same = F.col("body") == F.col("keep_body")
+    # bytes are compared in full: each task sends one row per digest and body, however many copies it has, and no body is stored
+    hits = rows.join(groups.filter("seen > 1").select("digest", "keep"), "digest")
+    bodies = hits.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
+    split = stored(bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).filter("bodies > 1").select("digest"), "exact-split")
+    unlike = hits.join(split, "digest")
+    kept_bodies = unlike.filter(F.struct("row_id", "file", "row").eqNullSafe(F.col("keep"))).select("digest", F.col("body").alias("keep_body"))
     other = stored(
-        hits.join(hits.filter("first").select("digest", F.col("body").alias("keep_body")), "digest")
-        .filter(~same).select("digest", "row_id", "file", "row", "body"),
+        unlike.join(kept_bodies, "digest").filter(F.col("body") != F.col("keep_body")).select("digest", "row_id", "file", "row", "body"),
         "exact-other",
     )
     if not other.isEmpty():  # digests that met without equal bytes
