@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weblode.llm import exact_dedup, hard_negatives, packing, prefix_trie
+from weblode.llm import exact_dedup, hard_negatives, ngram_join, packing, prefix_trie
+from weblode.llm.common import words_of
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -290,3 +291,22 @@ def test_state_of_many_partitions_takes_little_disk(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert exact_dedup.STREAM_SETTINGS["spark.sql.streaming.stateStore.rocksdb.allowFAllocate"] == "false"
     assert sum(f.stat().st_blocks * 512 for f in state.rglob("*") if f.is_file()) < 60 << 20
+
+
+# --- word hashes ---
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_linear_relations_do_not_make_words_equal(spark):
+    """A Thue-Morse word and its complement collide for every polynomial hash modulo a power of two."""
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = [a, b, a + " x y z w", b + " x y z w", a[:64], b[:64], a[:61], b[:61]]
+    raw = " ".join(texts).encode()
+    hashes = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    assert len(set(hashes.tolist())) == 2 + 4 + 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs, slot_bits=10).collect()} == {i: i for i in range(8)}

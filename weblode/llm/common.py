@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -128,6 +129,31 @@ def blocks(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterat
         first = end
 
 
+#: Words of up to so many bytes are hashed in blocks, eight bytes at a time.
+LANES = 8
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end]: each eight bytes are mixed in turn, so no linear relation between words lasts."""
+    size = (end - start).astype(np.uint64)
+    out = mix(size * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    step = np.arange(8)
+    own = np.flatnonzero(size <= 8 * LANES)
+    for lane in range(LANES):
+        own = own[size[own] > 8 * lane]
+        if not len(own):
+            break
+        at = start[own] + 8 * lane
+        eight = padded[at[:, None] + step]
+        eight[step >= (end[own] - at)[:, None]] = 0
+        out[own] = mix((out[own] ^ eight.view("<u8").ravel()) * np.uint64(0xD1342543DE82EF95) + np.uint64(lane))
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        raw = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(raw, "little")
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a block of texts: hash, text number, start and end byte. A text's end also ends a word."""
     if lower:
@@ -140,5 +166,4 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tupl
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = mix(span_hash(prefix_hash(byte_codes(data)), start, end) + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(offsets, start, "right") - 1, start, end
+    return word_hashes(data, start, end), np.searchsorted(offsets, start, "right") - 1, start, end

@@ -8,8 +8,8 @@ pairs of frequent tokens of a part are the index keys.  Candidates are verified
 
 Equal sets are one node.  A key with many nodes is not expanded into all pairs: nodes are compared with the first node of the key
 and the few before them, in an order of its own for each key, and only where a key then still spans several components are
-nodes of different components compared, block by block, until they are connected.  That loses no link between components, so
-the components are exact.
+pairs of nodes of different components compared, block by block, by counts per range of hashes, then by signatures, then by
+their sets.  That loses no link between components, so the components are exact.
 """
 
 from __future__ import annotations
@@ -380,49 +380,16 @@ def _candidates(i: int, root: np.ndarray, sides: np.ndarray, size: np.ndarray, c
 
 
 def _may_cross(percent: int):
-    """Rows of a unit joined, as (representative, node), where rows of different components may be similar."""
+    """Pairs of nodes of a unit that are not connected yet and may be similar."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches, "node", "component", "side", "n", "ranges"):
             nodes, root, sides, size = (np.array(c, np.int64) for c in unit[3:7])
             counts = np.frombuffer(b"".join(unit[7]), np.int32).reshape(-1, RANGES)
-            family = np.arange(len(nodes))
-            hit = np.zeros(len(nodes), bool)
             for i in range(1, len(nodes)):
-                at = _candidates(i, root, sides, size, counts, percent)
-                if len(at):
-                    hit[at] = hit[i] = True
-                    family[np.isin(family, np.append(family[at], family[i]))] = i
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[family[hit]]), pa.array(nodes[hit])], names=["a", "b"])
-
-    return task
-
-
-def _cross(percent: int):
-    """Links between rows of different components, as few as connect them.
-
-    Each row is compared with all others of its unit that are not in its component by then; most comparisons end at
-    the counts per range of hashes, which are made for all rows at once.
-    """
-
-    def links(nodes: np.ndarray, root: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        size = np.array([len(s) for s in sets])
-        counts = np.stack([ranges(s) for s in sets])
-        for i in range(1, len(nodes)):
-            for j in _candidates(i, root, sides, size, counts, percent).tolist():
-                if root[j] == root[i]:
-                    continue
-                x, y = sets[i], sets[j]
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    root[root == root[j]] = root[i]
-                    yield int(nodes[j]), int(nodes[i])
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in _units(batches, "node", "component", "side", "shingles"):
-            nodes, root, sides = (np.array(c, np.int64) for c in unit[3:6])
-            found = list(links(nodes, root, sides, [np.frombuffer(x, np.uint64) for x in unit[6]]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                near = nodes[_candidates(i, root, sides, size, counts, percent)]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, nodes[i])), pa.array(np.maximum(near, nodes[i]))], names=["a", "b"])
 
     return task
 
@@ -430,10 +397,9 @@ def _cross(percent: int):
 def cross_links(open_rows: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
     """Links between components of the same key, from rows (key, node, n, component).
 
-    Counts per range of hashes tell which rows of a key may be similar; nodes connected that way are a family.  Each
-    family's sets are sent once and compared across its components.  Rows of a key, and then of a family, are dealt into blocks
-    of about ``block`` shingles, and each pair of blocks is one unit of work, so no task holds more than two blocks however
-    many nodes have a key.
+    Counts per range of hashes tell which pairs of a key may be similar; those go on to the finer signatures and the sets.  Rows of a
+    key are dealt into blocks of about ``block`` shingles, and each pair of blocks is one unit of work, so no task holds more
+    than two blocks however many nodes have a key.
     """
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -445,14 +411,9 @@ def cross_links(open_rows: DataFrame, nodes: DataFrame, rows: DataFrame, width:
             .select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "component", "side", "n")
         )
 
-    together = lambda df: df.repartition(*UNIT).sortWithinPartitions(*UNIT)
-    counted = together(dealt(open_rows).join(nodes.select("node", "ranges"), "node"))
-    close = counted.select(*UNIT, "node", "component", "side", "n", "ranges").mapInArrow(_may_cross(percent), "a long, b long")
-    families = components(close).select("node", F.col("component").alias("key"))
-    members = stored(open_rows.select("node", "n", "component").distinct().join(families, "node"), "join-families")
-    sets = sets_of(members.select("node").join(nodes.select("node", "doc_id"), "node"), rows, width)
-    met = together(dealt(members).join(sets, "node"))
-    return met.select(*UNIT, "node", "component", "side", "shingles").mapInArrow(_cross(percent), "a long, b long")
+    counted = dealt(open_rows).join(nodes.select("node", "ranges"), "node").repartition(*UNIT).sortWithinPartitions(*UNIT)
+    pairs = counted.select(*UNIT, "node", "component", "side", "n", "ranges").mapInArrow(_may_cross(percent), "a long, b long").distinct()
+    return links_of(stored(pairs, "join-cross"), nodes, rows, width, percent)
 
 
 def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_bits: int = SLOT_BITS, frequent: float = FREQUENT, block: int = BLOCK, row_id: str = "doc_id", text: str = "text") -> DataFrame:
