@@ -7,7 +7,7 @@ their prefixes.  Frequent tokens are dealt into b parts by hash, so if no shared
 pairs of frequent tokens of a part are the index keys.  Candidates are verified on the full sets.
 
 Equal sets are one node.  A key with many nodes is not expanded into all pairs: nodes are compared with the first node of the key
-and the few before them, in an order of its own for each key, and only where a key then still spans several components are
+and the few before them, in one of a few orders, and only where a key then still spans several components are
 pairs of nodes of different components compared, block by block, by counts per range of hashes, then by signatures, then by
 their sets.  That loses no link between components, so the components are exact.
 """
@@ -28,6 +28,8 @@ from .components import components
 SLOT_BITS = 22
 INVOLVED_BITS = 24
 NEIGHBOURS = 1
+#: Orders of a key's nodes.
+ORDERS = 4
 RANGES = 64
 #: Shingles of a block of sets that are compared with one another in one task.
 BLOCK = 1 << 20
@@ -438,8 +440,8 @@ def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_b
     named = rows.filter("doc_id is not null").select("text")
     keyed = named.mapInArrow(_keys(width, percent, classes, slot_bits), "key long, node long, n int")
     shared = stored(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, n int"), "join-keys")
-    # nodes of a key stand in another order for each key, so that a node meets many others over its keys
-    shuffled = shared.withColumn("order", F.xxhash64("key", "node")).repartition("key").sortWithinPartitions("key", "order")
+    # nodes stand in one of a few orders, by the key, so that a node meets several others but the same ones over many of its keys
+    shuffled = shared.withColumn("order", F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))).repartition("key").sortWithinPartitions("key", "order")
     pairs = stored(
         shuffled.select("key", "node", "n").mapInArrow(_near_pairs(percent), "a long, b long").distinct(),
         "join-pairs",
