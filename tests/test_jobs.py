@@ -28,7 +28,7 @@ def test_greedy_matches_brute_force_both_ways(spark):
     df = spark.createDataFrame(rows, "k string, ord long, name string, sig string")
     want = {(k, o) for k in "xypqr" for o in greedy([r[1:] for r in rows if r[0] == k])}
     assert {tuple(r) for r in dedupe.greedy_pairs(df, ["k"]).collect()} == want
-    assert {tuple(r) for r in dedupe.greedy_pairs(df, ["k"], fold_limit=4).collect()} == want
+    assert {tuple(r) for r in dedupe.greedy_pairs(df, ["k"], split_over=4).collect()} == want
     assert {("x", 1), ("x", 3), ("y", 1), ("y", 3)} <= want
 
 

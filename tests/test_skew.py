@@ -47,7 +47,7 @@ def test_hot_origin_clusters(spark):
     assert len(got) == 201
 
 
-def test_hot_capture_is_matched_in_rounds(spark):
+def test_hot_capture_is_matched_by_components(spark):
     df = spark.range(3000).select(
         F.lit("hot").alias("k"), F.col("id").alias("ord"),
         F.concat(F.lit("n"), (F.col("id") * 31 % 211).cast("string")).alias("name"),
@@ -57,7 +57,31 @@ def test_hot_capture_is_matched_in_rounds(spark):
     for r in df.orderBy("ord").collect():
         if r.name not in names and r.sig not in sigs:
             names.add(r.name), sigs.add(r.sig), want.add(r.ord)
-    assert {r.ord for r in dedupe.greedy_pairs(df, ["k"], fold_limit=100).collect()} == want
+    assert {r.ord for r in dedupe.greedy_pairs(df, ["k"], split_over=100).collect()} == want
+
+
+def test_long_chain_is_matched_in_few_rounds(spark):
+    """A hundred thousand pairs of one capture, each sharing its name or signature with the next, besides small chains."""
+    n = 100_000
+    chain = spark.range(n).select(
+        F.lit("hot").alias("k"), F.col("id").alias("ord"), F.concat(F.lit("n"), F.expr("(id + 1) div 2").cast("string")).alias("name"),
+        F.concat(F.lit("s"), F.expr("id div 2").cast("string")).alias("sig"),
+    )
+    pieces = spark.range(3000).select(
+        F.lit("hot").alias("k"), (F.col("id") + n).alias("ord"), F.concat(F.lit("m"), F.expr("id div 3").cast("string")).alias("name"),
+        F.concat(F.lit("t"), F.expr("(id + 1) div 3").cast("string")).alias("sig"),
+    )
+    names, sigs, want = set(), set(), set()
+    df = chain.unionByName(pieces)
+    for r in df.orderBy("ord").collect():
+        if r.name not in names and r.sig not in sigs:
+            names.add(r.name), sigs.add(r.sig), want.add(r.ord)
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {r.ord for r in dedupe.greedy_pairs(df, ["k"]).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want
+    assert jobs < 150  # a round takes a few; rounds follow the logarithm of the chain
 
 
 def test_hot_key_is_numbered_by_parts(spark):

@@ -2,20 +2,22 @@
 
 A candidate is dropped when its name is taken, when it is barred, or when its execution
 signature is taken; dropped candidates reserve nothing.  Walked in order this is a greedy
-matching of names to signatures.  Small captures are walked in place; a capture with more
-distinct (name, signature) pairs than ``fold_limit`` is matched in parallel rounds, each of
-which keeps every pair that comes first both for its name and for its signature.  Both ways
-give the same rows.
+matching of names to signatures.  Pairs that share neither a name nor a signature, directly or through others, do not
+concern one another, so a capture with very many pairs is split into its connected components.  Each capture or
+component is walked once in order, by one task that holds no more than the names and signatures it has kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.rows import unnest
-from ..session import ensure_checkpoint_dir, staged
+from ..functions.graphs import component_labels
+from ..session import staged
 
 
 def contract_problem() -> Column:
@@ -69,74 +71,48 @@ def execution_signature() -> Column:
     return F.when(F.col("kind") == "http", http).otherwise(browser)
 
 
-def _fold(rows: Column) -> Column:
-    """Kept ``ord`` values of one capture, walking its pairs in order."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("names"),
-        F.array().cast("array<string>").alias("sigs"),
-        F.array().cast("array<bigint>").alias("kept"),
-    )
-
-    def step(acc: Column, row: Column) -> Column:
-        free = ~F.array_contains(acc["names"], row["name"]) & ~F.array_contains(
-            acc["sigs"], row["sig"]
-        )
-
-        def add(to: str, value: Column) -> Column:
-            return F.when(free, F.concat(acc[to], F.array(value))).otherwise(acc[to]).alias(to)
-
-        return F.struct(add("names", row["name"]), add("sigs", row["sig"]), add("kept", row["ord"]))
+def _walk(keys: list[str]):
+    """Kept pairs of rows sorted by ``keys``, part and order."""
 
-    return F.aggregate(F.array_sort(rows), start, step, lambda acc: acc["kept"])
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, names, sigs = None, set(), set()
+        for batch in batches:
+            units = zip(*(batch.column(k).to_pylist() for k in (*keys, "_part")), strict=True)
+            keep = []
+            for own, name, sig in zip(units, batch.column("name").to_pylist(), batch.column("sig").to_pylist(), strict=True):
+                if own != unit:
+                    unit, names, sigs = own, set(), set()
+                free = name not in names and sig not in sigs
+                if free:
+                    names.add(name)
+                    sigs.add(sig)
+                keep.append(free)
+            yield batch.select([*keys, "ord"]).filter(pa.array(keep, pa.bool_()))
 
-
-def _parallel_matching(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy matching in rounds; returns ``keys, ord`` of the kept pairs."""
-    ensure_checkpoint_dir(pairs.sparkSession)
-    left = pairs.checkpoint()
-    kept: DataFrame | None = None
-    while True:
-        first_name = left.groupBy(*keys, "name").agg(F.min("ord").alias("name_first"))
-        first_sig = left.groupBy(*keys, "sig").agg(F.min("ord").alias("sig_first"))
-        chosen = (
-            left.join(first_name, [*keys, "name"])
-            .join(first_sig, [*keys, "sig"])
-            .filter((F.col("ord") == F.col("name_first")) & (F.col("ord") == F.col("sig_first")))
-            .select(*keys, "name", "sig", "ord")
-            .checkpoint()
-        )
-        kept = chosen if kept is None else kept.unionByName(chosen)
-        left = (
-            left.join(chosen.select(*keys, "name"), [*keys, "name"], "left_anti")
-            .join(chosen.select(*keys, "sig"), [*keys, "sig"], "left_anti")
-            .checkpoint()
-        )
-        if left.isEmpty():
-            return kept.select(*keys, "ord")
+    return task
 
 
-def greedy_pairs(
-    candidates: DataFrame, keys: list[str], fold_limit: int = 512
-) -> DataFrame:
+def greedy_pairs(candidates: DataFrame, keys: list[str], split_over: int = 1 << 16) -> DataFrame:
     """``keys, ord`` of the candidates that survive; input has ``keys, name, sig, ord``.
 
-    Only the first of equal pairs can survive, so pairs are first reduced in the map tasks.
+    Only the first of equal pairs can survive, so pairs are first reduced in the map tasks.  Keys with more than ``split_over`` pairs are
+    walked component by component; that only deals out the work.  NULL names or signatures equal one another.
     """
     pairs = candidates.groupBy(*keys, "name", "sig").agg(F.min("ord").alias("ord"))
     sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs"))
     # only the few large keys are listed, so a hot one is never joined row by row to its own size
-    large = staged(sizes.filter(F.col("_pairs") > fold_limit).select(*keys), None, "large_keys")
-    small = pairs.join(large, keys, "left_anti")
-    folded = small.groupBy(*keys).agg(
-        F.collect_list(F.struct("ord", "name", "sig")).alias("rows")
-    )
-    out = unnest(
-        folded, keys, F.transform(_fold(F.col("rows")), lambda o: F.struct(o.alias("ord"))), "ord"
-    )
-    if large.isEmpty():
-        return out
-    rest = pairs.join(large, keys, "left_semi")
-    return out.unionByName(_parallel_matching(rest, keys))
+    large = staged(sizes.filter(F.col("_pairs") > split_over).select(*keys), None, "large_keys")
+    whole = pairs.withColumn("_part", F.lit(0).cast("bigint"))
+    if not large.isEmpty():
+        # names of nodes that met by chance would only join two components
+        node = lambda kind, value: F.xxhash64(*keys, F.lit(kind), value)
+        split = staged(pairs.join(large, keys, "left_semi").withColumn("_name", node("name", "name")), None, "large")
+        labels = component_labels(split.select(F.col("_name").alias("a"), node("sig", "sig").alias("b")))
+        parts = split.join(labels.select(F.col("node").alias("_name"), F.col("label").alias("_part")), "_name").drop("_name")
+        whole = whole.join(large, keys, "left_anti").unionByName(parts)
+    kinds = dict(candidates.dtypes)
+    sorted_ = whole.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part", "ord", "name", "sig")
+    return sorted_.mapInArrow(_walk(keys), ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "ord")))
 
 
 def validate_candidates(
@@ -144,7 +120,7 @@ def validate_candidates(
     keys: list[str] | None = None,
     seen_names: DataFrame | None = None,
     barred: Column | None = None,
-    fold_limit: int = 512,
+    split_over: int = 1 << 16,
 ) -> DataFrame:
     """Candidates with ``status``: kept, contract, name, barred or signature.
 
@@ -166,7 +142,7 @@ def validate_candidates(
             "_seen", F.coalesce("_seen", F.lit(False))
         )
     eligible = ordered.filter(F.col("problem").isNull() & ~F.col("_seen") & ~F.col("_barred"))
-    kept = greedy_pairs(eligible.select(*keys, "name", "sig", "ord"), keys, fold_limit).withColumn(
+    kept = greedy_pairs(eligible.select(*keys, "name", "sig", "ord"), keys, split_over).withColumn(
         "_kept", F.lit(True)
     )
     marked = ordered.join(kept, [*keys, "ord"], "left")
