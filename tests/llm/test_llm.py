@@ -538,38 +538,54 @@ def test_one_more_shard_moves_little(spark):
 # --- 10: cross-entropy difference ---
 
 
+def cross_entropies(texts, target, i):
+    """Losses of text i under the target (a set of places) and under all texts, without its own words."""
+    size = max(1 << cross_entropy.WORD_BITS, len({w for t in texts for w in words(t)}))
+    out = []
+    for chosen in (target, range(len(texts))):
+        pairs, alone, backs = {}, {}, {}
+        for j in chosen:
+            if j != i:
+                for b, w in zip([None, *words(texts[j])], words(texts[j]), strict=False):
+                    for d, k in ((pairs, (b, w)), (alone, w), (backs, b)):
+                        d[k] = d.get(k, 0) + 1
+        total, losses = sum(alone.values()), []
+        for b, w in zip([None, *words(texts[i])], words(texts[i]), strict=False):
+            p1 = (alone.get(w, 0) + cross_entropy.FLOOR) / (total + cross_entropy.FLOOR * size)
+            p = (pairs.get((b, w), 0) + cross_entropy.PRIOR * p1) / (backs.get(b, 0) + cross_entropy.PRIOR)
+            assert p <= 1
+            losses.append(-np.log(p))
+        out.append(np.mean(losses))
+    return out
+
+
 def test_losses_equal_brute_force(spark):
-    texts = [*AWKWARD, *(prose(i, 40, 30) for i in range(20))]
+    texts = [*AWKWARD, *(prose(i, 40, 30) for i in range(20)), *["the the end the end"] * 3]
     docs = frame(spark, texts)
     target = docs.filter("doc_id >= 20")
-    got = {r.doc_id: r for r in cross_entropy.score(docs, target).collect()}
-
-    def grams(chosen):
-        pairs, alone, backs = {}, {}, {}
-        for t in chosen:
-            for _, _, _, w, b, p in cross_entropy.slots(pa.array([t or ""])):
-                for d, keys in ((pairs, p), (alone, w), (backs, b)):
-                    for k in keys.tolist():
-                        d[k] = d.get(k, 0) + 1
-        return pairs, alone, backs
-
-    def loss(model, text):
-        pairs, alone, backs = model
-        total, out = sum(alone.values()), []
-        for _, _, _, w, b, p in cross_entropy.slots(pa.array([text])):
-            for i, j, k in zip(w.tolist(), b.tolist(), p.tolist(), strict=True):
-                p1 = (alone.get(i, 0) + cross_entropy.FLOOR) / (total + cross_entropy.FLOOR * (1 << cross_entropy.WORD_BITS))
-                out.append(-np.log((pairs.get(k, 0) + cross_entropy.PRIOR * p1) / (backs.get(j, 0) + cross_entropy.PRIOR)))
-        return np.mean(out)
-
-    near, far = grams(texts[20:]), grams(texts)
+    asked = target.select("doc_id").union(target.select("doc_id")).union(spark.sql("select null union all select 999"))
+    got = {r.doc_id: r for r in cross_entropy.score(docs, asked).collect()}
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
         if not words(t):
             assert got[i].words == 0 and got[i].score is None
             continue
-        a, b = loss(near, t), loss(far, t)
-        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [a, b, a - b], atol=1e-5)
+        a, b = cross_entropies(texts, range(20, len(texts)), i)
+        assert got[i].words == len(words(t))
+        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [a, b, a - b], atol=1e-9)
     assert cross_entropy.score(docs.limit(0), target.limit(0)).count() == 0
+    none = {r.doc_id: r for r in cross_entropy.score(docs, target.limit(0), keep=("doc_id", "row")).collect()}
+    assert np.allclose(none[30].target_loss, cross_entropies(texts, (), 30)[0]) and none[30].row == "y"
+    with pytest.raises(ValueError):
+        cross_entropy.score(docs.withColumn("score", F.lit(1)), target, keep=("doc_id", "score"))
+
+
+def test_rows_without_or_with_one_identifier_all_score(spark, monkeypatch):
+    monkeypatch.setattr(cross_entropy, "LOT", 2_000)
+    docs = frame(spark, [(None, prose(i, 40, 30)) for i in range(40)] + [(7, prose(i, 40, 30)) for i in range(40, 80)] + [(7, None)])
+    rows = cross_entropy.score(docs, docs.filter("doc_id = 7")).collect()
+    assert len(rows) == 81 and sum(r.score is None for r in rows) == 1
+    assert sum(r.doc_id is None for r in rows) == 40
 
 
 def test_models_count_words_not_slots(spark, monkeypatch):
@@ -579,24 +595,18 @@ def test_models_count_words_not_slots(spark, monkeypatch):
     docs = frame(spark, texts, 6)
     got = {r.doc_id: r for r in cross_entropy.score(docs, docs.filter("doc_id < 10 or doc_id = 100")).collect()}
     assert len(got) == len(texts)
+    for i in (0, 9, 10, 99, 100, 102):
+        assert np.allclose([got[i].target_loss, got[i].background_loss], cross_entropies(texts, [*range(10), 100], i), atol=1e-9)
 
-    def loss(chosen, text):
-        pairs, alone, backs = {}, {}, {}
-        for t in chosen:
-            for b, w in zip([None, *words(t)], words(t), strict=False):
-                for d, k in ((pairs, (b, w)), (alone, w), (backs, b)):
-                    d[k] = d.get(k, 0) + 1
-        size, total, out = len({w for t in texts for w in words(t)}), sum(alone.values()), []
-        for b, w in zip([None, *words(text)], words(text), strict=False):
-            p1 = (alone.get(w, 0) + cross_entropy.FLOOR) / (total + cross_entropy.FLOOR * size)
-            p = (pairs.get((b, w), 0) + cross_entropy.PRIOR * p1) / (backs.get(b, 0) + cross_entropy.PRIOR)
-            assert p <= 1
-            out.append(-np.log(p))
-        return np.mean(out)
 
-    near = texts[:10] + texts[100:101]
-    for i in (0, 9, 10, 99, 100, 102):
-        assert np.allclose([got[i].target_loss, got[i].background_loss], [loss(near, texts[i]), loss(texts, texts[i])], atol=1e-9)
+def test_scores_tell_likeness_not_membership(spark):
+    """Trusted rows that are left out of the target score like those in it, and junk does not."""
+    like = [prose(i, 120, 60) for i in range(200)]
+    junk = [prose(i, 120, 60).replace("", "q") for i in range(200, 240)]
+    docs = frame(spark, like + junk)
+    got = {r.doc_id: r.score for r in cross_entropy.score(docs, docs.filter("doc_id < 100")).collect()}
+    inside, outside, other = (np.mean([got[i] for i in x]) for x in (range(100), range(100, 200), range(200, 240)))
+    assert abs(inside - outside) < 0.2 < other - outside
 
 
 # --- pipeline ---

@@ -1,26 +1,31 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model.
 
-Both models are matched: bigrams smoothed toward words by the same rule, over one shared vocabulary, every word of both
-tables.  Words and bigrams are counted exactly, told apart by 64-bit hashes; the background counts every word of every document,
-the target every word of every target document.
-
-Documents are dealt into lots of bounded size.  A task sums a lot's n-grams and sends each shard of the hash range its
-part; a shard adds up what all lots sent and answers each lot with the totals of that lot's own n-grams, in the order sent.  Then
-each lot meets its answers and is scored, so no model is ever gathered in one place, and a common word costs a lot one
-entry.  A document's score is the mean over its words of the target's loss less the background's: the lower, the more it is
-like the target.
+Both models are matched: bigrams smoothed toward words by the same rule, over one shared vocabulary, every word of the
+corpus.  Words and bigrams are counted exactly, told apart by 64-bit hashes; the background counts every word of every document,
+the target every word of its members.  A document is judged by the others: its own counts are taken out of the background, and
+out of the target where it is a member, so a score tells how like the target a text is, not whether it was in it.
+
+Documents and the members' identifiers are dealt into lots of bounded size, once, and kept as a bucketed table.  A task sums a
+lot's n-grams and sends each shard of the hash range its part; a shard adds up what all lots sent and answers each lot with the
+totals of that lot's own n-grams, in the order sent.  Then each lot meets its answers without another shuffle of texts and is
+scored, so no model is ever gathered in one place, and a common word costs a lot one entry.  A document's score is the mean over
+its words of the target's loss less the background's: the lower, the more it is like the target.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import binary_parts, blocks, stored, whole_text, words_of
+from .common import binary_parts, blocks, shared_folder, stored, whole_text, words_of
 from .kn_quality import START, before, pair
 
 #: The word model spreads its floor over 2^18 words, or over the vocabulary where that is larger.
@@ -29,9 +34,12 @@ WORD_BITS = 18
 PRIOR, FLOOR = 8.0, 0.5
 #: Bytes of text in a lot, about.
 LOT = 8 << 20
+#: Lots among which rows of one identifier are spread; a member's identifier is sent to each.
+SALTS = 8
+RESULT = {"words": "long", "target_loss": "double", "background_loss": "double", "score": "double"}
 PAIRS, WORDS = 0, 1
 MESSAGE = "shard int, lot int, kind int, keys binary, n binary, back binary"
-ANSWER = "lot int, kind int, shard int, n binary, back binary, own_total double, target_total double, distinct long"
+ANSWER = "lot int, kind int, shard int, n binary, back binary, total double, target_total double, distinct long"
 
 
 def slots(text: pa.Array) -> Iterator[tuple]:
@@ -62,24 +70,23 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Counts:
-    """N-grams of texts: sorted bigrams with counts, and sorted words with counts as a word and as the word before."""
+    """N-grams of texts: sorted bigrams, and sorted words as a word and as the word before, with counts in all and in members."""
 
     def __init__(self):
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.pairs, self.words, self.size = [none], [(*none, none[1])], 0
+        none, no = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pairs, self.words = [(none, no, no)], [(none, *[no] * 4)]
 
-    def add(self, text: pa.Array) -> None:
-        for first, end, _, word, back, both in slots(text):
-            one = np.ones(len(word), np.int64)
-            self.pairs.append(summed(both, one))
-            no = np.zeros(len(word), np.int64)
-            self.words.append(summed(np.concatenate([word, back]), np.concatenate([one, no]), np.concatenate([no, one])))
-        self.size += text.nbytes
+    def add(self, text: pa.Array, member: np.ndarray) -> None:
+        for first, end, doc, word, back, both in slots(text):
+            of = member[first:end][doc].astype(np.int64)
+            one, no = np.ones(len(word), np.int64), np.zeros(len(word), np.int64)
+            self.pairs.append(summed(both, one, of))
+            self.words.append(summed(np.concatenate([word, back]), *map(np.concatenate, ((one, no), (of, no), (no, one), (no, of)))))
 
     def total(self) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
         return tuple(summed(*map(np.concatenate, zip(*x, strict=True))) for x in (self.pairs, self.words))
 
-    def messages(self, lot: int, shards: int) -> pa.RecordBatch:
+    def messages(self, lot: int, shards: int) -> pa.Table:
         rows = []
         for kind, (keys, *counts) in enumerate(self.total()):
             # shards are ranges of the upper half of the hash
@@ -88,43 +95,38 @@ class Counts:
             for shard in np.flatnonzero(np.diff(cut)).tolist():
                 at = slice(cut[shard], cut[shard + 1])
                 steps = np.diff(keys[at], prepend=np.uint64(0))
-                n = [packed(c[at].astype(np.uint32)) for c in counts]  # of one lot
+                n = [packed(np.concatenate([c[at] for c in counts[k : k + 2]]).astype(np.uint32)) for k in range(0, len(counts), 2)]
                 rows.append((shard, lot, kind, packed(steps), n[0], n[1] if kind == WORDS else None))
         types = [pa.int32()] * 3 + [pa.binary()] * 3
         columns = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in MESSAGE.split(", ")])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in MESSAGE.split(", ")])
 
 
-def _ask(shards: int):
-    """Messages of each lot; rows come ordered by lot. Without a column ``lot`` nobody waits for an answer (lot -1)."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lot = Counts(), -1
-        for batch in batches:
-            texts = batch.column("text")
-            if "lot" not in batch.schema.names:
-                for _, _, part in _runs(None, texts):
-                    held.add(part)
-                    if held.size >= LOT:
-                        yield held.messages(-1, shards)
-                        held = Counts()
-                continue
-            for now, _, part in _runs(batch.column("lot").to_numpy(), texts):
-                if now != lot:
-                    yield held.messages(lot, shards)
-                    held, lot = Counts(), now
-                held.add(part)
-        yield held.messages(lot, shards)
+def _opened(lot: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Documents of a lot, and which of them are members; the lot's rows without text are members' identifiers."""
+    asks = lot.column("text").is_null()
+    docs = lot.filter(pc.invert(asks)).combine_chunks()
+    members = lot.filter(asks).column("id").combine_chunks()
+    return docs, pc.is_in(docs.column("id"), value_set=members, skip_nulls=True).to_numpy().astype(bool)
 
-    return task
 
+def _parts(docs: pa.Table, member: np.ndarray) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Runs of documents of bounded number: (first row, texts, members)."""
+    texts = docs.column("text")
+    for a in range(0, len(texts), 256):
+        yield a, texts.slice(a, 256), member[a : a + 256]
 
-def _runs(lots: np.ndarray | None, texts: pa.Array) -> Iterator[tuple]:
-    """Rows of one lot that stand together, in parts of bounded size: (lot, first row, texts)."""
-    cuts = np.array([0, len(texts)]) if lots is None else np.append(np.flatnonzero(np.diff(lots, prepend=-2)), len(lots))
-    for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        for a in range(first, end, 256):
-            yield None if lots is None else int(lots[first]), a, texts.slice(a, min(a + 256, end) - a)
+
+def _ask(shards: int):
+    """Messages of a lot."""
+
+    def task(lot: pa.Table) -> pa.Table:
+        held = Counts()
+        for _, part, of in _parts(*_opened(lot)):
+            held.add(part, of)
+        return held.messages(lot.column("lot")[0].as_py(), shards)
+
+    return task
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,20 +136,17 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         shard, _, kind = rows[0][:3]
         keys = [np.cumsum(unpacked(r[3], np.uint64), dtype=np.uint64) for r in rows]
-        own = np.repeat([r[1] >= 0 for r in rows], [len(k) for k in keys])
-        sums = []  # own and target counts, of words then of words before
-        every = np.concatenate(keys)
-        distinct, place = np.unique(every, return_inverse=True)
+        sums = []  # counts in all and in members, of words then of words before
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         for column in (4, 5)[: kind + 1]:
-            n = np.concatenate([unpacked(r[column], np.uint32) for r in rows])
-            sums += [np.bincount(place[part], n[part], len(distinct)).astype(np.int64) for part in (own, ~own)]
-        ends = np.cumsum([0, *map(len, keys)])
+            for n in map(np.concatenate, zip(*(unpacked(r[column], np.uint32).reshape(2, -1) for r in rows), strict=True)):
+                sums.append(np.bincount(place, n, len(distinct)).astype(np.int64))
         out = [(-1, kind, shard, None, None, float(sums[0].sum()), float(sums[1].sum()), len(distinct) - int(kind == WORDS and START in distinct))]
+        ends = np.cumsum([0, *map(len, keys)])
         for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True):
-            if r[1] >= 0:
-                at = place[a:b]
-                two = [packed(np.concatenate([sums[k][at], sums[k + 1][at]])) for k in range(0, len(sums), 2)]
-                out.append((r[1], kind, shard, two[0], two[1] if kind == WORDS else None, None, None, None))
+            at = place[a:b]
+            two = [packed(np.concatenate([sums[k][at], sums[k + 1][at]])) for k in range(0, len(sums), 2)]
+            out.append((r[1], kind, shard, two[0], two[1] if kind == WORDS else None, None, None, None))
         for k in range(0, len(out), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 64], strict=True), types, strict=True)], names=names)
 
@@ -162,90 +161,101 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(rows)
 
 
+def _own(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How often each entry's place stands in its own document."""
+    _, at, n = np.unique(doc.astype(np.int64) << 32 | place, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 class Bigrams:
     """Totals of one model for the n-grams of a lot; ``loss`` is the negative natural log of each word's probability."""
 
     def __init__(self, pairs: np.ndarray, words: np.ndarray, backs: np.ndarray, total: float, size: int):
         self.pairs, self.words, self.backs, self.total, self.size = pairs, words, backs, total, size
 
-    def loss(self, word: np.ndarray, back: np.ndarray, both: np.ndarray) -> np.ndarray:
-        """Of places in the lot's sorted words, words and bigrams."""
-        alone = (self.words[word] + FLOOR) / (self.total + FLOOR * self.size)
-        return -np.log((self.pairs[both] + PRIOR * alone) / (self.backs[back] + PRIOR))
+    def loss(self, at: tuple[np.ndarray, ...], less: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Of places of (word, word before, bigram); ``less`` is what to take out for each, and of all words."""
+        (word, back, both), (own_word, own_back, own_both, own_all) = at, less
+        alone = (self.words[word] - own_word + FLOOR) / (self.total - own_all + FLOOR * self.size)
+        return -np.log((self.pairs[both] - own_both + PRIOR * alone) / (self.backs[back] - own_back + PRIOR))
 
 
-def _score(keep: list[str], totals: tuple[float, float], size: int):
-    def told(lot: pa.Table, answers: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _score(keep: int, totals: tuple[float, float], size: int, schema: pa.Schema):
+    """A lot and its answers to scored rows."""
+
+    def task(lot: pa.Table, answers: pa.Table) -> pa.Table:
+        docs, member = _opened(lot)
         counts = Counts()
-        texts = lot.column("text").combine_chunks()
-        for _, _, part in _runs(None, texts):
-            counts.add(part)
-        (pairs, _), (words, _, _) = counts.total()
+        for _, part, of in _parts(docs, member):
+            counts.add(part, of)
+        (pairs, *_), (words, *_) = counts.total()
+        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "n", "back")), strict=True), key=lambda a: a[:2])
         found = []
         for kind, column, wanted in ((PAIRS, 2, pairs), (WORDS, 2, words), (WORDS, 3, words)):
-            halves = [unpacked(a[column], np.int64).reshape(2, -1) for a in sorted(answers, key=lambda a: a[1]) if a[0] == kind]
+            halves = [unpacked(a[column], np.int64).reshape(2, -1) for a in told if a[0] == kind]
             found.append(np.concatenate(halves, 1) if halves else np.zeros((2, 0), np.int64))
             if found[-1].shape[1] != len(wanted):
                 raise RuntimeError("a lot's n-grams differ from those it asked for")
-        models = [Bigrams(*(x[k] for x in found), totals[k], size) for k in (1, 0)]
-        for a in range(0, len(texts), 256):
-            part = texts.slice(a, 256)
-            n, losses = np.zeros(len(part), np.int64), np.zeros((2, len(part)))
+        background, target = (Bigrams(*(x[k] for x in found), totals[k], size) for k in (0, 1))
+        n, losses = np.zeros(len(docs), np.int64), np.zeros((2, len(docs)))
+        for a, part, of in _parts(docs, member):
             for first, end, doc, word, back, both in slots(part):
-                n[first:end] = np.bincount(doc, minlength=end - first)
+                of_doc = np.bincount(doc, minlength=end - first)
+                n[a + first : a + end] = of_doc
                 at = np.searchsorted(words, word), np.searchsorted(words, back), np.searchsorted(pairs, both)
-                for k, model in enumerate(models):
-                    losses[k, first:end] = np.bincount(doc, model.loss(*at), end - first)
-            mean = losses / np.maximum(n, 1)
-            columns = [pa.array(n), *(pa.array(x, mask=n == 0) for x in (*mean, mean[0] - mean[1]))]
-            rows = lot.slice(a, len(part)).combine_chunks()
-            yield pa.RecordBatch.from_arrays(
-                [*(rows.column(f"k{i}").combine_chunks() for i in range(len(keep))), *columns],
-                names=[*keep, "words", "target_loss", "background_loss", "score"],
-            )
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lot, answers, rows = None, [], []
-        for batch in batches:
-            lots = batch.column("lot").to_numpy()
-            cuts = np.append(np.flatnonzero(np.diff(lots, prepend=-2)), len(lots)).tolist()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if lot is not None and lots[a] != lot:
-                    if rows:
-                        yield from told(pa.Table.from_batches(rows), answers)
-                    answers, rows = [], []
-                lot, part = lots[a], batch.slice(a, b - a)
-                asked = part.column("kind").is_valid().to_numpy(zero_copy_only=False)
-                answers += list(zip(*(part.filter(pa.array(asked)).column(c).to_pylist() for c in ("kind", "shard", "n", "back")), strict=True))
-                if not asked.all():
-                    rows.append(part.filter(pa.array(~asked)))
-        if rows:
-            yield from told(pa.Table.from_batches(rows), answers)
+                own = *(_own(doc, x) for x in at), of_doc[doc]
+                inside = of[first:end][doc].astype(np.int64)
+                for k, loss in enumerate((target.loss(at, tuple(x * inside for x in own)), background.loss(at, own))):
+                    losses[k, a + first : a + end] = np.bincount(doc, loss, end - first)
+        mean = losses / np.maximum(n, 1)
+        columns = [*(docs.column(f"k{i}") for i in range(keep)), pa.array(n), *(pa.array(x, mask=n == 0) for x in (*mean, mean[0] - mean[1]))]
+        return pa.table(columns, names=schema.names).cast(schema)
 
     return task
 
 
-def score(docs: DataFrame, target: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _dealt(docs: DataFrame, members: DataFrame, key: str, keep: tuple[str, ...], lots: int, n: int) -> DataFrame:
+    """Rows ``lot, id, k0.., text`` and members' identifiers (text NULL), bucketed by lot in the shared folder."""
+    ids = dict(docs.dtypes)[key]
+    lot_of = lambda salt: F.pmod(F.xxhash64("id", salt), F.lit(lots)).cast("int")
+    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(key).alias("id"), *named, whole_text().alias("text"))
+    # rows without an identifier are no members, and spread by their text
+    spread = F.xxhash64("text", *(F.col(f"k{i}").cast("string") for i in range(len(keep))))
+    salt = F.when(F.col("id").isNull(), spread).otherwise(F.pmod(spread, F.lit(SALTS)))
+    named_members = members.select(F.col(key).cast(ids).alias("id")).filter("id is not null").distinct()
+    flags = named_members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    both = rows.withColumn("lot", lot_of(salt)).unionByName(flags.withColumn("lot", lot_of(F.col("salt"))).drop("salt"), allowMissingColumns=True)
+    name = f"cross_entropy_{uuid.uuid4().hex}"
+    writer = both.repartition(n, "lot").write.format("parquet").option("compression", "zstd").bucketBy(n, "lot").sortBy("lot")
+    writer.option("path", shared_folder(docs.sparkSession, name)).saveAsTable(name)
+    return docs.sparkSession.table(name)
+
+
+def score(docs: DataFrame, members: DataFrame, *, key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every row with ``keep``, words, target_loss, background_loss and score (their difference), per word in nats.
 
-    ``target`` is a table with column ``text``; the background is all of ``docs``.  NULL text has no words; texts without words have
-    NULL losses and score.  An empty target predicts every word alike.  Repeated rows count each and score alike.
+    ``members`` is a table whose column ``key`` names the rows of ``docs`` that make up the target (repeated, NULL and unknown
+    identifiers change nothing); the background is all of ``docs``.  A document's own words count in neither model when it is
+    scored; those of equal texts in other rows do.  NULL text has no words; texts without words have NULL losses and score.  An empty
+    target predicts every word alike.  Repeated rows count each and score alike.  Rows of one identifier lie in at most ``SALTS``
+    lots.  A column of ``keep`` named as a column of the result is an error.
     """
+    clash = sorted(set(keep) & set(RESULT))
+    if clash:
+        raise ValueError(f"rename {clash} before scoring")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = dict(docs.dtypes)
-    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*named, whole_text().alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lots = max(n, -(-size // LOT))
-    # equal texts spread by what else the row holds
-    lot = F.pmod(F.xxhash64(*(F.col(f"k{i}").cast("string") for i in range(len(keep))), "text"), F.lit(lots)).cast("int")
-    rows = rows.withColumn("lot", lot)
-    dealt = rows.repartitionById(n, F.pmod("lot", F.lit(n))).sortWithinPartitions("lot").select("text", "lot")
-    asked = dealt.mapInArrow(_ask(lots), MESSAGE).unionByName(target.select(whole_text().alias("text")).mapInArrow(_ask(lots), MESSAGE))
+    rows = _dealt(docs, members, key, keep, lots, n)
+    asked = rows.groupBy("lot").applyInArrow(_ask(lots), MESSAGE)
     answers = stored(asked.repartitionById(n, F.pmod("shard", F.lit(n))).sortWithinPartitions("kind", "shard").mapInArrow(_answer, ANSWER), "cross-entropy-answers")
-    sums = answers.filter("lot = -1 and kind = 1").agg(F.sum("own_total"), F.sum("target_total"), F.sum("distinct")).first()
+    sums = answers.filter(f"lot = -1 and kind = {WORDS}").agg(F.sum("total"), F.sum("target_total"), F.sum("distinct")).first()
     vocabulary = max(1 << WORD_BITS, sums[2] or 0)
-    met = rows.unionByName(answers.filter("lot >= 0").select("lot", "kind", "shard", "n", "back"), allowMissingColumns=True)
-    result = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "words long, target_loss double, background_loss double, score double"])
-    return met.repartitionById(n, F.pmod("lot", F.lit(n))).sortWithinPartitions("lot").mapInArrow(_score(list(keep), (sums[0] or 0.0, sums[1] or 0.0), vocabulary), result)
+    result = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} {t}" for c, t in RESULT.items())])
+    told = answers.filter("lot >= 0").select("lot", "kind", "shard", "n", "back")
+    schema = to_arrow_schema(StructType.fromDDL(result))
+    scored = _score(len(keep), (sums[0] or 0.0, sums[1] or 0.0), vocabulary, schema)
+    return rows.groupBy("lot").cogroup(told.groupBy("lot")).applyInArrow(scored, result)
