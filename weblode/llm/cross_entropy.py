@@ -36,6 +36,8 @@ PRIOR, FLOOR = 8.0, 0.5
 LOT = 8 << 20
 #: Lots among which rows of one identifier are spread; a member's identifier is sent to each.
 SALTS = 8
+#: Blocks (of about a megabyte) whose n-grams are held before they are added up.
+MERGED = 3
 RESULT = {"words": "long", "target_loss": "double", "background_loss": "double", "score": "double"}
 PAIRS, WORDS = 0, 1
 MESSAGE = "shard int, lot int, kind int, keys binary, n binary, back binary"
@@ -73,18 +75,29 @@ class Counts:
     """N-grams of texts: sorted bigrams, and sorted words as a word and as the word before, with counts in all and in members."""
 
     def __init__(self):
-        none, no = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.pairs, self.words = [(none, no, no)], [(none, *[no] * 4)]
+        none, no = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.pairs, self.words, self.parts = (none, no, no), (none, *[no] * 4), []
 
     def add(self, text: pa.Array, member: np.ndarray) -> None:
         for first, end, doc, word, back, both in slots(text):
-            of = member[first:end][doc].astype(np.int64)
-            one, no = np.ones(len(word), np.int64), np.zeros(len(word), np.int64)
-            self.pairs.append(summed(both, one, of))
-            self.words.append(summed(np.concatenate([word, back]), *map(np.concatenate, ((one, no), (of, no), (no, one), (no, of)))))
+            of = member[first:end][doc].astype(np.uint32)
+            one, no = np.ones(len(word), np.uint32), np.zeros(len(word), np.uint32)
+            alone = summed(np.concatenate([word, back]), *map(np.concatenate, ((one, no), (of, no), (no, one), (no, of))))
+            self.parts.append((summed(both, one, of), alone))
+            if len(self.parts) >= MERGED:
+                self.total()
 
     def total(self) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-        return tuple(summed(*map(np.concatenate, zip(*x, strict=True))) for x in (self.pairs, self.words))
+        """Adds up what blocks left, so that no more than a few blocks are held beside the distinct n-grams."""
+        for i in range(2):
+            some = [(self.pairs, self.words)[i], *(p[i] for p in self.parts)]
+            merged = summed(*map(np.concatenate, zip(*some, strict=True)))
+            if i == PAIRS:
+                self.pairs = merged
+            else:
+                self.words = merged
+        self.parts = []
+        return self.pairs, self.words
 
     def messages(self, lot: int, shards: int) -> pa.Table:
         rows = []
@@ -189,6 +202,7 @@ def _score(keep: int, totals: tuple[float, float], size: int, schema: pa.Schema)
         for _, part, of in _parts(docs, member):
             counts.add(part, of)
         (pairs, *_), (words, *_) = counts.total()
+        del counts
         told = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "n", "back")), strict=True), key=lambda a: a[:2])
         found = []
         for kind, column, wanted in ((PAIRS, 2, pairs), (WORDS, 2, words), (WORDS, 3, words)):
