@@ -96,3 +96,13 @@ def test_hot_key_is_numbered_by_parts(spark):
         want.add((k, o, seen[k]))
     out = number_rows(df.repartition(6), ["k"], ["o"], "n")
     assert {(r.k, r.o, r.n) for r in out.collect()} == want
+
+
+def test_clusters_shuffle_no_paths(spark):
+    """A position sends its value and hashes; two rows of one address under one place count once."""
+    deep = "/".join(f"section{i}" for i in range(40))
+    df = spark.range(60).select(
+        (F.col("id") % 30).alias("ord"), F.concat(F.lit(f"https://deep.com/{deep}/"), (F.col("id") % 30).cast("string")).alias("url")
+    )
+    out = templates.url_template_clusters(df)
+    assert [(r.members, r.example, r.url_pattern) for r in out.collect()] == [(30, "0", f"/{deep}/{{id}}")]

@@ -243,23 +243,27 @@ def all_query_patterns(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame
 
 @built_once
 def _wildcards() -> Column:
-    """Every position after the first turned into a wildcard, when a word precedes it."""
-    segs = F.col("segs")
-    marked = F.filter(
-        F.transform(
-            F.sequence(F.lit(1), F.size(segs) - 1),
-            lambda i: F.struct(
+    """Every position after the first as a parameter, when a word precedes it.
+
+    A template is named by 128 bits of hashes, so that a long path does not leave the row once per position.
+    """
+    segs, origin = F.col("segs"), F.col("origin")
+
+    def named(i: Column) -> Column:
+        return let(
+            F.array_join(F.transform(segs, lambda s, j: F.when(j == i, F.lit("*")).otherwise(s)), "/"),
+            lambda text: F.struct(
                 i.alias("at"),
-                F.get(segs, i - 1).alias("entity"),
+                F.xxhash64(origin, i, text).alias("key_a"),
+                F.xxhash64(F.lit("b"), text, i, origin).alias("key_b"),
                 F.get(segs, i).alias("value"),
-                F.array_join(
-                    F.transform(segs, lambda s, j: F.when(j == i, F.lit("*")).otherwise(s)), "/"
-                ).alias("template"),
             ),
-        ),
-        lambda w: w["entity"].rlike("(?i)^[a-z]"),
+        )
+
+    places = F.filter(
+        F.sequence(F.lit(1), F.size(segs) - 1), lambda i: F.get(segs, i - 1).rlike("(?i)^[a-z]")
     )
-    return F.when(F.size(segs) >= 2, marked)
+    return F.when(F.size(segs) >= 2, F.transform(places, named))
 
 
 def url_template_clusters(
@@ -271,46 +275,50 @@ def url_template_clusters(
 ) -> DataFrame:
     """Detail-page templates of a URL inventory ``(ord, url)``, per origin or per site.
 
-    A position is a parameter when at least ``min_members`` distinct values occur there.
+    A position is a parameter when at least ``min_members`` distinct values occur there.  ``ord`` is never NULL.
+    What is shuffled per URL is one value and two hashes a position; the address of a template's first member is
+    fetched by a join, of surviving templates only.
     """
-    # no filter on the parsed address: it would be pushed down and parse every URL again
-    parsed = inventory.select("ord", urls.parts_of("url").alias("u")).select(
-        "ord",
-        (
-            urls.registrable_domain(F.col("u.host")) if scope == "site" else F.col("u.origin")
-        ).alias("origin"),
-        F.col("u.origin").alias("raw_origin"),
-        urls.segments(F.col("u.path")).alias("segs"),
-    )
+    def addresses(rows: DataFrame, *keep: str) -> DataFrame:
+        # no filter on the parsed address: it would be pushed down and parse every URL again
+        return rows.select("ord", *keep, urls.parts_of("url").alias("u")).select(
+            "ord",
+            *keep,
+            (
+                urls.registrable_domain(F.col("u.host")) if scope == "site" else F.col("u.origin")
+            ).alias("origin"),
+            F.col("u.origin").alias("raw_origin"),
+            urls.segments(F.col("u.path")).alias("segs"),
+        )
+
+    parsed = addresses(inventory)
     if max_urls is not None:
         parsed = first_rows(parsed, ["origin"], [F.col("ord")], n=max_urls)
-    wild = unnest(
-        parsed,
-        ["origin", "raw_origin", "ord", F.col("segs"), F.size("segs").alias("depth")],
-        _wildcards(),
-        "at",
-    )
-    key = ["origin", "depth", "at", "template"]
+    wild = unnest(parsed, ["ord", "origin", "segs"], _wildcards(), "at").select("ord", "at", "key_a", "key_b", "value")
+    key = ["key_a", "key_b"]
     # distinct values with the place each was first seen: partial aggregation, spread by value
-    values = wild.groupBy(*key, "value").agg(
-        F.min_by(F.struct("ord", "entity", "segs", "raw_origin"), "ord").alias("first")
-    )
+    values = wild.groupBy(*key, "at", "value").agg(F.min("ord").alias("ord"))
     groups = (
-        values.groupBy(*key)
+        values.groupBy(*key, "at")
         .agg(
             F.count(F.lit(1)).alias("members"),
-            F.min_by(F.struct("first.*", "value"), F.col("first.ord")).alias("sample"),
+            F.min(F.struct("ord", "value")).alias("first"),
+            F.avg(F.when(urls.looks_like_id(F.col("value")), 1.0).otherwise(0.0)).alias("id_share"),
         )
         .filter(F.col("members") >= min_members)
+        .select(*key, "at", "members", "id_share", "first.ord", F.col("first.value").alias("value"))
+    )
+    sampled = addresses(
+        inventory.select("ord", "url").join(groups, "ord"), *key, "at", "members", "id_share", "value"
     )
-    shares = values.groupBy(*key).agg(
-        F.avg(F.when(urls.looks_like_id(F.col("value")), 1.0).otherwise(0.0)).alias("id_share")
+    # an address may be listed twice under one place
+    groups = sampled.filter(F.get("segs", F.col("at")) == F.col("value")).dropDuplicates(key).withColumn(
+        "sample", F.struct("ord", F.get("segs", F.col("at") - 1).alias("entity"), "segs", "raw_origin", "value")
     )
     entity, example = F.col("sample.entity"), F.col("sample.value")
     noun = urls.snake_name(urls.singular(entity))
     named = (
-        groups.join(shares, key)
-        .filter((F.col("id_share") >= 0.5) | entity.rlike("(?i)^[a-z][a-z-]+s?$"))
+        groups.filter((F.col("id_share") >= 0.5) | entity.rlike("(?i)^[a-z][a-z-]+s?$"))
         .withColumn("name", F.concat(F.lit("get_"), noun, F.lit("_page")))
         .withColumn(
             "param_name",
