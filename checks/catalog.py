@@ -1218,17 +1218,17 @@ def payload_table(spark, sf):
 
 @query("infer_tools", f"""
 with {SHOP_MATERIAL}
-select capture_id, 'content' as source, 'fetch_page_content' as name, 'http' as kind from counts
-union all select capture_id, 'form', 'search', 'http' from counts
-union all select capture_id, source, name, 'http' from material where source <> 'query' or pos = 0
-union all select capture_id, 'capability', 'extract_page_metadata', 'browser' from counts
-union all select capture_id, 'capability', 'list_page_items', 'browser' from counts where items >= 2 or authors >= 3
-union all select capture_id, 'capability', 'get_product_details', 'browser' from counts where items >= 3""")
+select capture_id, 'content' as source, 0 as pos, 'fetch_page_content' as name, 'http' as kind, '/brand/' || brand as url_pattern, 0.5 as confidence from counts
+union all select capture_id, 'form', 0, 'search', 'http', '/search', 0.54 from counts
+union all select capture_id, source, pos, name, 'http', url_pattern, confidence from material where source <> 'query' or pos = 0
+union all select capture_id, 'capability', 0, 'extract_page_metadata', 'browser', null, 0.56 from counts
+union all select capture_id, 'capability', 1, 'list_page_items', 'browser', null, 0.6 from counts where items >= 2 or authors >= 3
+union all select capture_id, 'capability', 2, 'get_product_details', 'browser', null, 0.66 from counts where items >= 3""")
 def infer_tools(spark, sf):
     from weblode.plans.pipelines import infer_tools as run
 
     tools, _ = run(inp.shop_pages(spark, sf))
-    return tools.select("capture_id", "source", "name", "kind")
+    return tools.select("capture_id", "source", "pos", "name", "kind", "url_pattern", "confidence")
 
 
 # ------------------------------------------------------------------ crawl plan, best capture, streams

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from weblode.functions import text
 from weblode.operators import candidates, health, pages as P, records, templates
+from weblode.sources.captures import read_pages
 from weblode.schema import Limits
 
 URL = "https://a.com/dir/page?x=1"
@@ -238,3 +239,22 @@ def test_broken_html_never_fails(spark, pages):
     odd = pages(("1", "not a url", "<a href='/x'>x</a>"), ("2", URL, "<a href='http://[bad'>x</a><a href='/%zz?%'>y</a>"))
     got = {(r.capture_id, r.href) for r in P.page_links(odd).collect()}
     assert got == {("2", "https://a.com/%zz?%")}
+
+
+def test_query_templates_across_captures_and_bounded(spark):
+    """Order over captures is by identifier, then place, for integer and text identifiers; the bound keeps the first names that are listed."""
+    def page(i, links):
+        return i, "https://shop.example/", "".join(f'<a href="{h}">x</a>' for h in links)
+
+    data = [
+        page(9, ["/list?z=1&q=a&page=1", "/list?z=2&q=a&page=2"]),
+        page(-3, ["/list?plain=1&page=3&z=2", "/other?c=", "/other?c=1"]),
+        page(10, ["/other?c=2", "/late?u=1", "/late?u=2"]),
+    ]
+    for kind in ("long", "string"):
+        table = read_pages(spark.createDataFrame(data, f"page_id {kind}, url string, html string"))
+        got = templates.query_templates(table, scope="site").orderBy("rank").collect()
+        assert [(r.rank, r.url_pattern, r.name) for r in got] == [(1, "/list", "search"), (2, "/other", "browse_listing"), (3, "/late", "browse_listing")]
+        assert [p.name for p in got[0].params] == ["page", "z", "q"]
+        two = templates.query_templates(table, scope="site", max_params=2).filter("rank = 1").collect()[0]
+        assert [p.name for p in two.params] == ["page", "z"] and two.name == "search"

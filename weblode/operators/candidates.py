@@ -15,7 +15,7 @@ from ..functions import fixed_values as fv
 from ..functions import text, urls
 from ..functions.expr import built_once, head, let
 from ..functions.json_help import INPUT_DDL, body_inputs
-from ..functions.rows import first_rows, unnest
+from ..functions.rows import unnest
 from ..schema import CANDIDATE_COLUMNS, PARAMS_DDL, STEPS_DDL, WHOLE, Limits
 from .calls import actionable_calls, rank_calls
 from .pages import all_search_actions, kinds_column, page_facts
@@ -395,9 +395,7 @@ def page_capabilities(captures: DataFrame, limits: Limits = WHOLE) -> DataFrame:
         col("page.forms").alias("live_forms"),
         col("page.actions").alias("actions"),
     )
-    first_detail = first_rows(
-        detail_templates(captures, limits=limits), ["capture_id"], [col("rank")]
-    ).select(
+    first_detail = detail_templates(captures, top=1, limits=limits).select(
         "capture_id",
         col("name").alias("detail_name"),
         col("confidence").alias("detail_confidence"),

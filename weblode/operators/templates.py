@@ -7,7 +7,9 @@ than a report's few rows per key is ever collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -114,6 +116,19 @@ def _scope(scope: str) -> list[str]:
     return ["capture_id"] if scope == "capture" else ["site"]
 
 
+def _seen(df: DataFrame, keys: list[str], pos: str, at: str) -> Column:
+    """Order of a parameter's sightings as one number, which hash aggregation keeps the smallest of.
+
+    Within a capture the two places fill a long; across captures an integer identifier goes before them.
+    """
+    places = F.shiftleft(F.col(pos).cast("long"), 31) + F.col(at)
+    if "capture_id" in keys:
+        return places
+    if df.schema["capture_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return F.struct("capture_id", places.alias("places"))
+    return F.col("capture_id").cast("decimal(19,0)") * F.lit(Decimal(1 << 62)) + places.cast("decimal(19,0)")
+
+
 def detail_templates(
     captures: DataFrame,
     scope: str = "capture",
@@ -162,7 +177,8 @@ def query_templates(
 ) -> DataFrame:
     """Link groups on one path whose query parameters vary.
 
-    "At least two distinct values" is tested as ``min < max``, so no value set is kept.
+    "At least two distinct values" is tested as ``min < max`` of two 64-bit hashes, so no value set is kept and the
+    sightings are added up by hash aggregation.  Pages are read once.
     """
     keys = _scope(scope)
     top = limits.query_groups if top is None else top
@@ -180,15 +196,23 @@ def query_templates(
         "at",
     )
     value = F.nullif(F.col("value"), F.lit(""))
+    digests = [F.xxhash64(value), F.xxhash64(F.lit("b"), value)]
+    varies = [F.min(F.when(value.isNotNull(), d)) < F.max(F.when(value.isNotNull(), d)) for d in digests]
     per_param = exploded.groupBy(*keys, "raw_url", "name").agg(
-        F.min(F.struct("capture_id", "pos", "at")).alias("seen"),
-        (F.min(value) < F.max(value)).alias("varies"),
+        F.min(_seen(exploded, keys, "pos", "at")).alias("seen"),
+        (varies[0] | varies[1]).alias("varies"),
     )
     named = (
         per_param.withColumn("varies", F.coalesce("varies", F.lit(False)))
         .withColumn("is_search", is_search_name(F.col("name")))
         .withColumn("is_page", F.col("name").rlike(fv.PAGE_FIELD))
     )
+    listed = F.col("varies") | F.col("is_search") | F.col("is_page")
+    if max_params is not None:
+        in_order = Window.partitionBy(*keys, "raw_url").orderBy(F.desc("listed"), "seen")
+        named = named.withColumn("listed", listed).withColumn("place", F.row_number().over(in_order))
+        listed = F.col("listed") & (F.col("place") <= max_params)
+    # parameter names of one path: as many as its links spell out
     groups = (
         named.groupBy(*keys, "raw_url")
         .agg(
@@ -196,21 +220,18 @@ def query_templates(
             F.bool_or("varies").alias("any_varies"),
             F.bool_or("is_search").alias("has_search"),
             F.bool_or("is_page").alias("has_page"),
+            F.collect_list(F.when(listed, F.struct("seen", "name", "is_search"))).alias("params"),
         )
         .filter("any_varies")
+        .withColumn(
+            "params",
+            F.transform(
+                F.array_sort("params"),
+                lambda p: F.struct(p["name"].alias("name"), p["is_search"].alias("required")),
+            ),
+        )
     )
-    top_groups = ranked(groups, keys, ["first_seen"], "rank", top)
-    chosen = named.filter(F.col("varies") | F.col("is_search") | F.col("is_page"))
-    if max_params is not None:
-        chosen = first_rows(chosen, [*keys, "raw_url"], [F.col("seen")], n=max_params)
-    # parameter names of one path: as many as its links spell out
-    lists = chosen.groupBy(*keys, "raw_url").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("seen", "name", "is_search"))),
-            lambda p: F.struct(p["name"].alias("name"), p["is_search"].alias("required")),
-        ).alias("params")
-    )
-    return top_groups.join(lists, [*keys, "raw_url"]).select(
+    return ranked(groups, keys, ["first_seen"], "rank", top).select(
         *keys,
         "rank",
         F.when(F.col("has_search"), "search")
