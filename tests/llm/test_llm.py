@@ -277,6 +277,26 @@ def test_long_documents_do_not_end_training(spark):
     assert all(r.perplexity is not None for r in rows)
 
 
+def test_all_trusted_texts_train(spark, monkeypatch):
+    monkeypatch.setattr(kn_quality, "SHARD", 40_000)
+    docs = [(i, prose(i, 9, 60) + (" the %s the the" % prose(-i, 1, 60)), "en") for i in range(9500)] + [(9500, None, "en"), (9501, " ", None), (9502, "the the q%", None), (None, "the a1", "de"), (3, "the the", "xx")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    labels = docs.filter("doc_id < 9500").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    chosen = {r.doc_id for r in kn_quality.trusted(labels, 0).collect()}
+    assert len(chosen) > 4000
+    # every one of them trains, however many there are, and a model dealt over shards says what one in one place says
+    model = kn_quality.train(docs.filter("text is not null").filter(docs.doc_id.isin(chosen)).select("text"))
+    rows, held = kn_quality.classify(docs, labels).collect(), docs.collect()
+    want = []
+    for d in held:
+        (_, _, ids, doc), = kn_quality.tokens(pa.array([d.text], pa.string()), model.vocabulary)
+        want.append((str(d.doc_id), str(d.lang), len(ids), -model.log_probability(ids, doc).mean() if len(ids) else None))
+    got = sorted((str(r.doc_id), str(r.lang), r.words, r.perplexity and float(np.log(r.perplexity))) for r in rows)
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and (a[3] is b[3] is None or abs(a[3] - b[3]) < 2e-4)
+
+
 # --- 5: suffix dedup ---
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import binary_parts, blocks, shared_folder, stored, whole_text, words_of
+from .common import binary_parts, blocks, packed, shared_folder, stored, unpacked, whole_text, words_of
 from .kn_quality import START, before, pair
 
 #: The word model spreads its floor over 2^18 words, or over the vocabulary where that is larger.
@@ -53,16 +53,6 @@ def slots(text: pa.Array) -> Iterator[tuple]:
         yield first, end, doc, words, back, pair(back, words)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, so that compression finds the empty high bytes."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def unpacked(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and each one's sum of every count."""
     order = np.argsort(keys)
