@@ -85,7 +85,8 @@ def deduplicate(spark: SparkSession, path: str, *, digest=sha256_of, text: str =
     hits = rows.join(groups.filter("seen > 1").select("digest", "keep"), "digest")
     bodies = hits.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
     split = stored(bodies.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).filter("bodies > 1").select("digest"), "exact-split")
-    unlike = hits.join(split, "digest")
+    # rows meet the few such digests first, so that other bodies are not shuffled once more
+    unlike = rows.join(split, "digest").join(groups.select("digest", "keep"), "digest")
     kept_bodies = unlike.filter(F.struct("row_id", "file", "row").eqNullSafe(F.col("keep"))).select("digest", F.col("body").alias("keep_body"))
     other = stored(
         unlike.join(kept_bodies, "digest").filter(F.col("body") != F.col("keep_body")).select("digest", "row_id", "file", "row", "body"),
