@@ -294,7 +294,7 @@ def test_all_trusted_texts_train(spark, monkeypatch):
     got = sorted((str(r.doc_id), str(r.lang), r.words, r.perplexity and float(np.log(r.perplexity))) for r in rows)
     assert len(got) == len(want)
     for a, b in zip(got, sorted(want), strict=True):
-        assert a[:3] == b[:3] and (a[3] is b[3] is None or abs(a[3] - b[3]) < 2e-4)
+        assert a[:3] == b[:3] and (a[3] is b[3] is None or abs(a[3] - b[3]) < 1e-6)
 
 
 # --- 5: suffix dedup ---

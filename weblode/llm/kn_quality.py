@@ -40,7 +40,7 @@ DRAWN = 10
 #: Bytes of text per shard of the model, about; words of a lot, about.
 SHARD, LOT = 16 << 20, 1_500_000
 #: Losses are added up in parts of a nat.
-PARTS = 4096
+PARTS = 1 << 24
 #: What a shard reads, in this order: rows that pass it by, bigrams of common words, its trigrams, questions of lots.
 PAST, COMMON, COUNTS, ASKED = range(4)
 MESSAGE = "shard int, kind int, lot long, ba binary, c binary, n binary, doc binary"
