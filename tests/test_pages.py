@@ -184,6 +184,21 @@ def test_records(pages):
     assert got == [("T", "https://a.com/q", "CAD 7")]
 
 
+def test_the_base_is_found_once_a_page_and_not_for_each_card_or_link(pages):
+    html = "<base href='/b/'>" + "".join(f"<div class='quote'><h3>T{i}</h3><a href='item/{i}'>l{i}</a> $ {i}</div>" for i in range(3))
+    page = pages(("1", URL, html))
+    for found, address in (
+        (records.card_records(page, "quote", guard=False), "url"),
+        (records.listing_records(page, guard=False), "url"),
+        (P.page_links(page), "href"),
+    ):
+        assert sorted(r[address] for r in found.collect()) == [f"https://a.com/b/item/{i}" for i in range(3)]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        # an argument stands before the function that is applied to each element, what is done for each element after it
+        inside = [line for line in plan.splitlines() if "<base" in line]
+        assert inside and all("regexp_extract_all" not in line[: line.index("<base")] for line in inside)
+
+
 def test_listed_links_equal_a_search_of_each_card():
     import random
     import re

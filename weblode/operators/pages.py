@@ -342,9 +342,10 @@ def _fact(name: str, limits: Limits) -> Column:
     if name == "base":
         return urls.base_of(col("markup"), col("here"))
     if name == "links":
-        return links_of(col("markup"), col("base"), limits.links, limits.link_text)
+        # bound here, so that the base is found once a page and not within the function of each link
+        return let(col("base"), lambda base: links_of(col("markup"), base, limits.links, limits.link_text))
     if name == "forms":
-        return forms_of(col("markup"), col("base"), limits)
+        return let(col("base"), lambda base: forms_of(col("markup"), base, limits))
     if name == "buttons":
         return buttons_of(col("markup"), limits.buttons, limits.button_label)
     if name == "linked_data":

@@ -262,9 +262,9 @@ def product_records(captures: DataFrame, guard: bool = True) -> DataFrame:
 
 @built_once
 def _listing(top: int | None) -> Column:
-    def row(card: Column) -> Column:
+    def row(card: Column, base: Column) -> Column:
         return F.struct(
-            urls.absolute(card["href"], F.col("base")).alias("key"),
+            urls.absolute(card["href"], base).alias("key"),
             card["pos"].alias("pos"),
             card["text"].alias("title"),
             card["price"].alias("price"),
@@ -272,7 +272,7 @@ def _listing(top: int | None) -> Column:
         )
 
     found = F.filter(
-        F.transform("cards", row),
+        let(F.col("base"), lambda base: F.transform("cards", lambda card: row(card, base))),
         lambda r: (r["title"] != "") & F.coalesce(r["key"].rlike(fv.LISTING_HREF), F.lit(False)),
     )
     first = keep_first(found)
@@ -304,7 +304,7 @@ def card_records(
     if scan is not None:
         cards = F.slice(cards, 1, scan)
 
-    def row(card: Column, pos: Column) -> Column:
+    def row(card: Column, pos: Column, base: Column) -> Column:
         body = text.clean_text(card, None)
         heading = text.clean_text(
             F.regexp_extract(card, r"""(?is)<(h[1-5]|[a-z]+(?=[^>]*(?:class\s*=\s*["'][^"']*title|itemprop\s*=\s*["']?name)))\b[^>]*>(.*?)</""", 2),
@@ -312,7 +312,7 @@ def card_records(
         )
         anchor = F.regexp_extract(card, r"(?is)<a\b(?=[^>]*\bhref)([^>]*)>", 1)
         anchor_text = text.clean_text(F.regexp_extract(card, r"(?is)<a\b(?=[^>]*\bhref)[^>]*>(.*?)</a>", 1), None)
-        href = urls.absolute(text.attribute(text.attribute_tokens(anchor), "href"), F.col("base"))
+        href = urls.absolute(text.attribute(text.attribute_tokens(anchor), "href"), base)
 
         def build(b: Column) -> Column:
             title = F.coalesce(
@@ -331,7 +331,9 @@ def card_records(
 
         return let(body, build)
 
-    found = keep_first(F.filter(F.transform(cards, row), lambda r: r["text"] != ""))
+    # the base is bound outside: within the function of a card it would be found anew, in the whole page, for each card
+    each = let(F.col("base"), lambda base: F.transform(cards, lambda card, pos: row(card, pos, base)))
+    found = keep_first(F.filter(each, lambda r: r["text"] != ""))
     if top is not None:
         found = F.slice(found, 1, top)
     fields = found
