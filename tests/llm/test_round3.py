@@ -310,3 +310,40 @@ def test_linear_relations_do_not_make_words_equal(spark):
     assert len(set(hashes.tolist())) == 2 + 4 + 4
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs, slot_bits=10).collect()} == {i: i for i in range(8)}
+
+
+def test_a_lot_of_texts_is_held_in_few_bytes_a_word(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from weblode.llm import kn_quality as kn
+
+    class Value:
+        def __init__(self, value):
+            self.value = value
+
+    class Context:
+        @staticmethod
+        def get():
+            return type("Task", (), {"partitionId": lambda self: 3})()
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map("w{}".format, rng.integers(0, 5000, 1000))) for _ in range(800)]
+    hashes = np.unique(kn.words_of(np.frombuffer(" ".join(f"w{i}" for i in range(5000)).encode(), np.uint8), np.array([0, 28889]), lower=True)[0])
+    vocabulary = kn.Vocabulary(hashes, np.arange(len(hashes), dtype=np.uint64) + np.uint64(6))
+    shards = kn.Shards(8, np.ones(len(hashes) + 6, np.uint64))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(800)), "text": texts})
+    monkeypatch.setattr(kn, "TaskContext", Context)
+    task = kn._asked(Value(vocabulary), Value(shards), ["doc_id"], "text")
+    list(task(iter([batch.slice(0, 8)])))  # tables of powers and codes are made once
+    tracemalloc.start()
+    words = np.zeros(800, np.int64)
+    for row in task(iter([batch])):
+        if row.column("kind")[0].as_py() == kn.ASKED:
+            doc = kn._opened(row.column("doc")[0].as_py(), np.uint32).astype(np.int64)
+            words += np.bincount(doc, kn._opened(row.column("n")[0].as_py(), np.uint32), 800).astype(np.int64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words.tolist() == [1000] * 800
+    assert peak < 80 * 800_000
