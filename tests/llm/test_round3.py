@@ -347,3 +347,47 @@ def test_a_lot_of_texts_is_held_in_few_bytes_a_word(monkeypatch):
     tracemalloc.stop()
     assert words.tolist() == [1000] * 800
     assert peak < 80 * 800_000
+
+
+def changed_copies(n, words, changes):
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    for _ in range(n):
+        own = list(base)
+        for at in rng.sample(range(words), changes):
+            own[at] = f"v{rng.randrange(10**6)}"
+        yield own
+
+
+@pytest.mark.parametrize(("n", "words", "changes", "near", "close"), [(80, 300, 8, 1600, 100), (200, 60, 1, 4000, 4000)])
+def test_groups_of_changed_copies_make_few_pairs(spark, monkeypatch, n, words, changes, near, close):
+    """Copies share most index keys, whether they are too unlike to link or nearly all link."""
+    made = {}
+
+    def counted(df, name, stored=ngram_join.stored):
+        out = stored(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    copies = list(changed_copies(n, words, changes))
+    sets = [{tuple(own[i : i + 4]) for i in range(len(own) - 3)} for own in copies]
+    linked = [[j for j in range(n) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])] for i in range(n)]
+    least, before = list(range(n)), None
+    while least != before:
+        before = least
+        least = [min(least[j] for j in own) for own in linked]
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    docs = spark.createDataFrame([(i, " ".join(own)) for i, own in enumerate(copies)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs, slot_bits=14).collect()} == dict(enumerate(least))
+    assert made["join-pairs"] <= near and made["join-close"] <= close, made
+
+
+def test_full_signatures_rule_nothing_out():
+    many = np.arange(3000, dtype=np.uint64)  # all in the first range
+    few = np.arange(1, 3000, dtype=np.uint64)
+    full, other = ngram_join.signature(many), ngram_join.signature(few << np.uint64(50))
+    assert ngram_join.ranges(full) == b"" and len(ngram_join.ranges(other)) == ngram_join.RANGES
+    counts = ngram_join.counts_of([ngram_join.ranges(full), ngram_join.ranges(other)])
+    found = ngram_join._candidates(1, np.array([1, 2]), np.zeros(2, np.int64), np.array([3000, 2999]), [counts], 85)
+    assert found.tolist() == [0]
+    assert ngram_join.may_be_similar(full, 3000, other, 2999, 85)

@@ -7,9 +7,9 @@ their prefixes.  Frequent tokens are dealt into b parts by hash, so if no shared
 pairs of frequent tokens of a part are the index keys.  Candidates are verified on the full sets.
 
 Equal sets are one node.  A key with many nodes is not expanded into all pairs: nodes are compared with the first node of the key
-and the few before them, in an order of its own for each key, and only where a key then still spans several components are
-pairs of nodes of different components compared, block by block, by counts per range of hashes, then by signatures, then by
-their sets.  That loses no link between components, so the components are exact.
+and the few before them, in one of a few orders of all nodes, so that keys of the same nodes give the same pairs.  Only where a
+key then still spans several components are pairs of nodes of different components compared, block by block, by counts per range
+of hashes, then by signatures, then by their sets.  That loses no link between components, so the components are exact.
 """
 
 from __future__ import annotations
@@ -28,7 +28,10 @@ from .components import components
 SLOT_BITS = 22
 INVOLVED_BITS = 24
 NEIGHBOURS = 1
-RANGES = 64
+#: Orders in which the nodes of a key stand; each key has one of them.
+ORDERS = 4
+#: Ranges of hashes whose counts tell which pairs of a key may be similar, and coarser ones that are compared first.
+RANGES, COARSE = 256, 32
 #: Shingles of a block of sets that are compared with one another in one task.
 BLOCK = 1 << 20
 #: A token is frequent if its slot counts more than the mean by so many standard deviations of a random slot, plus 2.
@@ -103,15 +106,26 @@ def index_keys(shingles: np.ndarray, frequency: np.ndarray, percent: int) -> np.
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each range of hashes, 8 to 16 on average, at most 255."""
-    bits = max(2, (len(shingles) // 8).bit_length() - 1)
+    """How many shingles fall into each range of hashes, at most 255: ``RANGES`` of them, or more with 8 to 16 on average."""
+    bits = max(RANGES.bit_length() - 1, (len(shingles) // 8).bit_length() - 1)
     counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def ranges(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each of ``RANGES`` ranges of hashes."""
-    return np.bincount((shingles >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES).astype(np.int32)
+def ranges(signature: bytes) -> bytes:
+    """A signature's counts in ``RANGES`` ranges, in 8 bits each or, where one needs more, 32; empty if the signature is full."""
+    if 255 in signature:
+        return b""
+    counts = np.frombuffer(signature, np.uint8).reshape(RANGES, -1).sum(1, dtype=np.int32)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
+
+
+def counts_of(raw: list[bytes]) -> np.ndarray:
+    """Rows of counts per range; where they are unknown, more than any other row has."""
+    unknown = np.full(RANGES, 1 << 30, np.int32)
+    wide = any(len(r) != RANGES for r in raw)
+    rows = [unknown if not r else np.frombuffer(r, np.uint8 if len(r) == RANGES else np.int32) for r in raw]
+    return np.stack(rows).astype(np.int32 if wide else np.uint8)
 
 
 def may_be_similar(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
@@ -127,12 +141,12 @@ def may_be_similar(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
 def _members(width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), node_of(s), signature(s), ranges(s).tobytes()) for _, s in shingle_sets(batch.column("text"), width)]
-            columns = list(zip(*sets, strict=True)) or [()] * 4
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            sets = [(len(s), node_of(s), signature(s)) for _, s in shingle_sets(batch.column("text"), width)]
+            columns = list(zip(*sets, strict=True)) or [()] * 3
+            types = [pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                names=["doc_id", "n_shingles", "node", "signature", "ranges"],
+                names=["doc_id", "n_shingles", "node", "signature"],
             )
 
     return task
@@ -369,14 +383,25 @@ def _units(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[li
         yield [list(c) for c in zip(*rows, strict=True)]
 
 
-def _candidates(i: int, root: np.ndarray, sides: np.ndarray, size: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Rows before row i in other components that may be similar to it, by their counts per range of hashes."""
-    open_ = root[:i] != root[i]
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [ranges(s) for s in batch.column("signature").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "ranges"])
+
+
+def _candidates(
+    i: int, root: np.ndarray, sides: np.ndarray, size: np.ndarray, levels: list[np.ndarray], percent: int
+) -> np.ndarray:
+    """Rows before row i in other components that may be similar to it, by their sizes and counts per range of hashes, coarse ones first."""
+    open_ = (root[:i] != root[i]) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))
     if sides.min() != sides.max():
         open_ &= sides[:i] != sides[i]
     at = np.flatnonzero(open_)
-    most = np.minimum(counts[at], counts[i]).sum(1)
-    return at[100 * most >= percent * (size[at] + size[i] - most)]
+    for counts in levels:
+        if len(at):
+            most = np.minimum(counts[at], counts[i]).sum(1, dtype=np.int64)
+            at = at[100 * most >= percent * (size[at] + size[i] - most)]
+    return at
 
 
 def _may_cross(percent: int):
@@ -385,9 +410,10 @@ def _may_cross(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches, "node", "component", "side", "n", "ranges"):
             nodes, root, sides, size = (np.array(c, np.int64) for c in unit[3:7])
-            counts = np.frombuffer(b"".join(unit[7]), np.int32).reshape(-1, RANGES)
+            counts = counts_of(unit[7])
+            coarse = np.add.reduceat(counts, np.arange(0, RANGES, RANGES // COARSE), 1, dtype=np.int64)
             for i in range(1, len(nodes)):
-                near = nodes[_candidates(i, root, sides, size, counts, percent)]
+                near = nodes[_candidates(i, root, sides, size, [coarse, counts], percent)]
                 if len(near):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, nodes[i])), pa.array(np.maximum(near, nodes[i]))], names=["a", "b"])
 
@@ -411,7 +437,8 @@ def cross_links(open_rows: DataFrame, nodes: DataFrame, rows: DataFrame, width:
             .select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "component", "side", "n")
         )
 
-    counted = dealt(open_rows).join(nodes.select("node", "ranges"), "node").repartition(*UNIT).sortWithinPartitions(*UNIT)
+    counts = nodes.join(open_rows.select("node").distinct(), "node").select("node", "signature").mapInArrow(_ranges, "node long, ranges binary")
+    counted = dealt(open_rows).join(counts, "node").repartition(*UNIT).sortWithinPartitions(*UNIT)
     pairs = counted.select(*UNIT, "node", "component", "side", "n", "ranges").mapInArrow(_may_cross(percent), "a long, b long").distinct()
     return links_of(stored(pairs, "join-cross"), nodes, rows, width, percent)
 
@@ -425,21 +452,20 @@ def similar_groups(docs: DataFrame, *, width: int = 4, percent: int = 85, slot_b
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    members = stored(rows.mapInArrow(_members(width), "doc_id long, n_shingles long, node long, signature binary, ranges binary"), "join-members")
+    members = stored(rows.mapInArrow(_members(width), "doc_id long, n_shingles long, node long, signature binary"), "join-members")
     nodes = stored(
         members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
-            F.first("ranges").alias("ranges"),
+            F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
         ),
         "join-nodes",
     )
-    members = members.drop("signature", "ranges")
+    members = members.drop("signature")
     classes = spark.sparkContext.broadcast(frequency_classes(rows, width, slot_bits, frequent))  # one byte per slot
     named = rows.filter("doc_id is not null").select("text")
     keyed = named.mapInArrow(_keys(width, percent, classes, slot_bits), "key long, node long, n int")
     shared = stored(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, n int"), "join-keys")
-    # nodes of a key stand in another order for each key, so that a node meets many others over its keys
-    shuffled = shared.withColumn("order", F.xxhash64("key", "node")).repartition("key").sortWithinPartitions("key", "order")
+    # keys have one of a few orders: a node meets others over its keys, and keys that many nodes share repeat their pairs
+    shuffled = shared.withColumn("order", F.xxhash64(F.pmod("key", F.lit(ORDERS)), "node")).repartition("key").sortWithinPartitions("key", "order")
     pairs = stored(
         shuffled.select("key", "node", "n").mapInArrow(_near_pairs(percent), "a long, b long").distinct(),
         "join-pairs",
